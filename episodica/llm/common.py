@@ -27,7 +27,10 @@ def shared(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    cut = df.checkpoint()._jdf
+    # a checkpoint keeps its plan's size estimate; a join multiplies those, and over loops they grow to numbers of many
+    # thousand digits.  The same rows as a new frame have none, and adaptive execution goes by what it measures.
+    return DataFrame(cut.sparkSession().internalCreateDataFrame(cut.queryExecution().toRdd(), cut.schema(), False), df.sparkSession)
 
 
 def small_batches(spark: SparkSession) -> None:
