@@ -1,11 +1,611 @@
-"""The registered queries."""
+"""The registered queries, and SQL for DuckDB that says the same from first principles.
+
+Rankings round scores to 6 places and break ties by keys; reports of the best rows give ten a question.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import StoreConfig
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import dense, evaluation, fuse, index, store, units
+from ..sources.tables import episodes, questions, table
+
+K = 10
+KEYS = ["session", "idx"]
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str | None = None):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6).alias(name) if name else F.round(c, 6)
+
+
+# ---- SQL that many queries share
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\\-]*'), lambda w: NOT list_contains({STOP}, w) AND (length(w) > 1 OR regexp_matches(w, '^[0-9]$')))"
+
+
+def _terms(name: str, keys: str, source: str) -> str:
+    return f"{name}_d AS (SELECT {keys}, {TERMS} AS terms FROM {source}), {name} AS (SELECT {keys}, len(terms) AS length, unnest(terms) AS w, generate_subscripts(terms, 1) AS p FROM {name}_d)"
+
+
+def _same(keys: str) -> str:
+    return " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+
+
+def _units(name: str, keys: str, source: str, window: int | None = 4) -> str:
+    near = f"AND b.p - a.p < {window}" if window else ""
+    ak = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""{_terms(name + "_t", keys, source)},
+{name} AS (SELECT {keys}, w AS u, length, count(*) AS tf FROM {name}_t GROUP BY {keys}, w, length
+ UNION ALL SELECT {ak}, least(a.w, b.w) || '|' || greatest(a.w, b.w), a.length, count(*) FROM {name}_t a JOIN {name}_t b ON {_same(keys)} AND b.p > a.p {near} AND a.w <> b.w GROUP BY {ak}, least(a.w, b.w) || '|' || greatest(a.w, b.w), a.length)"""
+
+
+EPISODES = "e AS (SELECT conv_id AS session, turn AS idx, text FROM conversations)"
+ASKED = "a AS (SELECT item_id AS qid, text FROM benchmark)"
+TOTAL = "total AS (SELECT count(*) AS n, avg(length) AS avgdl FROM (SELECT session, idx, len(terms) AS length FROM p_t_d))"
+BASE = f"WITH {EPISODES}, {ASKED}, {_units('p', 'session, idx', 'e')}, {_units('q', 'qid', 'a')}, {TOTAL}"
+WEIGHT = "w AS (SELECT u, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM (SELECT u, count(*) AS df FROM p GROUP BY u), total)"
+
+
+def _ranked(scored: str, keys: str = "session, idx", k: int | None = K) -> str:
+    top = f" WHERE rank <= {k}" if k else ""
+    return f"SELECT qid, {keys}, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, {keys}) AS rank FROM {scored}){top}"
+
+
+def _conj(weight: str) -> str:
+    return f"""{BASE}, {weight},
+norms AS (SELECT session, idx, sqrt(sum(w * w)) AS norm FROM p JOIN w USING (u) GROUP BY session, idx),
+qn AS (SELECT qid, sqrt(sum(w * w)) AS q_norm FROM q JOIN w USING (u) GROUP BY qid),
+s AS (SELECT qid, session, idx, sum(w * w) AS s FROM p JOIN q USING (u) JOIN w USING (u) GROUP BY qid, session, idx),
+scored AS (SELECT qid, session, idx, s / (norm * q_norm) AS score FROM s JOIN norms USING (session, idx) JOIN qn USING (qid))
+"""
+
+
+SQL_CONJ = _conj(WEIGHT).replace("FROM p JOIN q USING (u) JOIN w USING (u)", "FROM (SELECT session, idx, u FROM p) JOIN (SELECT qid, u FROM q) USING (u) JOIN w USING (u)")
+
+
+def _postings(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e, a = episodes(spark, sf), questions(spark, sf)
+    documents = e.select(*KEYS, F.size(T.content_terms(F.col("text"))).cast("long").alias("length"))
+    return units.unit_counts(e, KEYS, **kw), units.unit_counts(a, ["qid"], **kw), documents
+
+
+def _best(scored: DataFrame, keys: list[str] = KEYS, k: int | None = K) -> DataFrame:
+    return index.top(scored, k, keys).select("qid", *keys, r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _conj_scores(spark: SparkSession, sf: str, weighting: str = "idf") -> DataFrame:
+    return index.cosine(*_postings(spark, sf), KEYS, weighting)
+
+
+# ---- text functions and units
+@query(f"WITH {EPISODES}, {_terms('t', 'session, idx', 'e')} SELECT session, idx, p - 1 AS place, w AS term FROM t")
+def content_terms(spark, sf):
+    return episodes(spark, sf).select(*KEYS, F.posexplode(T.content_terms(F.col("text"))).alias("place", "term")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {EPISODES}, {_units('p', 'session, idx', 'e')} SELECT session, idx, u, tf, length FROM p")
+def unit_counts_w4(spark, sf):
+    return units.unit_counts(episodes(spark, sf), KEYS)
+
+
+@query(f"WITH {ASKED}, {_units('p', 'qid', 'a', None)} SELECT qid, u, tf, length FROM p")
+def unit_counts_all_pairs(spark, sf):
+    return units.unit_counts(questions(spark, sf), ["qid"], window=None)
+
+
+@query(
+    f"""WITH {ASKED}, {_terms('t', 'qid', 'a')}
+SELECT a.qid, array_to_string(list_sort([a.w, b.w, c.w]), '|') AS u, count(*) AS tf FROM t a JOIN t b ON a.qid = b.qid AND b.p > a.p AND b.p - a.p < 3 AND a.w <> b.w
+JOIN t c ON c.qid = a.qid AND c.p > b.p AND c.p - a.p < 3 AND c.w <> a.w AND c.w <> b.w GROUP BY a.qid, array_to_string(list_sort([a.w, b.w, c.w]), '|')"""
+)
+def unit_triples_w3(spark, sf):
+    rows = units.unit_counts(questions(spark, sf), ["qid"], order=3, window=3)
+    return rows.where(F.size(F.split("u", r"\|")) == 3).select("qid", "u", "tf")
+
+
+@query(f"{BASE}, {WEIGHT} SELECT u, df, round(w, 6) AS idf FROM w JOIN (SELECT u, count(*) AS df FROM p GROUP BY u) USING (u)")
+def unit_df_idf(spark, sf):
+    p, _, documents = _postings(spark, sf)
+    df = index.with_total(index.document_frequency(p), documents)
+    return df.select("u", "df", r6(index.idf(F.col("n"), F.col("df")), "idf"))
+
+
+# ---- lexical scoring
+@query(SQL_CONJ + _ranked("scored"))
+def conj_idf(spark, sf):
+    return _best(_conj_scores(spark, sf))
+
+
+@query(SQL_CONJ.replace(WEIGHT, "w AS (SELECT DISTINCT u, 1.0::DOUBLE AS w FROM p)") + _ranked("scored"))
+def conj_binary(spark, sf):
+    return _best(_conj_scores(spark, sf, "binary"))
+
+
+SATURATED = "tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(avgdl, 1e-9)))"
+
+
+@query(f"{BASE}, {WEIGHT}, scored AS (SELECT qid, session, idx, sum(w * {SATURATED}) AS score FROM p JOIN (SELECT qid, u FROM q) USING (u) JOIN w USING (u), total GROUP BY qid, session, idx) {_ranked('scored')}")
+def conj_bm25(spark, sf):
+    return _best(index.bm25(*_postings(spark, sf), KEYS))
+
+
+@query(
+    f"""{BASE}, ps AS (SELECT session, idx, count(*) AS n FROM p GROUP BY session, idx), qs AS (SELECT qid, count(*) AS m FROM q GROUP BY qid),
+scored AS (SELECT qid, session, idx, c / sqrt(n * m) AS score FROM (SELECT qid, session, idx, count(*) AS c FROM (SELECT session, idx, u FROM p) JOIN (SELECT qid, u FROM q) USING (u) GROUP BY qid, session, idx) JOIN ps USING (session, idx) JOIN qs USING (qid)) {_ranked("scored")}"""
+)
+def conj_match_unweighted(spark, sf):
+    p, q, _ = _postings(spark, sf)
+    ps, qs = p.groupBy(*KEYS).agg(F.count("*").alias("n")), q.groupBy("qid").agg(F.count("*").alias("m"))
+    met = p.select(*KEYS, "u").join(q.select("qid", "u"), "u").groupBy("qid", *KEYS).agg(F.count("*").alias("c"))
+    return _best(met.join(ps, KEYS).join(qs, "qid").select("qid", *KEYS, (F.col("c") / F.sqrt(F.col("n") * F.col("m"))).alias("score")))
+
+
+def _lexical(spark, sf, tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return index.token_counts(d, ["doc_id"], tokens(F.col("text"))), index.token_counts(questions(spark, sf), ["qid"], tokens(F.col("text"))), d.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("length"))
+
+
+def _tokens_sql(tokens: str) -> str:
+    return f"""WITH d AS (SELECT doc_id, {tokens} AS x FROM documents), a AS (SELECT item_id AS qid, {tokens} AS x FROM benchmark),
+p AS (SELECT doc_id, u, length, count(*) AS tf FROM (SELECT doc_id, len(x) AS length, unnest(x) AS u FROM d) GROUP BY doc_id, u, length),
+q AS (SELECT qid, u, count(*) AS times FROM (SELECT qid, unnest(x) AS u FROM a) GROUP BY qid, u), total AS (SELECT count(*) AS n, avg(len(x)) AS avgdl FROM d)"""
+
+
+LEXICAL = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+OKAPI = f""", raw AS (SELECT u, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT u, count(*) AS df FROM p GROUP BY u), total),
+w AS (SELECT u, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS w FROM raw),
+scored AS (SELECT qid, doc_id, sum(times * w * {SATURATED}) AS score FROM p JOIN q USING (u) JOIN w USING (u), total GROUP BY qid, doc_id) """
+
+
+@query(_tokens_sql(LEXICAL) + OKAPI + _ranked("scored", "doc_id"))
+def bm25_okapi_floor(spark, sf):
+    return _best(index.okapi(*_lexical(spark, sf, T.lexical_tokens), ["doc_id"]), ["doc_id"])
+
+
+@query(_tokens_sql("string_split(text, ' ')") + OKAPI + _ranked("scored", "doc_id"))
+def bm25_official_tokens(spark, sf):
+    return _best(index.okapi(*_lexical(spark, sf, T.official_tokens), ["doc_id"]), ["doc_id"])
+
+
+BM25_SET = f"""{_tokens_sql(LEXICAL)}, w AS (SELECT u, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM (SELECT u, count(*) AS df FROM p GROUP BY u), total),
+scored AS (SELECT qid, doc_id, sum(w * {SATURATED}) AS score FROM p JOIN q USING (u) JOIN w USING (u), total GROUP BY qid, doc_id) """
+
+
+def _bm25_scores(spark, sf):
+    return index.bm25(*_lexical(spark, sf, T.lexical_tokens), ["doc_id"])
+
+
+@query(BM25_SET + _ranked("scored", "doc_id"))
+def bm25_set_query(spark, sf):
+    return _best(_bm25_scores(spark, sf), ["doc_id"])
+
+
+# ---- dense scoring: vectors whose id is divisible by 20 are the questions
+DENSE = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), scored AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_dot_product(q.e, v.e) AS score FROM v, v q WHERE q.vec_id % 20 = 0) """
+
+
+def _dense(spark, sf, k):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return dense.scores(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), k)
+
+
+@query(DENSE + _ranked("scored", "id"))
+def dense_topk(spark, sf):
+    return _dense(spark, sf, K).select("qid", "id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(DENSE + "SELECT qid, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.95), 6) AS p95, round(max(score), 6) AS most FROM scored WHERE qid <> id GROUP BY qid")
+def dense_gram_stats(spark, sf):
+    s = _dense(spark, sf, None).where("qid <> id")
+    return s.groupBy("qid").agg(r6(F.avg("score"), "mean"), r6(F.percentile("score", 0.95), "p95"), r6(F.max("score"), "most"))
+
+
+# ---- fusion of two pathways: dense score and time context
+TWO = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), scored AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_dot_product(q.e, v.e) AS semantic, CAST((v.vec_id * 7919) % 1009 AS DOUBLE) AS lexical FROM v, v q WHERE q.vec_id % 20 = 0) """
+TWO_WEIGHTS = {"semantic": 1.0, "lexical": 0.9}
+
+
+def _two(spark, sf):
+    return _dense(spark, sf, None).select("qid", "id", F.col("score").alias("semantic"), ((F.col("id") * 7919) % 1009).cast("double").alias("lexical"))
+
+
+def _fused(spark, sf, how):
+    got = fuse.fused(_two(spark, sf), TWO_WEIGHTS, how, ["id"])
+    return _best(got.withColumn("score", F.col("total")), ["id"])
+
+
+@query(TWO + ", n AS (SELECT qid, id, (semantic - min(semantic) OVER w) / (max(semantic) OVER w - min(semantic) OVER w) + 0.9 * (lexical - min(lexical) OVER w) / (max(lexical) OVER w - min(lexical) OVER w) AS score FROM scored WINDOW w AS (PARTITION BY qid)) " + _ranked("n", "id"))
+def fusion_minmax(spark, sf):
+    return _fused(spark, sf, "minmax")
+
+
+@query(TWO + ", z AS (SELECT qid, id, (semantic - avg(semantic) OVER w) / stddev_pop(semantic) OVER w + 0.9 * (lexical - avg(lexical) OVER w) / stddev_pop(lexical) OVER w AS total FROM scored WINDOW w AS (PARTITION BY qid)), n AS (SELECT qid, id, total - min(total) OVER (PARTITION BY qid) AS score FROM z) " + _ranked("n", "id"))
+def fusion_zscore(spark, sf):
+    return _fused(spark, sf, "zscore")
+
+
+RRF = ", n AS (SELECT qid, id, 1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY round(semantic, 9) DESC, id)) + 0.9 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY round(lexical, 9) DESC, id)) AS score FROM scored) "
+
+
+@query(TWO + RRF + _ranked("n", "id"))
+def fusion_rrf(spark, sf):
+    return _fused(spark, sf, "rrf")
+
+
+@query(
+    TWO
+    + """, a AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(semantic, 6) DESC, id) AS r FROM scored), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(lexical, 6) DESC, id) AS r FROM scored),
+u AS (SELECT * FROM a WHERE r <= 60 UNION ALL SELECT * FROM b WHERE r <= 60), n AS (SELECT qid, id, sum(1 / (60.0 + r)) AS score FROM u GROUP BY qid, id) """
+    + _ranked("n", "id")
+)
+def hybrid_rrf_pool(spark, sf):
+    two = _two(spark, sf)
+    ranked = [index.top(two, 6 * K, ["id"], c) for c in ("semantic", "lexical")]
+    return _best(fuse.hybrid_rrf(ranked, ["id"], 6 * K), ["id"])
+
+
+@query(TWO + ", n AS (SELECT qid, id, 0.6 * (lexical - avg(lexical) OVER w) / stddev_pop(lexical) OVER w + 0.4 * (semantic - avg(semantic) OVER w) / stddev_pop(semantic) OVER w AS score FROM scored WINDOW w AS (PARTITION BY qid)) " + _ranked("n", "id"))
+def hybrid_z_alpha(spark, sf):
+    return _best(_two(spark, sf).withColumn("score", 0.6 * fuse.zscore("lexical") + 0.4 * fuse.zscore("semantic")), ["id"])
+
+
+# ---- time, strength, neighbours
+@query("SELECT event_id, user_id, round(1.0 / r, 6) AS score FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
+def recency_window(spark, sf):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.row_number().over(w).alias("r"))
+    return rows.where("r <= 20").select("event_id", "user_id", r6(1 / F.col("r"), "score"))
+
+
+PHASES = " + ".join(f"cos(({V.SESSION_SCALE} * (conv_id - 3) + turn - 2) * {f!r})" for f in V.FREQUENCIES)
+
+
+@query(f"SELECT conv_id AS session, turn AS idx, round(({PHASES}) / 16, 6) AS similarity FROM conversations")
+def theta_similarity(spark, sf):
+    return episodes(spark, sf).select(*KEYS, r6(V.theta(F.col("session"), F.col("idx"), F.lit(3), F.lit(2)), "similarity"))
+
+
+@query("SELECT conv_id AS session, turn AS idx, round(pow(0.9995, count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1), 6) AS strength FROM conversations")
+def strength_by_age(spark, sf):
+    w = Window.partitionBy("session")
+    age = F.count("*").over(w) - F.row_number().over(w.orderBy("idx")) + 1
+    return episodes(spark, sf).select(*KEYS, r6(F.pow(F.lit(StoreConfig.decay_rate), age), "strength"))
+
+
+@query(
+    f"""WITH {EPISODES}, s AS (SELECT session, idx, list_distinct({TERMS}) AS x FROM e)
+SELECT a.session, a.idx, round(coalesce(1 - max(CASE WHEN len(a.x) = 0 OR len(b.x) = 0 THEN 0 ELSE len(list_intersect(a.x, b.x)) / sqrt(len(a.x) * len(b.x)) END), 1), 6) AS novelty
+FROM s a LEFT JOIN s b ON a.session = b.session AND b.idx < a.idx GROUP BY a.session, a.idx"""
+)
+def novelty_prefix_max(spark, sf):
+    s = episodes(spark, sf).select(*KEYS, F.array_distinct(T.content_terms(F.col("text"))).alias("x"))
+    earlier = s.select(F.col("session").alias("s2"), F.col("idx").alias("i2"), F.col("x").alias("y"))
+    met = s.join(earlier, (F.col("session") == F.col("s2")) & (F.col("i2") < F.col("idx")), "left")
+    return met.groupBy(*KEYS).agg(r6(F.coalesce(1 - F.max(V.match(F.col("x"), F.col("y"))), F.lit(1.0)), "novelty"))
+
+
+def _reinstated(spark, sf, sign):
+    best = index.top(_conj_scores(spark, sf), None, KEYS)
+    anchor = best.where("rank = 1").select("qid", F.col("session").alias("a_session"), F.col("idx").alias("a_idx"), F.col("score").alias("a_score"))
+    offset = (F.col("idx") - F.col("a_idx")) * sign
+    same = F.col("session") == F.col("a_session")
+    near = same & offset.between(1, StoreConfig.reinstate_span)
+    got = best.join(anchor, "qid").withColumn("score", F.when(same & (offset == 0), 0.15 * F.col("score")).when(near, F.col("score") + 2.0 * F.col("a_score") / offset).otherwise(F.col("score")))
+    return _best(got.drop("rank"))
+
+
+def _reinstated_sql(sign: str) -> str:
+    return f"""{SQL_CONJ}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, session, idx) AS k FROM scored), anchor AS (SELECT qid, session AS a_session, idx AS a_idx, score AS a_score FROM r WHERE k = 1),
+n AS (SELECT qid, session, idx, CASE WHEN session = a_session AND idx = a_idx THEN 0.15 * score WHEN session = a_session AND {sign} * (idx - a_idx) BETWEEN 1 AND 3 THEN score + 2.0 * a_score / ({sign} * (idx - a_idx)) ELSE score END AS score FROM r JOIN anchor USING (qid)) {_ranked("n")}"""
+
+
+@query(_reinstated_sql("1"))
+def reinstate_after(spark, sf):
+    return _reinstated(spark, sf, 1)
+
+
+@query(_reinstated_sql("-1"))
+def reinstate_before(spark, sf):
+    return _reinstated(spark, sf, -1)
+
+
+CUE_TEXTS = "CASE conv_id % 5 WHEN 0 THEN 'What happened right after that? ' WHEN 1 THEN 'just before: ' WHEN 2 THEN 'What do they USUALLY say? ' WHEN 3 THEN 'days before the trip ' ELSE '' END || text"
+
+
+def _cued(spark, sf):
+    return episodes(spark, sf).withColumn("text", F.concat(F.when(F.col("session") % 5 == 0, "What happened right after that? ").when(F.col("session") % 5 == 1, "just before: ").when(F.col("session") % 5 == 2, "What do they USUALLY say? ").when(F.col("session") % 5 == 3, "days before the trip ").otherwise(""), "text"))
+
+
+def _re2(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query(f"SELECT conv_id AS session, turn AS idx, CASE WHEN regexp_matches(t, '{_re2(T.CUE_AFTER)}') THEN 1 WHEN regexp_matches(t, '{_re2(T.CUE_BEFORE)}') THEN -1 ELSE 0 END AS direction FROM (SELECT *, {CUE_TEXTS} AS t FROM conversations)")
+def adjacency_cue(spark, sf):
+    return _cued(spark, sf).select(*KEYS, T.direction(F.col("text")).alias("direction"))
+
+
+@query(f"SELECT conv_id AS session, turn AS idx, regexp_matches(t, '{_re2(T.CUE_GENERIC)}') AS generic FROM (SELECT *, {CUE_TEXTS} AS t FROM conversations)")
+def generic_cue(spark, sf):
+    return _cued(spark, sf).select(*KEYS, T.is_generic(F.col("text")).alias("generic"))
+
+
+# ---- replay and eviction: events are traces, their value gives salience
+TRACE = "WITH m AS (SELECT max(ts) AS now, max(abs(value)) AS top FROM events), t AS (SELECT event_id, user_id, abs(value) / top AS salience, (event_id % 10) / 10.0 AS surprise, event_id % 4 AS replays, (epoch(now) - epoch(ts)) / 3600.0 AS age, event_id % 3 = 0 AS consolidated, 0.05 + (event_id % 19) / 20.0 AS strength FROM events, m) "
+
+
+def _traces(spark, sf):
+    e = table(spark, sf, "events")
+    top = e.agg(F.max("ts").alias("now"), F.max(F.abs("value")).alias("top"))
+    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
+    n = F.col("event_id")
+    return e.join(F.broadcast(top)).select("event_id", "user_id", (F.abs("value") / F.col("top")).alias("salience"), (n % 10 / 10.0).alias("surprise"), (n % 4).alias("replays"), age.alias("age"), (n % 3 == 0).alias("consolidated"), (0.05 + n % 19 / 20.0).alias("strength"))
+
+
+@query(TRACE + "SELECT event_id, round(greatest(1e-6, (0.15 + 0.5 * surprise + 0.5 * salience) * (0.35 + 0.65 / (1 + greatest(0, age))) / (1 + replays)), 6) AS priority FROM t")
+def replay_priority(spark, sf):
+    p = (0.15 + 0.5 * F.col("surprise") + 0.5 * F.col("salience")) * (0.35 + 0.65 / (1 + F.greatest(F.lit(0.0), F.col("age")))) / (1 + F.col("replays"))
+    return _traces(spark, sf).select("event_id", r6(F.greatest(F.lit(1e-6), p), "priority"))
+
+
+@query(TRACE + "SELECT event_id, user_id, round(u, 6) AS utility FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN consolidated THEN 0 ELSE 1 END, round(u, 9), event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT *, strength * (1 + salience) * (1 + 0.25 * replays) AS u FROM t)) WHERE consolidated AND r <= n - 30")
+def eviction_order(spark, sf):
+    w = Window.partitionBy("user_id")
+    u = F.col("strength") * (1 + F.col("salience")) * (1 + 0.25 * F.col("replays"))
+    rows = _traces(spark, sf).withColumn("u", u)
+    rows = rows.withColumn("r", F.row_number().over(w.orderBy(F.when(F.col("consolidated"), 0).otherwise(1), F.round("u", 9), "event_id"))).withColumn("n", F.count("*").over(w))
+    return rows.where(F.col("consolidated") & (F.col("r") <= F.col("n") - 30)).select("event_id", "user_id", r6("u", "utility"))
+
+
+@query(TRACE + "SELECT event_id FROM t WHERE strength < 0.3 AND consolidated")
+def expiry(spark, sf):
+    return _traces(spark, sf).where("strength < 0.3 AND consolidated").select("event_id")
+
+
+@query("SELECT a.conv_id AS session, a.turn AS seed, b.turn AS idx FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn + 1 AND a.turn + 2 WHERE a.turn % 3 = 0")
+def sequential_extension(spark, sf):
+    e = episodes(spark, sf)
+    seeds = e.where("idx % 3 = 0").select("session", F.col("idx").alias("seed"), F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + StoreConfig.sequence_span - 1)).alias("idx"))
+    return seeds.join(e.select(*KEYS), KEYS).select("session", "seed", "idx")
+
+
+@query(f"{BM25_SET}, best AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, text ORDER BY round(score, 6) DESC, doc_id) AS k FROM scored JOIN documents USING (doc_id)) {_ranked('(SELECT * FROM best WHERE k = 1)', 'doc_id')}")
+def dedup_best_copy(spark, sf):
+    keyed = table(spark, sf, "documents").select("doc_id", T.content_key(F.col("text")).alias("key"))
+    rows = _bm25_scores(spark, sf).join(keyed, "doc_id")
+    nth = F.row_number().over(Window.partitionBy("qid", "key").orderBy(F.desc(F.round("score", 6)), "doc_id"))
+    return _best(rows.withColumn("k", nth).where("k = 1"), ["doc_id"])
+
+
+# ---- codes and schemas
+CODES = "WITH c AS (SELECT vec_id, list_sort(list_slice(list_transform(list_sort(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: {'x': -x, 'i': i - 1})), lambda s: s.i), 1, 8)) AS code FROM embeddings) "
+
+
+def _codes(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", V.k_winners(F.col("embedding"), 8).alias("code"))
+
+
+@query(CODES + "SELECT vec_id, array_to_string(code, ',') AS code FROM c")
+def kwta_topk(spark, sf):
+    return _codes(spark, sf).select("vec_id", F.array_join("code", ",").alias("code"))
+
+
+@query(CODES + "SELECT a.vec_id AS qid, b.vec_id AS id, round(len(list_intersect(a.code, b.code)) / (16.0 - len(list_intersect(a.code, b.code))), 6) AS overlap FROM c a, c b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(list_intersect(a.code, b.code)) > 0")
+def code_jaccard(spark, sf):
+    long = _codes(spark, sf).select("vec_id", F.explode("code").alias("unit"))
+    q = long.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    met = q.join(long, "unit").where("qid <> vec_id").groupBy("qid", F.col("vec_id").alias("id")).agg(F.count("*").alias("n"))
+    return met.select("qid", "id", r6(F.col("n") / (16.0 - F.col("n")), "overlap"))
+
+
+@query(CODES + ", n AS (SELECT g.i, count(u) AS n FROM range(64) g(i) LEFT JOIN (SELECT unnest(code) AS u FROM c) ON u = g.i GROUP BY g.i), s AS (SELECT sum(n) OVER (ORDER BY n, i ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER () AS t FROM n) SELECT round((64 + 1 - 2 * sum(c) / max(t)) / 64, 6) AS gini, (SELECT count(*) FROM n WHERE n > 0) AS used FROM s")
+def usage_gini(spark, sf):
+    used = _codes(spark, sf).select(F.explode("code").alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    n = spark.range(64).select(F.col("id").cast("int").alias("i")).join(used, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
+    s = n.withColumn("c", F.sum("n").over(Window.orderBy("n", "i").rowsBetween(Window.unboundedPreceding, 0)))
+    return s.agg(r6((65 - 2 * F.sum("c") / F.sum("n")) / 64, "gini"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).cast("long").alias("used"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), c AS (SELECT label, i, avg(x) AS m FROM x GROUP BY label, i), k AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label), mass AS (SELECT label, count(*) AS mass FROM v GROUP BY label),
+s AS (SELECT q.vec_id AS qid, label AS id, list_dot_product(q.e, k.m) AS sim, mass FROM v q, k JOIN mass USING (label) WHERE q.vec_id % 20 = 0) """.replace("FROM v q, k JOIN mass USING (label)", "FROM (SELECT vec_id, e FROM v) q, (SELECT * FROM k JOIN mass USING (label)) k") + _ranked("(SELECT qid, id, sim * (0.4 + 0.6 * ln(1 + mass) / (SELECT max(ln(1 + mass)) FROM mass)) AS score FROM s)", "id", 4))
+def schema_rank_mass(spark, sf):
+    v = table(spark, sf, "embeddings")
+    long = v.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = long.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    c = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v")).select(F.col("label").cast("long").alias("id"), "v")
+    mass = v.groupBy(F.col("label").cast("long").alias("id")).agg(F.count("*").alias("mass"))
+    top = mass.agg(F.max(F.log1p("mass")).alias("top"))
+    s = dense.scores(c, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), None)
+    got = s.join(mass, "id").join(F.broadcast(top)).withColumn("score", F.col("score") * (0.4 + 0.6 * F.log1p("mass") / F.col("top")))
+    return _best(got, ["id"], 4).withColumn("id", F.col("id").cast("int"))
+
+
+# ---- the composite read: units and time context fused, strength, dedup, top k
+FULL = f"""{SQL_CONJ}, strength AS (SELECT conv_id AS session, turn AS idx, text, pow(0.9995, count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1) AS strength FROM conversations),
+c AS (SELECT qid, session, idx, coalesce(score, 0) AS conj, ({PHASES.replace("conv_id", "session").replace("turn", "idx")}) / 16 AS temporal, strength, text FROM (SELECT qid FROM a) CROSS JOIN strength LEFT JOIN scored USING (qid, session, idx)),
+n AS (SELECT qid, session, idx, text, (0.9 * CASE WHEN max(conj) OVER w - min(conj) OVER w < 1e-6 THEN 0 ELSE (conj - min(conj) OVER w) / (max(conj) OVER w - min(conj) OVER w) END + 0.25 * (temporal - min(temporal) OVER w) / (max(temporal) OVER w - min(temporal) OVER w)) * (0.85 + 0.15 * strength) AS score FROM c WINDOW w AS (PARTITION BY qid)),
+once AS (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY round(score, 6) DESC, session, idx) AS k FROM n) {_ranked("(SELECT * FROM once WHERE k = 1)", k=5)}"""
+
+
+@query(FULL)
+def recall_full(spark, sf):
+    """Every question against every episode: the candidates of a recall are the whole store."""
+    e = episodes(spark, sf)
+    w = Window.partitionBy("session")
+    age = F.count("*").over(w) - F.row_number().over(w.orderBy("idx")) + 1
+    rows = e.select(*KEYS, F.md5("text").alias("key"), F.pow(F.lit(StoreConfig.decay_rate), age).alias("strength"), V.theta(F.col("session"), F.col("idx"), F.lit(3), F.lit(2)).alias("temporal"))
+    c = rows.join(F.broadcast(questions(spark, sf).select("qid"))).join(_conj_scores(spark, sf), ["qid", *KEYS], "left").withColumn("conjunctive", F.coalesce("score", F.lit(0.0)))
+    got = fuse.fused(c, {"conjunctive": StoreConfig.w_conjunctive, "temporal": StoreConfig.w_temporal}, "minmax", KEYS)
+    got = got.withColumn("score", F.col("total") * (0.85 + 0.15 * F.col("strength")))
+    nth = F.row_number().over(Window.partitionBy("qid", "key").orderBy(F.desc(F.round("score", 6)), *KEYS))
+    return _best(got.withColumn("k", nth).where("k = 1"), k=5)
+
+
+# ---- evaluation: a document that holds an item's text is gold for it
+GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranked AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored), "
+HITS = "g AS (SELECT qid, count(*) AS golds FROM gold GROUP BY qid), h AS (SELECT qid, rank FROM ranked JOIN gold USING (qid, doc_id)) "
+
+
+def _gold(spark, sf):
+    """Containment by the item's rarest word: an equality join on a word, then the whole text."""
+    a, d = questions(spark, sf), table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    words = lambda c: F.explode(F.array_distinct(T.lexical_tokens(c))).alias("u")
+    docs = d.select("doc_id", words(F.col("body")))
+    # the first and last token of an item may go on in the document's text
+    inner = a.select("qid", "text", T.lexical_tokens(F.col("text")).alias("x")).select("qid", F.explode(F.when(F.size("x") > 2, F.slice("x", 2, F.size("x") - 2)).otherwise(F.col("x"))).alias("u")).distinct()
+    rare = inner.join(docs.groupBy("u").agg(F.count("*").alias("df")), "u").groupBy("qid").agg(F.min(F.struct("df", "u")).alias("r")).select("qid", "r.u")
+    met = rare.join(docs, "u").select("qid", "doc_id")
+    return met.join(a, "qid").join(d, "doc_id").where(F.contains("body", "text")).select("qid", "doc_id")
+
+
+def _evaluated(spark, sf, k):
+    return evaluation.at_k(index.top(_bm25_scores(spark, sf), None, ["doc_id"]), _gold(spark, sf), k, ["doc_id"])
+
+
+DCG = "sum(CASE WHEN rank <= {k} THEN CASE WHEN rank = 1 THEN 1 ELSE 1 / log2(rank) END ELSE 0 END)"
+IDEAL = "(SELECT sum(CASE WHEN i = 1 THEN 1 ELSE 1 / log2(i) END) FROM range(1, least(golds, {k}) + 1) t(i))"
+
+
+def _metric_sql(k: int) -> str:
+    return f"{BM25_SET}, {GOLD}{HITS}, m AS (SELECT g.qid, g.golds, coalesce(sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END), 0) AS found, coalesce({DCG.format(k=k)}, 0) AS dcg, min(rank) AS first FROM g LEFT JOIN h USING (qid) GROUP BY g.qid, g.golds) "
+
+
+@query(_metric_sql(10) + f"SELECT qid, round(dcg / {IDEAL.format(k=10)}, 6) AS ndcg FROM m")
+def ndcg_turn(spark, sf):
+    return _evaluated(spark, sf, 10).select("qid", r6("ndcg", "ndcg"))
+
+
+@query(_metric_sql(5) + "SELECT qid, CAST(found > 0 AS DOUBLE) AS recall_any, CAST(found = golds AS DOUBLE) AS recall_all FROM m")
+def recall_all_at_k(spark, sf):
+    return _evaluated(spark, sf, 5).select("qid", "recall_any", "recall_all")
+
+
+@query(_metric_sql(5) + "SELECT qid, round(found / golds, 6) AS recall FROM m")
+def fractional_recall(spark, sf):
+    return _evaluated(spark, sf, 5).select("qid", r6("recall", "recall"))
+
+
+@query(_metric_sql(5) + "SELECT qid, round(coalesce(1.0 / first, 0), 6) AS rr FROM m")
+def reciprocal_rank(spark, sf):
+    return _evaluated(spark, sf, 5).select("qid", r6("rr", "rr"))
+
+
+@query(_metric_sql(5) + "SELECT coalesce(task, 'overall') AS task, round(avg(found / golds), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS rr, count(*) AS n FROM (SELECT *, 'task' || (qid % 4) AS task FROM m) GROUP BY ROLLUP (task)")
+def metrics_rollup(spark, sf):
+    m = _evaluated(spark, sf, 5).withColumn("task", F.concat(F.lit("task"), (F.col("qid") % 4).cast("string")))
+    return m.rollup("task").agg(r6(F.avg("recall"), "recall"), r6(F.avg("rr"), "rr"), F.count("*").alias("n")).withColumn("task", F.coalesce("task", F.lit("overall")))
+
+
+@query(SQL_CONJ + ", r AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, session, idx) AS rank FROM scored), f AS (SELECT qid, session, min(rank) AS rank FROM r GROUP BY qid, session), n AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM f) SELECT qid, coalesce((SELECT rank FROM n WHERE n.qid = x.qid AND nth = 5), max(x.rank)) AS cut FROM r x GROUP BY qid")
+def session_effective_cut(spark, sf):
+    return evaluation.effective_cut(index.top(_conj_scores(spark, sf), None, KEYS), 5)
+
+
+# ---- timelines: orders of a customer
+@query("SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS successor FROM orders")
+def timeline_successor(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", F.lead("o_orderkey").over(w).alias("successor"))
+
+
+@query("SELECT o_custkey, o_orderpriority AS usual FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, first) AS r FROM (SELECT o_custkey, o_orderpriority, count(*) AS n, min((o_orderdate, o_orderkey)) AS first FROM orders GROUP BY o_custkey, o_orderpriority)) WHERE r = 1")
+def usual_value_mode(spark, sf):
+    n = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("n"), "first"))
+    return n.withColumn("r", r).where("r = 1").select("o_custkey", F.col("o_orderpriority").alias("usual"))
+
+
+@query("SELECT doc_id, CASE WHEN list_sum(list_transform(string_split(sha1(CAST(doc_id AS VARCHAR)), ''), lambda c: instr('0123456789abcdef', c) - 1)) % 5 = 0 THEN 'dev' ELSE 'test' END AS split FROM documents")
+def hash_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.split_of(F.col("doc_id")).alias("split"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id AS session, turn AS idx, regexp_extract_all(lower(text), '[a-z0-9'']+') AS x FROM conversations), g AS (SELECT session, idx, unnest(x) AS g, 1 AS n FROM t UNION ALL SELECT session, idx, unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])), 2 FROM t),
+h AS (SELECT session, idx, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS h, n FROM g), b AS (SELECT session, idx, h % 384 AS bucket, sum(CASE WHEN (h // 384) % 2 = 0 THEN 1 ELSE -1 END / sqrt(n)) AS v FROM h GROUP BY session, idx, h % 384)
+SELECT session, idx, bucket, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY session, idx)), 1e-12), 6) AS v FROM b"""
+)
+def hashing_encoder_md5(spark, sf):
+    x = F.col("x")
+    pairs = F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.size(x)), lambda a, b: F.concat(a, F.lit(" "), b))
+    t = episodes(spark, sf).select(*KEYS, T.encoder_tokens(F.col("text")).alias("x"))
+    grams = F.concat(F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(1).alias("n"))), F.transform(pairs, lambda g: F.struct(g.alias("g"), F.lit(2).alias("n"))))
+    h = t.select(*KEYS, F.explode(grams).alias("s")).select(*KEYS, F.conv(F.substring(F.md5("s.g"), 1, 8), 16, 10).cast("long").alias("h"), F.col("s.n").alias("n"))
+    sign = F.when(F.floor(F.col("h") / 384) % 2 == 0, 1.0).otherwise(-1.0)
+    b = h.groupBy(*KEYS, (F.col("h") % 384).alias("bucket")).agg(F.sum(sign / F.sqrt("n")).alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*KEYS)))
+    return b.select(*KEYS, "bucket", r6(F.col("v") / F.greatest(norm, F.lit(1e-12)), "v"))
+
+
+@query(DENSE + ", s AS (SELECT qid, id, exp(22 * (score - max(score) OVER (PARTITION BY qid))) AS x FROM scored), n AS (SELECT qid, id, x / sum(x) OVER (PARTITION BY qid) AS score FROM s) " + _ranked("n", "id", 3))
+def hopfield_step(spark, sf):
+    w = Window.partitionBy("qid")
+    s = _dense(spark, sf, None).withColumn("x", F.exp(StoreConfig.beta * (F.col("score") - F.max("score").over(w))))
+    return _best(s.withColumn("score", F.col("x") / F.sum("x").over(w)), ["id"], 3)
+
+
+# ---- rows only: order-dependent state and seeded resampling
+def _vectors(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return v.select((F.col("vec_id") % 8).alias("store_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v"))
+
+
+@query()
+def usage_biased_codes(spark, sf):
+    return store.codes(_vectors(spark, sf), StoreConfig())
+
+
+@query()
+def attractor_complete(spark, sf):
+    return store.completion(store.codes(_vectors(spark, sf), StoreConfig()), StoreConfig())
+
+
+@query()
+def sleep_schemas(spark, sf):
+    rows = _vectors(spark, sf).withColumns({"session": F.col("seq") % 16, "idx": F.floor(F.col("seq") / 16), "text": F.concat(F.lit("episode "), "seq"), "ts": F.col("seq") * 60.0, "salience": (F.col("seq") % 5) / 5.0, "surprise": F.lit(0.5)})
+    return store.sleep(rows, StoreConfig(schema_merge_threshold=0.3), cycles=15, now=3600.0 * 60)
+
+
+@query()
+def paired_statistics(spark, sf):
+    m = _evaluated(spark, sf, 5).withColumn("half", F.col("qid") % 2)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("qid")
+        a, b = frame["recall"].to_numpy(float), frame["rr"].to_numpy(float)
+        mean, low, high = evaluation.bootstrap(a, b, clusters=np.asarray(frame["qid"]) // 4)
+        return pd.DataFrame({"half": [frame["half"].iloc[0]], "mean": [mean], "low": [low], "high": [high], "p": [evaluation.permutation(a, b)]})
+
+    return m.groupBy("half").applyInPandas(run, "half long, mean double, low double, high double, p double")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best episodes of each question by idf-weighted units."""
+    return conj_idf(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
