@@ -70,7 +70,7 @@ n AS (SELECT *, row_number() OVER w AS nth, sum(length(segment)) OVER (w ROWS UN
 SELECT conv_id, speaker, nth - 1 AS "position", turn, role, segment, CAST(stop - length(segment) AS BIGINT) AS "start", CAST(stop - length(segment) + length(head) AS BIGINT) AS learn_from, CAST(stop AS BIGINT) AS "end", CAST(role = speaker AS INTEGER) AS mask
 FROM n""",
     "op5_sharding": """
-WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(octet_length(CAST(text AS BLOB)), 0) AS BIGINT) AS n_bytes,
+WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
   md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || chr(31) || md5(coalesce(text, ''))) AS m FROM documents),
 b AS (SELECT doc_id, n_bytes, format('{:060b}', CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS h FROM d),
 split AS (
