@@ -34,7 +34,7 @@ from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, shared, small_bat
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
 #: Members of a bucket that are verified in pairs, and bands that cut a bucket at most.
-FEW, LEVELS = 64, 2
+FEW, LEVELS = 256, 2
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
