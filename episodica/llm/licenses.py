@@ -68,8 +68,8 @@ def _index() -> tuple:
         for h in sorted(first, key=lambda h: (-idf[h], first[h]))[:RARE]:
             rows.append((h, k, first[h], idf[h]))
     rows.sort()
-    h, template, at, weight = (np.array(x) for x in zip(*rows, strict=True))
-    h = h.astype(np.uint64)
+    h = np.array([r[0] for r in rows], np.uint64)
+    template, at, weight = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
     phrases = [[np.array([word_hash(w) for w in p.split()], np.uint64) for p in x] for _, _, x in TEMPLATES]
     base = [(label, np.array([word_hash(w) for w in p.split()], np.uint64)) for label, p in BASE]
     return h, template, at, weight, np.bincount(template, weight), [len(x) for x in texts], phrases, base
