@@ -25,10 +25,11 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,19 +214,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _matchless(index: Broadcast) -> Callable[[pd.Series], pd.Series]:
+    def run(texts: pd.Series) -> pd.Series:
+        bad = np.zeros(len(texts), bool)
+        for start, held in chunks(texts):
+            for d, *_ in index.value.matches(held):
+                bad[start + d] = True
+        return pd.Series(~bad)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text matches no item."""
     small_batches(docs.sparkSession)
     for items in _shards(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(Index(items))
-
-        def run(texts: pd.Series, index=index) -> pd.Series:
-            bad = np.zeros(len(texts), bool)
-            for start, held in chunks(texts):
-                for d, *_ in index.value.matches(held):
-                    bad[start + d] = True
-            return pd.Series(~bad)
-
-        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        docs = docs.where(F.pandas_udf(run, "boolean")(F.col("text").cast("string")))
+        docs = docs.where(F.pandas_udf(_matchless(index), "boolean")(F.col("text").cast("string")))
     return docs
