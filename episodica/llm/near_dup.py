@@ -35,6 +35,8 @@ from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, shared, small_bat
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
 #: Members of a bucket that are verified in pairs, and bands that cut a bucket at most.
 FEW, LEVELS = 256, 2
+#: Ids of 8 bytes that a broadcast may hold.
+SENT = 1 << 20
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -115,10 +117,16 @@ def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": ids[start : start + len(texts)], "elements": [elements[cut[k] : cut[k + 1]] for k in range(len(texts))]})
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with these ids; texts only move where the ids are too many to send to all."""
+    ids = shared(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets have a weighted Jaccard similarity of at least the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    elements = docs.join(ids, "doc_id", "left_semi").mapInPandas(_elements, "doc_id long, elements array<long>")
+    elements = _of(docs, ids).mapInPandas(_elements, "doc_id long, elements array<long>")
     both = pairs.join(elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= THRESHOLD * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -183,6 +191,8 @@ def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         rest = shared(rest.join(mixed, "bucket"))
         if rest.isEmpty():
             return roots
+        if few is None:  # from here on the texts of mixed buckets are all that is read
+            docs = shared(_of(docs, rest.select(F.col("node").alias("doc_id")).distinct()))
         # all pairs of a bucket of a few; of a large one, members that are alike share a later band too
         few = rest.where(F.col("members") <= FEW).drop("members")
         active = rest.where(F.col("members") > FEW).drop("members")
