@@ -9,10 +9,14 @@ is a connected component of that relation.
   places above the shingle's weight are thinned out.  A process ends when its next point exceeds all components, so the
   work is near n + m log m.  Two signatures agree in a component with probability equal to the weighted Jaccard similarity.
 * Bands of five components (24 of them) give buckets; 0.007 % of pairs at 0.8 share none, fewer above.
-* Within a bucket not all are paired with all: the member that meets most others in all its buckets is the pivot, and all members
-  are verified against it.  The pivot leaves; a bucket goes on while it holds members of different classes, so no link
-  that could join classes goes untested.  Of those, buckets of a few members are verified in pairs, and larger ones are cut by
-  later bands (pairs at 0.8 share 7.9 of the 24) and start again; buckets of two bands lose a pivot a round until they are done.
+* Within a bucket not all are paired with all.  The member that meets most others in all its buckets is the pivot p, and all
+  members are verified against it; in buckets that still hold members of different classes, up to two more pivots, of classes
+  that gave none yet, join further classes.
+* The pairs left are found exactly by what members differ in from the bucket's first pivot.  With A, R the elements that x has
+  more and less than p, and h = 4|A| + 5|R|, x is alike to p when h <= |p|; x and y are alike only when they share at least
+  (h(x) + h(y) - |p|) / 9 of their differences.  Two members alike to p are of one class, so for the others this is 1 or more:
+  members meet by equal elements in the first few of their differences (A before R, so rare before frequent) and are verified
+  if their places there allow for enough in common.  Texts of a group that are alike to p but little to each other never meet.
 
 Defined results: a null or wordless text is a class of its own; equal word sequences are one class, whatever their number;
 rows that share a doc_id are one document; rows with a null doc_id have a null class and are never dropped by dedupe();
@@ -22,7 +26,6 @@ other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, shared, small_batches
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
-#: Members of a bucket that are verified in pairs, and bands that cut a bucket at most.
-FEW, LEVELS = 256, 2
+#: Pivots that a bucket has at most before its members meet by their differences.
+PIVOTS = 3
 #: Ids of 8 bytes that a broadcast may hold.
 SENT = 1 << 20
 
@@ -123,10 +126,17 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements) of these documents."""
+    return _of(docs, ids.distinct()).mapInPandas(_elements, "doc_id long, elements array<long>")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets have a weighted Jaccard similarity of at least the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    elements = _of(docs, ids).mapInPandas(_elements, "doc_id long, elements array<long>")
     both = pairs.join(elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= THRESHOLD * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -167,46 +177,60 @@ def _pairs(left: DataFrame, right: DataFrame, ok: Column) -> DataFrame:
     return left.join(other, "bucket").where(near & ok).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
-def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def _apart(elements: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b) of members (pivot, node, n, root) of one pivot that may be alike, found by their differences from it."""
+    held = members.join(elements.select(F.col("doc_id").alias("node"), F.col("elements").alias("x")), "node")
+    held = held.join(elements.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("y")), "pivot")
+    more, less = F.array_except("x", "y"), F.array_except("y", "x")
+    held = held.select("pivot", "node", "n", "root", F.size("y").alias("p"), F.sort_array(more).alias("more"), F.sort_array(less).alias("less"))
+    held = held.withColumn("h", 4 * F.size("more") + 5 * F.size("less")).withColumn("d", F.size("more") + F.size("less")).withColumn("far", F.col("h") > F.col("p"))
+    # differences to share with a member that is not alike to the pivot: over h / 9; with one that is: at least (h - p) / 5
+    held = held.withColumn("short", F.expr("d - h div 9"))
+    long = F.expr("CASE WHEN far THEN greatest(short, d + 1 - (h - p + 4) div 5) ELSE short END")
+    held = held.where(long > 0).withColumn("first", F.slice(F.concat("more", "less"), F.lit(1), long)).drop("more", "less")
+    places = held.select("*", F.posexplode("first").alias("place", "element")).drop("first")
+    right = places.where("far").select("pivot", "element", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "h", "d", "short", "place")])
+    shared_most = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
+    enough = 9 * shared_most >= F.col("h") + F.col("h2") - F.col("p")
+    near = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= THRESHOLD * F.greatest("n", "n2"))
+    once = ~F.col("far") | ((F.col("place2") < F.col("short2")) & (F.col("node") < F.col("node2")))
+    met = places.where("place < short").join(right, ["pivot", "element"]).where(enough & near & once)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of all nodes that are alike to others; nodes: doc_id, n, bands, one per distinct text."""
     bands = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "value"))
-    buckets = bands.select(F.xxhash64("band", "value").alias("bucket"), "band", "node", "n")
+    buckets = bands.select(F.xxhash64("band", "value").alias("bucket"), "node", "n")
     shares = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     active = shared(buckets.join(shares, "bucket"))
     # a text that meets many others is likely to be what they are copies of: it goes first
     central = active.groupBy("node").agg(F.sum("members").alias("score"))
     active = shared(active.drop("members").join(central, "node").withColumn("root", F.col("node")))
-    few, roots, level = None, None, 1
-    while True:
-        rank = F.struct("score", F.xxhash64("node").alias("h"), "node", "n", "root")
-        pivots = active.groupBy("bucket").agg(F.max(rank).alias("p")).select("bucket", "p.node", "p.n", "p.root")
-        pairs = _pairs(active, pivots, F.col("node") != F.col("node2"))
-        if few is not None:
-            pairs = pairs.union(_pairs(few, few, F.col("node") < F.col("node2")))
-        pairs = shared(pairs.distinct())
-        roots = _grown(roots, shared(_verified(docs, pairs)))
-        rest = active.drop("root").join(pivots.select("bucket", F.col("node").alias("pivot")), "bucket").where("node <> pivot").drop("pivot")
-        rest = shared(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
-        rest = shared(rest.join(mixed, "bucket"))
-        if rest.isEmpty():
+    rank = F.struct("score", F.xxhash64("node").alias("h"), "node", "n", "root")
+    first = elements = roots = tried = None
+    for _ in range(PIVOTS):
+        fresh = active
+        if tried is not None:
+            fresh = active.join(tried.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root")), ["bucket", "root"], "left_anti")
+        pivots = shared(fresh.groupBy("bucket").agg(F.max(rank).alias("p")).select("bucket", "p.node", "p.n", "p.root"))
+        pairs = shared(_pairs(active, pivots, F.col("node") != F.col("node2")).distinct())
+        roots = _grown(roots, shared(_verified(elements if elements is not None else _contents(docs, _ends(pairs)), pairs)))
+        tried = pivots.select("bucket", "node") if tried is None else tried.union(pivots.select("bucket", "node"))
+        if first is None:
+            first = pivots.select("bucket", F.col("node").alias("pivot"))
+            active = active.join(first, "bucket").where("node <> pivot").drop("pivot")
+        active = shared(active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        mixed = active.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        active = shared(active.join(mixed, "bucket", "left_semi"))
+        if active.isEmpty():
             return roots
-        if few is None:  # from here on the texts of mixed buckets are all that is read
-            docs = shared(_of(docs, rest.select(F.col("node").alias("doc_id")).distinct()))
-        # all pairs of a bucket of a few; of a large one, members that are alike share a later band too
-        few = rest.where(F.col("members") <= FEW).drop("members")
-        active = rest.where(F.col("members") > FEW).drop("members")
-        if level < LEVELS:
-            level += 1
-            later = bands.select("node", F.col("band").alias("later"), "value")
-            # sizes of alike texts differ by a fifth at most: they share one of two neighbouring cells
-            cell = F.floor(F.log("n") / math.log(1 / THRESHOLD))
-            cells = F.explode(F.array(cell, cell + 1)).alias("cell")
-            finer = active.join(later, "node").where("later > band").select("*", cells)
-            finer = finer.select(F.xxhash64("bucket", "later", "value", "cell").alias("bucket"), F.col("later").alias("band"), "node", "n", "score", "root")
-            shares = finer.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-            active = finer.join(shares, "bucket", "left_semi")
-        active = shared(active)
+        if elements is None:  # from here on the texts of mixed buckets are all that is read
+            first = shared(first.join(active.select("bucket"), "bucket", "left_semi"))
+            elements = shared(_contents(docs, active.select(F.col("node").alias("doc_id")).union(first.select("pivot"))))
+    members = shared(active.join(first, "bucket").select("pivot", "node", "n", "root").distinct())
+    pairs = shared(_apart(elements, members).distinct())
+    return _grown(roots, shared(_verified(elements, pairs)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -221,7 +245,7 @@ def classes(docs: DataFrame) -> DataFrame:
     several = signed.where("key IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
     roots = _linked(known, texts.dropDuplicates(["doc_id"]))
     by_key = texts.select("key", F.col("doc_id").alias("node"))
-    by_key = by_key.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id")) if roots is not None else by_key.select("key", F.col("node").alias("class_id"))
+    by_key = by_key.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
     rows = signed.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     repeated = shared(several)
     if not repeated.isEmpty():

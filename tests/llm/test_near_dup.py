@@ -75,6 +75,24 @@ def test_classes_equal_brute_force_on_table(spark, sf):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_large_group_around_the_threshold(spark):
+    """Copies of two texts that are alike themselves, with so many edits that most pairs are near or below the threshold."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(900)]
+    one = [rng.choice(words) for _ in range(140)]
+    two = one[:118] + [rng.choice(words) for _ in range(22)]
+    rows = []
+    for k in range(420):
+        now = list(two if k % 3 == 0 else one)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 5))):
+            at = rng.randrange(len(now))
+            now[at : at + rng.choice((0, 1, 1, 2))] = rng.choice(([], [rng.choice(words)], [rng.choice(words)]))
+        rows.append((k, " ".join(now)))
+    want = brute(rows)
+    assert len(set(want.values())) > 10
+    assert {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame([(d, t, "s") for d, t in rows], DOCS)).collect()} == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 300).astype(np.uint64)
