@@ -25,12 +25,13 @@ other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, shared, small_batches
@@ -142,6 +143,12 @@ def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(common >= THRESHOLD * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are gone: it learns of them by the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the component.  Large-star and small-star steps until nothing changes."""
     edges = shared(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -157,6 +164,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
+        _release(edges.sparkSession)
 
 
 def _grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -177,17 +185,25 @@ def _pairs(left: DataFrame, right: DataFrame, ok: Column) -> DataFrame:
     return left.join(other, "bucket").where(near & ok).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
+def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each member's elements x differ in from its pivot's y: sizes, and the first of the differences, in a fixed order."""
+    for frame in batches:
+        rows = []
+        for x, y in zip(frame["x"], frame["y"], strict=True):
+            more, less = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+            h, d, p = 4 * len(more) + 5 * len(less), len(more) + len(less), len(y)
+            # differences to share with a member that is not alike to the pivot: over h / 9; with one that is: at least (h - p) / 5
+            short = d - h // 9
+            long = max(short, d + 1 - -((p - h) // 5)) if h > p else short
+            rows.append((p, h, d, h > p, short, np.concatenate((more, less))[: max(long, 0)]))
+        yield frame[["pivot", "node", "n", "root"]].join(pd.DataFrame(rows, frame.index, ["p", "h", "d", "far", "short", "first"]))
+
+
 def _apart(elements: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b) of members (pivot, node, n, root) of one pivot that may be alike, found by their differences from it."""
     held = members.join(elements.select(F.col("doc_id").alias("node"), F.col("elements").alias("x")), "node")
-    held = held.join(elements.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("y")), "pivot")
-    more, less = F.array_except("x", "y"), F.array_except("y", "x")
-    held = held.select("pivot", "node", "n", "root", F.size("y").alias("p"), F.sort_array(more).alias("more"), F.sort_array(less).alias("less"))
-    held = held.withColumn("h", 4 * F.size("more") + 5 * F.size("less")).withColumn("d", F.size("more") + F.size("less")).withColumn("far", F.col("h") > F.col("p"))
-    # differences to share with a member that is not alike to the pivot: over h / 9; with one that is: at least (h - p) / 5
-    held = held.withColumn("short", F.expr("d - h div 9"))
-    long = F.expr("CASE WHEN far THEN greatest(short, d + 1 - (h - p + 4) div 5) ELSE short END")
-    held = held.where(long > 0).withColumn("first", F.slice(F.concat("more", "less"), F.lit(1), long)).drop("more", "less")
+    held = held.join(elements.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("y")), "pivot").select("pivot", "node", "n", "root", "x", "y")
+    held = shared(held.mapInPandas(_differ, "pivot long, node long, n int, root long, p int, h int, d int, far boolean, short int, first array<long>"))
     places = held.select("*", F.posexplode("first").alias("place", "element")).drop("first")
     right = places.where("far").select("pivot", "element", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "h", "d", "short", "place")])
     shared_most = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
@@ -225,6 +241,7 @@ def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         active = shared(active.join(mixed, "bucket", "left_semi"))
         if active.isEmpty():
             return roots
+        _release(docs.sparkSession)
         if elements is None:  # from here on the texts of mixed buckets are all that is read
             first = shared(first.join(active.select("bucket"), "bucket", "left_semi"))
             elements = shared(_contents(docs, active.select(F.col("node").alias("doc_id")).union(first.select("pivot"))))
