@@ -15,7 +15,7 @@ is a connected component of that relation.
 * The pairs left are found exactly by what members differ in from the bucket's first pivot.  With A, R the elements that x has
   more and less than p, and h = 4|A| + 5|R|, x is alike to p when h <= |p|; x and y are alike only when they share at least
   (h(x) + h(y) - |p|) / 9 of their differences.  Two members alike to p are of one class, so for the others this is 1 or more:
-  members meet by equal elements in the first few of their differences (A before R, so rare before frequent) and are verified
+  members meet by equal elements in the first few of their differences (rare before frequent) and are verified
   if their places there allow for enough in common.  Texts of a group that are alike to p but little to each other never meet.
 
 Defined results: a null or wordless text is a class of its own; equal word sequences are one class, whatever their number;
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, shared, small_batches
@@ -186,7 +186,7 @@ def _pairs(left: DataFrame, right: DataFrame, ok: Column) -> DataFrame:
 
 
 def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each member's elements x differ in from its pivot's y: sizes, and the first of the differences, in a fixed order."""
+    """What each member's elements x differ in from its pivot's y, and how many of the differences may have to be looked at."""
     for frame in batches:
         rows = []
         for x, y in zip(frame["x"], frame["y"], strict=True):
@@ -195,16 +195,22 @@ def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # differences to share with a member that is not alike to the pivot: over h / 9; with one that is: at least (h - p) / 5
             short = d - h // 9
             long = max(short, d + 1 - -((p - h) // 5)) if h > p else short
-            rows.append((p, h, d, h > p, short, np.concatenate((more, less))[: max(long, 0)]))
-        yield frame[["pivot", "node", "n", "root"]].join(pd.DataFrame(rows, frame.index, ["p", "h", "d", "far", "short", "first"]))
+            rows.append((p, h, d, h > p, short, long, np.concatenate((more, less))))
+        yield frame[["pivot", "node", "n", "root"]].join(pd.DataFrame(rows, frame.index, ["p", "h", "d", "far", "short", "long", "differences"]))
 
 
 def _apart(elements: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b) of members (pivot, node, n, root) of one pivot that may be alike, found by their differences from it."""
     held = members.join(elements.select(F.col("doc_id").alias("node"), F.col("elements").alias("x")), "node")
     held = held.join(elements.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("y")), "pivot").select("pivot", "node", "n", "root", "x", "y")
-    held = shared(held.mapInPandas(_differ, "pivot long, node long, n int, root long, p int, h int, d int, far boolean, short int, first array<long>"))
-    places = held.select("*", F.posexplode("first").alias("place", "element")).drop("first")
+    held = held.mapInPandas(_differ, "pivot long, node long, n int, root long, p int, h int, d int, far boolean, short int, long int, differences array<long>")
+    held = shared(held.where("long > 0").repartition("pivot", "node"))
+    every = held.select("*", F.explode("differences").alias("element")).drop("differences")
+    # differences that only one member has come first and meet none; the others follow, rare before frequent
+    common = every.groupBy("pivot", "element").agg(F.count("*").alias("times")).where("times > 1")
+    mine = Window.partitionBy("pivot", "node")
+    places = every.join(common, ["pivot", "element"]).withColumn("place", F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "element")) - 1)
+    places = shared(places.where("place < long").drop("times", "long"))
     right = places.where("far").select("pivot", "element", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "h", "d", "short", "place")])
     shared_most = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
     enough = 9 * shared_most >= F.col("h") + F.col("h2") - F.col("p")
