@@ -93,21 +93,29 @@ class Index:
         self.size = max(1, -(-n // BLOCKS))  # segments in a block
         self.terms = np.array(sorted(self.postings), np.uint64)
         self.block_max = np.zeros((len(self.terms) + 1, BLOCKS), np.float32)
+        self.runs: list[dict[int, list[tuple[int, float]]]] = []  # of each term: its postings by block
         for k, t in enumerate(self.terms.tolist()):
+            own: dict[int, list[tuple[int, float]]] = defaultdict(list)
             for s, w in self.postings[t]:
-                self.block_max[k, s // self.size] = max(self.block_max[k, s // self.size], w)
+                own[s // self.size].append((s, w))
+            self.runs.append(dict(own))
+            for b, run in own.items():
+                self.block_max[k, b] = max(w for _, w in run)
 
     def term_numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word among the terms, len(terms) for others."""
         at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
         return np.where(self.terms[at] == hashes, at, len(self.terms)) if len(self.terms) else np.zeros(len(hashes), np.int64)
 
-    def search(self, numbers: list[int], threshold: float) -> list[tuple[int, float]]:
+    def search(self, numbers: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all segments whose score against these distinct terms reaches the threshold."""
+        maxima = self.block_max[numbers]
+        blocks = np.flatnonzero(maxima.sum(axis=0) >= threshold - 1e-4).tolist()  # no segment of another block can do
         lists = []
-        for k in numbers:
-            posting = self.postings[int(self.terms[k])]
-            lists.append([0, [s for s, _ in posting], [w for _, w in posting], float(self.block_max[k].max()), self.block_max[k]])
+        for k, own in zip(numbers.tolist() if blocks else (), maxima, strict=False):
+            held = [self.runs[k][b] for b in blocks if b in self.runs[k]]
+            if held:
+                lists.append([0, [s for run in held for s, _ in run], [w for run in held for _, w in run], float(own[blocks].max()), own])
         found, goal = [], threshold - 1e-6
         while lists:
             lists.sort(key=lambda x: x[1][x[0]])
@@ -150,28 +158,29 @@ class Index:
         if not len(words.hash):
             return []
         terms = self.term_numbers(words.hash)
-        # passages start at each half passage of a document, the last one shorter
-        half = PASSAGE // 2
-        n = np.maximum(-(-words.count // half) - 1, 1) * (words.count > 0)
-        doc = np.repeat(np.arange(len(texts)), n)
-        start = words.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * half
-        stop = np.minimum(start + PASSAGE, words.first[doc] + words.count[doc])
         known = np.flatnonzero(terms < len(self.terms))
         if not len(known):
             return []
-        lo, hi = np.searchsorted(known, start), np.searchsorted(known, stop)
-        halves = np.unique(np.concatenate((lo, hi)))
-        halves = halves[halves < len(known)]
-        sums = np.add.reduceat(self.block_max[terms[known]], halves, axis=0) if len(halves) else np.zeros((0, BLOCKS))
-        running = np.vstack((np.zeros((1, BLOCKS)), np.cumsum(sums, axis=0, dtype=np.float64)))
-        place = lambda x: np.searchsorted(halves, x)
-        bound = (running[place(hi)] - running[place(lo)]).max(axis=1)
+        # passages start at each half passage of a document: a passage is two halves, or a document's only one
+        half, width = PASSAGE // 2, len(self.terms)
+        halves = -(-words.count // half)
+        base = np.cumsum(halves) - halves
+        number = base[words.doc[known]] + (known - words.first[words.doc[known]]) // half
+        distinct = np.unique(number * width + terms[known])
+        number, term = distinct // width, distinct % width
+        edges = np.searchsorted(number, np.arange(halves.sum() + 1))
+        some = np.flatnonzero(np.diff(edges))
+        sums = np.zeros((len(edges), BLOCKS))
+        sums[some] = np.add.reduceat(self.block_max[term], edges[some], axis=0)
+        n = np.maximum(halves - 1, 1) * (halves > 0)
+        doc = np.repeat(np.arange(len(texts)), n)
+        lo = base[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        hi = np.minimum(lo + 2, (base + halves)[doc])
+        bound = (sums[lo] + np.where((hi - lo == 2)[:, None], sums[lo + 1], 0)).max(axis=1)
         best: dict[tuple[int, int], float] = {}
         for p in np.flatnonzero(bound >= THRESHOLD - 1e-4).tolist():
-            own = np.unique(terms[known[lo[p] : hi[p]]])
-            if float(self.block_max[own].sum(axis=0).max()) < THRESHOLD - 1e-4:
-                continue
-            for s, score in self.search(own.tolist(), THRESHOLD):
+            own = np.unique(term[edges[lo[p]] : edges[hi[p]]])
+            for s, score in self.search(own, THRESHOLD):
                 key = (int(doc[p]), self.item_of[s])
                 best[key] = max(best.get(key, 0.0), score)
         out, held = [], {}

@@ -88,7 +88,7 @@ def test_block_max_wand_equals_exhaustive_scores():
     index = decontaminate.Index(items)
     for _ in range(300):
         own = decontaminate._words([" ".join([items[rng.integers(200)][1], *rng.choice(words, 40)])]).hash[rng.integers(5) :]
-        numbers = sorted(set(index.term_numbers(own).tolist()) - {len(index.terms)})
+        numbers = np.array(sorted(set(index.term_numbers(own).tolist()) - {len(index.terms)}), np.int64)
         assert {s for s, _ in index.search(numbers, decontaminate.THRESHOLD)} == exhaustive(index, own.tolist())
 
 
