@@ -16,6 +16,7 @@ Only DataFrame operations and SQL functions are used.
 Defined results: a null text stays null; a text without entities stays as it is; overlapping patterns: the one that starts first, then in
 the order above; repeated rows and rows with equal texts get equal results; clashing extra columns are kept by
 pseudonymise(); an empty table gives an empty result.  IBAN check digits are drawn like other digits.
+A run of more than 256 letters and digits before an @ is no address.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import shared
 from .spans import find
 
 #: Patterns of entities, in order of preference.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -40,7 +41,8 @@ MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Κύ
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа", "Κυρία")
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE)})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,30}}(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,30}})?(?![\p{{L}}\p{{N}}])"
 TYPES = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
-ANY = "|".join(f"(?:{p})" for _, p in TYPES)
+#: Every entity starts at a digit or where no ASCII letter or digit goes on: one look rejects all other places.
+ANY = f"(?:(?=[0-9])|(?<![A-Za-z0-9]))(?:{'|'.join(f'(?:{p})' for _, p in TYPES)})"
 #: Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl Daniel Edgar Felix Georg Hugo Ivan Jonas Karl Leon Martin Niklas Oscar Paul Quentin Rafael Simon Tomas Victor".split(),
