@@ -88,9 +88,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights + self.bias) + self.shift, -30, 30)))
 
 
-def _descend(x: np.ndarray, y: np.ndarray, penalty: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Nesterov's accelerated descent, classes weighted alike."""
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+def _descend(x: np.ndarray, y: np.ndarray, used: np.ndarray, penalty: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Nesterov's accelerated descent, classes weighted alike; rows not used weigh nothing, which spares a copy."""
+    weight = used * np.where(y > 0, 0.5 / max(y[used].sum(), 1), 0.5 / max((1 - y[used]).sum(), 1))
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     v, c = w.copy(), b
     for k in range(steps):
@@ -105,11 +105,11 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Model:
     """held: rows that only the calibration reads."""
     if not 0 < y[~held].sum() < (~held).sum():
         held = np.zeros(len(y), bool)
-    w, b = _descend(x[~held], y[~held], 1e-4, 300, 1.0)
+    w, b = _descend(x, y, ~held, 1e-4, 300, 1.0)
     at = held if 0 < y[held].sum() < held.sum() else ~held
-    score = (x[at] @ w + b)[:, None]
-    scale = max(float(np.abs(score).mean()), 1e-6)
-    slope, shift = _descend((score / scale).astype(np.float32), y[at], 1e-3, 500, 1.0)
+    score = (x @ w + b)[:, None]
+    scale = max(float(np.abs(score[at]).mean()), 1e-6)
+    slope, shift = _descend((score / scale).astype(np.float32), y, at, 1e-3, 500, 1.0)
     return Model(w, b, max(float(slope[0]) / scale, 1e-6), shift)
 
 
@@ -118,7 +118,8 @@ def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for start, texts in chunks(frame["text"], rows=128):
             x = features(Words([t.encode() for t in texts], NOT_SPACE))
             rows = frame.iloc[start : start + len(texts)]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "x": [r.astype("<f4").tobytes() for r in x]})
+            at = [np.flatnonzero(r) for r in x]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "at": [k.astype("<u2").tobytes() for k in at], "x": [r[k].astype("<f4").tobytes() for r, k in zip(x, at, strict=True)]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | None:
@@ -129,11 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample) for k in (0, 1)]
     picked = chosen[0].union(chosen[1])  # at most 2 x sample rows of 12 bytes: small enough to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(_sample_features, "doc_id long, label int, x binary").toPandas()
+    got = rows.mapInPandas(_sample_features, "doc_id long, label int, at binary, x binary").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     if got["label"].nunique() < 2:
         return None
-    x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), -1)
+    x = np.zeros((len(got), 2 * DIMS), np.float32)
+    for row, at, values in zip(x, got["at"], got["x"], strict=True):
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
     held = mix(got["doc_id"].to_numpy(np.int64).view(np.uint64) + GOLD) % np.uint64(5) == 0
     return fit(x, got["label"].to_numpy(np.float32), held)
 
