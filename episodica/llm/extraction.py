@@ -5,8 +5,8 @@ between them.  Over the pages of a host:
 
 * tokens with the same occurrence vector (how often the token stands on each page) form an equivalence class.  A vector is kept
   as its support and a sum of hashes of (page, count), so classes come from sums and no host's pages meet in one task;
-* a class is valid when it stands on enough pages and its tokens have the same order on all of them; valid
-  classes nest by ancestry and are the host's template;
+* a class counts when it stands on enough pages and its tokens have the same order on all of them; a token of it is valid when
+  its nearest counted ancestor is a token of such a class; valid tokens nest by ancestry and are the host's template;
 * the slots are the places under template nodes.  Slots under navigation, forms and the like (by element, class or id) are
   boilerplate.  The main slot is the article (or main) element of the template.  A template without one: slots that hold the same
   text on nearly all pages though the pages differ are boilerplate too, and the slot with most text is the main one.
@@ -65,7 +65,7 @@ class Node:
 def _marks(tag: str, attributes: str) -> tuple[str, set[str]]:
     found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
     names = [x for k, v in found for x in v.lower().split()]
-    return tag + "".join(f".{re.sub(r'[0-9]+', '0', x)}" for x in names[:3]), {w for x in names for w in re.split(r"[^a-z]+", x) if w}
+    return tag + "".join(f".{re.sub(r'[0-9]+', '0', x).replace('/', '|')}" for x in names[:3]), {w for x in names for w in re.split(r"[^a-z]+", x) if w}
 
 
 def read(page: str) -> Iterator[tuple[str, Node, str]]:
@@ -201,15 +201,18 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", *COLUMNS])
 
 
+def _up(token: str) -> str:
+    """The nearest ancestor that is counted: elements in TEXT are none."""
+    up = token.rpartition("/")[0]
+    while up and up.rpartition("/")[2].split(".")[0] in TEXT:
+        up = up.rpartition("/")[0]
+    return up
+
+
 def nested(classes: list[dict]) -> list[dict]:
-    """Valid classes: their tokens have different places, and hang below one another or below tokens of other valid classes."""
-    known = {t for c in classes for t in c["tokens"]}
-    out = []
-    for c in classes:
-        roots = [t for t in c["tokens"] if (up := t.rpartition("/")[0]) and up not in known]
-        if not roots:
-            out.append(c)
-    return out
+    """Classes of their valid tokens: those that hang below tokens of classes, or below none."""
+    known = {"", *(t for c in classes for t in c["tokens"])}
+    return [{**c, "tokens": [t for t in c["tokens"] if _up(t) in known]} for c in classes]
 
 
 def template(rows: pd.DataFrame) -> dict[str, list[str]]:

@@ -59,6 +59,20 @@ def test_extraction_without_article(spark):
     assert got == {k: f"Story {k} goes on and on for long." for k in range(20)}
 
 
+def extracted(spark, pages):
+    rows = [(k, url, page) for k, (url, page) in enumerate(pages)]
+    return [r.text for r in sorted(extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_extraction_below_items_and_odd_classes(spark):
+    menu = "<ul class='w-1/2'><li>Home<ul><li>One</li></ul></li></ul><table><tr><td><div>Cell</div></td></tr></table>"
+    body = "<html><body><nav>{menu}</nav>{menu}<div class='text w-1/2'><p>{story}</p>{items}</div></body></html>"
+    story = lambda k: f"Story {k} goes on and on, for it is long and has much to tell to whom it may concern in the year {k}, and later."
+    items = lambda k: "<ul><li>x</li></ul>" * (1 + k % 2)
+    got = extracted(spark, [("https://s.example/", body.replace("{menu}", menu).replace("{story}", story(k)).replace("{items}", items(k))) for k in range(20)])
+    assert got == [story(k) + " x" * (1 + k % 2) for k in range(20)]
+
+
 @pytest.mark.parametrize("limit", [1000, 20_000, 10**9])
 def test_shards_fit_and_split_only_when_they_must(spark, sf, limit):
     rows = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), limit).collect()
