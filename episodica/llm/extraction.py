@@ -1,17 +1,20 @@
 """HTML extraction (3): equivalence-class template deduction.
 
 A page is a sequence of structural tokens (a block element with its class and id, under its block ancestors) with text
-between them.  Over the pages of a host:
+between them.  Over the pages of a host, and over those of each of its layouts (pages whose text
+lies for the most part in the same containers):
 
 * tokens with the same occurrence vector (how often the token stands on each page) form an equivalence class.  A vector is kept
   as its support and a sum of hashes of (page, count), so classes come from sums and no host's pages meet in one task;
 * a class counts when it stands on enough pages and its tokens have the same order on all of them; a token of it is valid when
   its nearest counted ancestor is a token of such a class; valid tokens nest by ancestry and are the host's template;
 * the slots are the places under template nodes.  Slots under navigation, forms and the like (by element, class or id) are
-  boilerplate.  The main slot is the article (or main) element of the template.  A template without one: slots that hold the same
-  text on nearly all pages though the pages differ are boilerplate too, and the slot with most text is the main one.
+  boilerplate, and so are slots that hold the same text on nearly all pages though the pages differ.  The main slot is the one with
+  most text; there is none if more text stands in places that the pages do not share (a path that holds the page's name, say).
 
-A page gives the blocks of text in its main slot.  Nothing else is dropped: text that pages share is kept.
+A page gives the blocks of text in its article (or main) element.  A page without one gives those in the main slot of its host, or
+else of its layout, and a page that holds neither those of its own container with most text, before all in places that the pages
+do not share.  Nothing else is dropped: text that pages share in an article is kept.
 
 Defined results: a null or empty page, and one without main text, gives the empty text and 0; pages without a host share the
 empty one; broken markup is read on to its end; equal rows each get their own result row; extra columns are not read; an empty
@@ -21,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import json
 import re
 from collections import defaultdict
@@ -51,6 +55,9 @@ SPACE = re.compile(r"\s+")
 LEAST_PAGES, SAME_SHARE, VARIED = 10, 0.9, 0.5
 #: Share of a host's pages that a template token stands on.
 SUPPORT = 0.5
+#: Share of a page's text in a container that makes it part of the page's layout; share of a host's pages (two at least) that a
+#: layout needs for a template of its own.
+HEAVY, LAYOUT = 0.2, 0.01
 #: Bytes of templates that may be broadcast.
 BROADCAST = 32 << 20
 
@@ -58,7 +65,8 @@ BROADCAST = 32 << 20
 class Node:
     __slots__ = ("tag", "path", "off", "main", "parent")
 
-    def __init__(self, tag: str, path: str, off: bool, main: bool, parent: Node | None):
+    def __init__(self, tag: str, path: str, off: bool, main: int, parent: Node | None):
+        # main: 2 in an article element, 1 in a main element, else 0
         self.tag, self.path, self.off, self.main, self.parent = tag, path, off, main, parent
 
 
@@ -70,7 +78,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, set[str]]:
 
 def read(page: str) -> Iterator[tuple[str, Node, str]]:
     """("open", node, "") of each block element, and ("text", node, text) of each block's text, white space in order."""
-    node = Node("", "", False, False, None)
+    node = Node("", "", False, 0, None)
     held: list[str] = []
 
     def flush() -> Iterator[tuple[str, Node, str]]:
@@ -133,7 +141,11 @@ def read(page: str) -> Iterator[tuple[str, Node, str]]:
         label, marks = _marks(tag, page[stop:at])
         off = node.off or tag in NOT_MAIN or (tag == "header" and not node.main) or bool(marks & MARKS and not (tag in ("article", "main", "body", "html")))
         off = off or (tag == "article" and bool(marks & {"comment", "comments", "reply"}))
-        main = node.main or (not off and (tag in ("article", "main") or "main" in marks and tag in ("div", "section") and "role" in page[stop:at].lower()))
+        main = node.main
+        if not off and tag == "article":
+            main = 2
+        elif not off and (tag == "main" or "main" in marks and tag in ("div", "section") and "role" in page[stop:at].lower()):
+            main = max(main, 1)
         node = Node(tag, f"{node.path}/{label}", off, main, node)
         if page[at - 2 : at] == "/>":
             node = node.parent
@@ -156,13 +168,36 @@ def _container(node: Node) -> Node:
     return node
 
 
-def page_tokens(page: str, number: int) -> dict[str, list[int]]:
-    """token: pages, vector, order, characters of text, least and greatest hash of its text.  The token "" stands for the page."""
+def _masses(blocks: list[tuple[Node, str]]) -> dict[Node, int]:
+    """Characters of text in each container, with what it holds."""
+    mass: dict[Node, int] = defaultdict(int)
+    for node, text in blocks:
+        up: Node | None = node
+        while up is not None:
+            if up.tag not in TEXT:
+                mass[up] += len(text)
+            up = up.parent
+    return mass
+
+
+def layout(blocks: list[tuple[Node, str]]) -> str:
+    """The layout of a page: the paths of the containers that hold much of its text."""
+    free = [(node, text) for node, text in blocks if not node.off]
+    mass: dict[str, int] = defaultdict(int)
+    for node, n in _masses(free).items():
+        mass[node.path] += n
+    total = sum(len(text) for _, text in free)
+    return f"{_hash(*sorted(p for p, n in mass.items() if n >= HEAVY * total)):016x}"
+
+
+def page_tokens(page: str, number: int) -> tuple[str, dict[str, list[int]]]:
+    """layout, and token: pages, vector, order, characters of text, least and greatest hash of its text.  The token "" stands for the page."""
     count: dict[str, int] = defaultdict(int)
     first: dict[str, int] = {}
     chars: dict[str, int] = defaultdict(int)
     texts: dict[str, int] = defaultdict(int)
     whole = 0
+    blocks = []
     for what, node, text in read(page):
         if what == "open":
             if node.tag not in TEXT:
@@ -174,31 +209,34 @@ def page_tokens(page: str, number: int) -> dict[str, list[int]]:
                 chars[own] += len(text)
             texts[own] = (texts[own] * 31 + _hash(text)) % (1 << 62)
             whole = (whole * 31 + _hash(text)) % (1 << 62)
+            blocks.append((node, text))
     out = {"": [1, _hash(number) >> 33, 0, 0, sum(chars.values()), whole, whole]}
     for t, n in count.items():
         h = texts.get(t, 0)
         out[t] = [1, _hash(number, n) >> 33, first[t], first[t], chars.get(t, 0), h, h]
-    return out
+    return layout(blocks), out
 
 
 COLUMNS = ["pages", "vector", "first", "last", "chars", "low", "high"]
-TOKENS = "host string, token string, " + ", ".join(f"{c} long" for c in COLUMNS)
+TOKENS = "host string, layout string, token string, " + ", ".join(f"{c} long" for c in COLUMNS)
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, str, str], list[int]] = {}
         for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
             host = host_of(url)
-            for token, x in page_tokens(page if isinstance(page, str) else "", _hash(page_id, url)).items():
-                y = sums.get((host, token))
+            kind, tokens = page_tokens(page if isinstance(page, str) else "", _hash(page_id, url))
+            # each page counts for its host (layout "") and for its layout of it
+            for key, (token, x) in itertools.product(("", kind), tokens.items()):
+                y = sums.get((host, key, token))
                 if y is None:
-                    sums[host, token] = x
+                    sums[host, key, token] = list(x)
                 else:
                     for k in (0, 1, 4):
                         y[k] += x[k]
                     y[2], y[3], y[5], y[6] = min(y[2], x[2]), max(y[3], x[3]), min(y[5], x[5]), max(y[6], x[6])
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", *COLUMNS])
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "layout", "token", *COLUMNS])
 
 
 def _up(token: str) -> str:
@@ -216,7 +254,8 @@ def nested(classes: list[dict]) -> list[dict]:
 
 
 def template(rows: pd.DataFrame) -> dict[str, list[str]]:
-    """main: paths of the main slot; drop: paths of slots that hold boilerplate.  rows: the tokens of a host that its pages share."""
+    """main: path of the main slot, if the pages share it; drop: paths of slots that hold boilerplate; other: paths of the slots
+    with text that are neither.  rows: the tokens of a host, or of a layout of it, that its pages share."""
     host = rows[rows["token"] == ""].iloc[0]
     n = int(host["pages"])
     classes = [{"tokens": x["token"].tolist(), "pages": int(x["pages"].iloc[0])} for _, x in rows[rows["token"] != ""].groupby(["pages", "vector"])]
@@ -224,45 +263,78 @@ def template(rows: pd.DataFrame) -> dict[str, list[str]]:
     rows = rows[rows["token"].isin(kept)]
     varied = n >= LEAST_PAGES and host["low"] != host["high"]
     drop = [r.token for r in rows.itertuples() if varied and r.low == r.high and r.low and r.pages >= SAME_SHARE * n and not re.search(r"/(article|main)(\.[^/]*)?$", r.token)]
-    tags = {t: [x.split(".")[0] for x in t.split("/")[1:]] for t in rows["token"]}
-    for tag in ("article", "main"):
-        main = sorted(t for t, x in tags.items() if x and x[-1] == tag)
-        if main:
-            return {"main": main, "drop": []}  # what an article repeats is still its text
     free = rows[(rows["chars"] > 0) & ~rows["token"].isin(drop)]
     if not len(free):
-        return {"main": [], "drop": drop}
+        return {"main": [], "drop": drop, "other": []}
     # the slot with most text: of nested slots, the innermost that holds most of the text
     mass = {t: float(free.loc[[t == u or u.startswith(t + "/") for u in free["token"]], "chars"].sum()) for t in free["token"]}
     most = max(mass.values())
     best = max((t for t, x in mass.items() if x >= 0.8 * most), key=lambda t: (t.count("/"), t))
-    return {"main": [best], "drop": drop}
+    # text in places that the pages do not share may be the main text of each page, whatever stands beside it
+    if float(host["chars"]) - float(rows["chars"].sum()) > mass[best]:
+        return {"main": [], "drop": drop, "other": sorted(free["token"])}
+    return {"main": [best], "drop": drop, "other": sorted(t for t in free["token"] if t != best and not t.startswith(best + "/"))}
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON of template()), from the classes of equal occurrence vectors."""
+    """host, template (JSON of template() by layout, "" for all pages), from the classes of equal occurrence vectors."""
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     agg = [F.sum(c).alias(c) for c in ("pages", "vector", "chars")] + [F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")]
-    tokens = shared(rows.mapInPandas(_tokens, TOKENS).groupBy("host", "token").agg(*agg))
-    size = tokens.where("token = ''").select("host", F.col("pages").alias("n"))
-    # what half of the pages share is no more than twice what a page holds: a host's tokens fit a task
-    often = tokens.join(size, "host").where(F.col("pages") >= SUPPORT * F.col("n"))
+    tokens = shared(rows.mapInPandas(_tokens, TOKENS).groupBy("host", "layout", "token").agg(*agg))
+    size = tokens.where("token = ''").select("host", "layout", F.col("pages").alias("n"))
+    whole = size.where("layout = ''").select("host", F.col("n").alias("whole"))
+    size = size.join(whole, "host").where((F.col("layout") == "") | (F.col("n") >= F.greatest(F.lit(2.0), LAYOUT * F.col("whole"))))
+    # what half of the pages share is no more than twice what a page holds: a layout's tokens fit a task
+    often = tokens.join(size, ["host", "layout"]).where(F.col("pages") >= SUPPORT * F.col("n"))
 
     def deduce(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "template": [json.dumps(template(frame))]})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "layout": [frame["layout"].iloc[0]], "template": [json.dumps(template(frame))]})
+
+    each = often.select("host", "layout", "token", *COLUMNS).groupBy("host", "layout").applyInPandas(deduce, "host string, layout string, template string")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("layout", "template"))), lambda x: F.concat(F.lit('"'), x["layout"], F.lit('": '), x["template"]))
+    return each.groupBy("host").agg(F.concat(F.lit("{"), F.concat_ws(", ", said), F.lit("}")).alias("template"))
+
+
+def heaviest(blocks: list[tuple[Node, str]]) -> list[str]:
+    """The text of the innermost container that holds most of the text."""
+    if not blocks:
+        return []
+    mass = _masses(blocks)
+    most = max(mass.values())
+    held = [node for node, n in mass.items() if n >= 0.8 * most]
+    best = max(held, key=lambda node: node.path.count("/"))
+
+    def inside(node: Node | None) -> bool:
+        while node is not None and node is not best:
+            node = node.parent
+        return node is best
 
-    return often.select("host", "token", *COLUMNS).groupBy("host").applyInPandas(deduce, "host string, template string")
+    return [text for node, text in blocks if inside(node)]
 
 
-def main_text(page: str, plan: dict[str, list[str]]) -> str:
-    """The text of the blocks in the main slot of a page."""
+def main_text(page: str, plans: dict[str, dict[str, list[str]]]) -> str:
+    """The text of the blocks in the main slot of a page: its own article or main element, else the slot of its host's template, or
+    that of its layout's, and on a page that has none of these its own container with most text."""
     blocks = [(node, text) for what, node, text in read(page) if what == "text"]
+    marked = max((node.main for node, _ in blocks if not node.off), default=0)
+    if marked:  # what an article repeats is still its text
+        return " ".join(text for node, text in blocks if not node.off and node.main == marked)
     inside = lambda path, roots: any(path == r or path.startswith(r + "/") for r in roots)
-    free = [(node, text) for node, text in blocks if not node.off and not (plan["drop"] and inside(node.path, plan["drop"]))]
-    main = [text for node, text in free if inside(node.path, plan["main"])]
-    if not main:
-        main = [text for node, text in free if node.main] or ([text for _, text in free] if not plan["main"] else [])
-    return " ".join(main)
+    kept = [(node, text) for node, text in blocks if not node.off]
+    known: set[str] = set()
+    for key in ("", layout(blocks)):
+        plan = plans.get(key)
+        if plan:
+            kept = [(node, text) for node, text in kept if not inside(node.path, plan["drop"])]
+            main = [text for node, text in kept if inside(node.path, plan["main"])]
+            if main:
+                return " ".join(main)
+            known.update(plan["other"])
+    # places that the pages share beside their main text come last
+    own = [(node, text) for node, text in kept if _container(node).path not in known]
+    if sum(len(text) for _, text in own) < HEAVY * sum(len(text) for _, text in kept):
+        own = kept
+    return " ".join(heaviest(own))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -276,7 +348,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for frame in batches:
             texts = []
             for page, plan in zip(frame["html"], frame["template"], strict=True):
-                plan = plan if isinstance(plan, str) else '{"main": [], "drop": []}'
+                plan = plan if isinstance(plan, str) else "{}"
                 if plan not in plans:
                     if len(plans) > 10_000:
                         plans.clear()

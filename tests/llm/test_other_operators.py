@@ -73,6 +73,20 @@ def test_extraction_below_items_and_odd_classes(spark):
     assert got == [story(k) + " x" * (1 + k % 2) for k in range(20)]
 
 
+def test_extraction_of_layouts(spark):
+    story = lambda k: f"Story {k} goes on and on, for it is long and has much to tell to whom it may concern in the year {k}, and later."
+    side = lambda k: f"<div class='intro'>Welcome, reader {k}</div><div class='recent'><p>Recent one {k}</p><p>Recent two {k}</p></div>"
+    page = lambda k, body: f"<html><body>{side(k)}{body}<div class='tail'>All rights</div></body></html>"
+    two = [("https://two.example/", page(k, f"<div class='{'story' if k % 3 else 'text'}'><p>{story(k)}</p></div>")) for k in range(30)]
+    slugs = [("https://slug.example/", page(k, f"<div id='on-{chr(97 + k)}-things'><p>{story(k)}</p></div>")) for k in range(20)]
+    articles = [("https://art.example/", page(k, f"<article id='on-{chr(97 + k)}-things'><p>{story(k)}</p></article>")) for k in range(20)]
+    mixed = [("https://mixed.example/", page(k, f"<article><p>{story(k)}</p></article>" if k else f"<div class='note'><p>{story(k)}</p></div>")) for k in range(20)]
+    nulls = [(None, page(k, f"<div class='c{chr(97 + k)}'><p>{story(k)}</p></div>")) for k in range(20)]
+    lone = [("https://lone.example/", page(0, f"<div class='text'><p>{story(0)}</p></div>"))]
+    got = extracted(spark, two + slugs + articles + mixed + nulls + lone)
+    assert got == [story(k) for group in (two, slugs, articles, mixed, nulls, lone) for k in range(len(group))]
+
+
 @pytest.mark.parametrize("limit", [1000, 20_000, 10**9])
 def test_shards_fit_and_split_only_when_they_must(spark, sf, limit):
     rows = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), limit).collect()
