@@ -19,7 +19,7 @@ is a connected component of that relation.
   if their places there allow for enough in common.  Texts of a group that are alike to p but little to each other never meet.
 
 Defined results: a null or wordless text is a class of its own; equal word sequences are one class, whatever their number;
-rows that share a doc_id are one document; rows with a null doc_id have a null class and are never dropped by dedupe();
+rows that share a doc_id are one document, which links the classes of its texts, but dedupe() goes by each row's own text; rows with a null doc_id have a null class and are never dropped by dedupe();
 other columns are not read; an empty table gives an empty result.
 """
 
@@ -98,11 +98,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bands = np.zeros((len(texts), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for r in range(ROWS):
                 bands = mix(bands * GOLD + points[:, :, r])
-            keys = [hashlib.blake2b(b" ".join(t.lower().encode().split()), digest_size=16).digest() for t in texts]
             some = words.count > 0
             yield pd.DataFrame({
                 "doc_id": ids[start : start + len(texts)],
-                "key": [k if s else None for k, s in zip(keys, some, strict=True)],
+                "key": _keys(texts),
                 "n": np.maximum(words.count - SHINGLE + 1, 1).astype(np.int32),
                 "bands": [x if s else None for x, s in zip(bands.view(np.int64), some, strict=True)],
             })
@@ -256,36 +255,92 @@ def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _grown(roots, shared(_verified(elements, pairs)))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class): one row per document."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _keys(texts: list[str]) -> list[bytes | None]:
+    """What texts of equal words share; a wordless text has none."""
+    words = [t.lower().encode().split() for t in texts]
+    return [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
+
+
+def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns and the key of each row's text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            texts = [t if isinstance(t, str) else "" for t in frame["said"]]
+            yield pd.DataFrame({"row": frame["row"], "key": _keys(texts)})
+
+    held = shared(rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("held"), F.col("text").cast("string").alias("said")).withColumn("row", F.monotonically_increasing_id()))
+    return held.join(held.select("row", "said").mapInPandas(run, "row long, key binary"), "row").select(*[F.col(f"held.`{c}`").alias(c) for c in columns], "key")
+
+
+def _fresh(keys: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, node) of these texts: numbers that are nobody's id."""
+    n, seed = keys.count(), 0
+    while True:
+        nodes = shared(keys.select("key", F.xxhash64("key", F.lit(seed)).alias("node")))
+        if nodes.select("node").distinct().count() == n and nodes.join(ids.select(F.col("doc_id").alias("node")), "node", "left_semi").isEmpty():
+            return nodes
+        seed += 1
+
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, key, root of the rows with an id, and whether rows of an id differ in text.  The root names the class of the row's
+    own text: the least doc_id of its class if no rows of an id differ, else any number."""
     known = docs.where("doc_id IS NOT NULL")
     signed = shared(known.mapInPandas(_sign, "doc_id long, key binary, n int, bands array<long>"))
-    texts = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    texts = shared(texts)
-    # a document whose rows differ links the classes of its texts
-    several = signed.where("key IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
-    roots = _linked(known, texts.dropDuplicates(["doc_id"]))
+    some = signed.where("key IS NOT NULL")
+    several = shared(some.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"))
+    differ = not several.isEmpty()
+    plain = some.join(several, "doc_id", "left_anti") if differ else some
+    texts = shared(plain.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    if differ:  # an id of several texts names none of them: those that no other id has get numbers of their own
+        others = some.join(several, "doc_id", "left_semi").join(texts.select("key"), "key", "left_anti")
+        others = shared(others.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))
+        nodes = _fresh(others.select("key"), signed)
+        said = _keyed(known.join(several, "doc_id", "left_semi"), ["text"]).join(nodes, "key").groupBy("key", "node").agg(F.first("text").alias("text"))
+        known = known.join(several, "doc_id", "left_anti").select("doc_id", "text").union(shared(said.select("node", "text")))
+        texts = shared(texts.select("key", "doc_id", "n", "bands").union(others.join(nodes, "key").select("key", "node", "n", "bands")))
+    roots = _linked(known, texts)
     by_key = texts.select("key", F.col("doc_id").alias("node"))
-    by_key = by_key.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
-    rows = signed.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    repeated = shared(several)
-    if not repeated.isEmpty():
-        own = rows.join(repeated, "doc_id", "left_semi")
-        merged = components(own.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
-        rows = rows.join(merged.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("class_id"))
+    by_key = by_key.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return signed.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", "key", "root"), differ
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class): one row per document."""
+    docs = _columns(docs)
+    rows, differ = _rooted(docs)
+    if differ:  # a document whose rows differ links the classes of its texts
+        rows = shared(rows)
+        own = rows.where("key IS NOT NULL").select("doc_id", "root").distinct()
+        low = own.groupBy("doc_id").agg(F.min("root").alias("low"))
+        merged = components(own.join(low, "doc_id").select(F.col("root").alias("a"), F.col("low").alias("b")))
+        moved = own.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("doc_id", F.coalesce("to", "root").alias("root"))
+        moved = shared(moved.distinct())
+        moved = moved.join(moved.groupBy("root").agg(F.min("doc_id").alias("least")), "root")
+        rows = rows.select("doc_id").distinct().join(moved.select("doc_id", "least"), "doc_id", "left").select("doc_id", F.col("least").alias("root"))
     nulls = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).union(nulls)
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("root", "doc_id")).alias("class_id")).union(nulls)
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those of documents that are not the first of their class; of rows that share a doc_id one stays."""
-    found = shared(classes(docs))
-    gone = found.where("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The rows of docs, all columns, without those whose text is a copy: of each class of texts a row of its least doc_id stays, and
+    of an id's wordless rows one."""
+    many = shared(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if many.isEmpty():
-        return kept
-    once = kept.join(many, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(many, "doc_id", "left_anti").select(docs.columns).union(once)
+        gone = shared(classes(docs)).where("doc_id <> class_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = shared(_rooted(_columns(docs))[0].where("key IS NOT NULL").distinct())
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    stay = shared(rows.join(least, "root").where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).select("doc_id", "key"))
+    one = docs.join(many, "doc_id", "left_anti")
+    kept = one.join(rows.select("doc_id").join(stay.select("doc_id"), "doc_id", "left_anti"), "doc_id", "left_anti").select(docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    keyed = shared(_keyed(docs.join(many, "doc_id", "left_semi").select("doc_id", "text", whole), ["doc_id", "whole"]).dropDuplicates(["doc_id", "key"]))
+    some = keyed.join(stay, ["doc_id", "key"], "left_semi").select("whole").union(keyed.where("key IS NULL").select("whole"))
+    return kept.union(some.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns]))

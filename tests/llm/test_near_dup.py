@@ -117,3 +117,18 @@ def test_defined_results(spark):
     assert near_dup.dedupe(spark.createDataFrame([], DOCS)).count() == 0
     several = spark.createDataFrame([(5, "a b c d e f", ""), (5, "g h i j k l", ""), (6, "g h i j k l", ""), (7, "a b c d e f", "")], DOCS)
     assert {r.doc_id: r.class_id for r in near_dup.classes(several).collect()} == {5: 5, 6: 5, 7: 5}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(500)) for _ in range(120)] for _ in range(9)]
+    whole = [" ".join(b) for b in base]
+    near = [" ".join([*b[:-1], "end"]) for b in base]
+    # id 1 has texts 0 to 5, and each has a near copy with an id of its own; 60 shares texts 5 and 6 with others
+    rows = [(1, whole[k], f"s{k}") for k in range(6)] + [(10 + k, near[k], "") for k in range(5)]
+    rows += [(60, near[5], ""), (60, whole[6], ""), (61, near[6], ""), (62, whole[7], ""), (62, whole[7], ""), (63, None, ""), (63, " ", ""), (63, near[8], ""), (None, whole[0], "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    assert got == {1: 1, 10: 1, 11: 1, 12: 1, 13: 1, 14: 1, 60: 1, 61: 1, 62: 62, 63: 63, None: None}
+    kept = Counter((r.doc_id, (r.text or "").strip()) for r in near_dup.dedupe(docs.withColumnRenamed("source", "key")).collect())
+    assert kept == Counter([*((1, whole[k]) for k in range(6)), (60, whole[6]), (62, whole[7]), (63, ""), (63, near[8]), (None, whole[0])])
