@@ -67,9 +67,15 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard (the prefix of the hash), depth, overflow (0, and on for rows that share all bits): one row per row of docs."""
+    return _placed(docs, limit)
+
+
+def _placed(docs: DataFrame, limit: int, *carried: Column) -> DataFrame:
+    """The rows of shard() with other columns of theirs."""
     text = F.col("text").cast("string")
     n_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes.alias("bytes"), hash_bits(F.col("doc_id"), F.md5(F.coalesce(text, F.lit("")))).alias("hash")))
+    rows = shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes.alias("bytes"), hash_bits(F.col("doc_id"), F.md5(F.coalesce(text, F.lit("")))).alias("hash"), *carried))
+    names = rows.columns[3:]
     buckets = directory(rows, limit)
     depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # at most BITS + 1 numbers
     # a row meets the one bucket among its prefixes of the depths in use: an equality join on the prefix
@@ -78,10 +84,10 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     keys = buckets.select(F.col("prefix").alias("shard"), "depth", F.col("bytes").alias("bucket_bytes"), F.col("members").alias("bucket_members"))
     if size * 100 <= 8 << 20:  # a row of the directory takes less than 100 bytes
         keys = F.broadcast(keys)
-    got = rows.select("doc_id", "bytes", "hash", tries).join(keys, "shard")
+    got = rows.select("doc_id", "bytes", "hash", *names, tries).join(keys, "shard")
     over = (F.col("depth") == BITS) & (F.col("bucket_bytes") > limit) & (F.col("bucket_members") > 1)
     columns = ["doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth"]
-    plain = got.where(~over).select(*columns, F.lit(0).cast("long").alias("overflow"))
+    plain = got.where(~over).select(*columns, F.lit(0).cast("long").alias("overflow"), *names)
     if buckets.where((F.col("depth") == BITS) & (F.col("bytes") > limit) & (F.col("members") > 1)).isEmpty():
         return plain
     # equal rows have equal sizes: number them by partition, then within it, and fill shards by number
@@ -92,10 +98,11 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id")) - 1
     each = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))), F.lit(1))
     chain = same.withColumn("nth", nth).join(per, ["shard", "part"]).withColumn("overflow", F.floor((F.col("offset") + F.col("nth")) / each).cast("long"))
-    return plain.union(chain.select(*columns, "overflow"))
+    return plain.union(chain.select(*columns, "overflow", *names))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The rows of docs as Parquet, a folder for each shard; rows go to a shard by id."""
-    where = shard(docs, limit).select("doc_id", F.concat_ws("-", F.concat(F.lit("b"), "shard"), "overflow").alias("shard")).dropDuplicates(["doc_id"])
-    docs.join(where, "doc_id", "left").write.partitionBy("shard").parquet(path)
+    """The rows of docs as Parquet, a folder for each shard; each row goes to its own shard and overflow."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    shard = F.concat_ws("-", F.concat(F.lit("b"), "shard"), "overflow").alias("shard")
+    _placed(docs, limit, whole).select("whole.*", shard).write.partitionBy("shard").parquet(path)

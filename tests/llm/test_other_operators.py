@@ -114,6 +114,20 @@ def test_shards_of_odd_rows(spark):
     assert sharding.shard(spark.createDataFrame([], schema), 300).count() == 0
 
 
+def test_written_shards_hold_their_own_rows(spark, tmp_path):
+    rows = [(1, "x" * 100, "a")] * 25 + [(2, f"{k:03}" * 30, f"b{k}") for k in range(25)] + [(None, f"{k:03}" * 30, None) for k in range(25)] + [(3, "y" * 900, "d"), (4, None, "e"), (5, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sharding.write_shards(docs, str(tmp_path / "out"), 300)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    size, want = Counter(), Counter()
+    for r in got:
+        size[r.shard] += len(r.text or "")
+    for r in sharding.shard(docs, 300).collect():
+        want[f"b{r.shard}-{r.overflow}"] += r.n_bytes
+    assert size == want and all(n <= 300 or n == 900 for n in size.values())
+
+
 TEXTS = [
     "Mail jo.smith9@corp.example.com or JO.SMITH9@corp.example.com, call +1 (503) 555-8963 or +1-503-555-8963.",
     "IP 97.216.119.150, card 4111 1111 1111 1111, ssn 123-45-6789; Mr John Smith met Mrs. Anna Smith and Frau Müller.",
