@@ -6,8 +6,8 @@ lies for the most part in the same containers):
 
 * tokens with the same occurrence vector (how often the token stands on each page) form an equivalence class.  A vector is kept
   as its support and a sum of hashes of (page, count), so classes come from sums and no host's pages meet in one task;
-* a class counts when it stands on enough pages and its tokens have the same order on all of them; a token of it is valid when
-  its nearest counted ancestor is a token of such a class; valid tokens nest by ancestry and are the host's template;
+* a class counts when it stands on enough pages (the order of its tokens is not tested); a token of it is valid when its nearest
+  counted ancestor is a token of such a class; valid tokens nest by ancestry and are the host's template;
 * the slots are the places under template nodes.  Slots under navigation, forms and the like (by element, class or id) are
   boilerplate, and so are slots that hold the same text on nearly all pages though the pages differ.  The main slot is the one with
   most text; there is none if more text stands in places that the pages do not share (a path that holds the page's name, say).
