@@ -8,13 +8,16 @@ of SEGMENT words lies whole in one.  A passage is a query of its distinct words:
 * block maxima, summed over the words of a passage for all blocks at once, bound the score of every segment in a block;
 * passages with a bound above the threshold in some block are run through document-at-a-time WAND with those block maxima,
   which returns every segment whose score reaches the threshold;
-* a hit counts when the passage's document holds enough of the word pairs of the item's question and of its answer
-  (the last sentence; of a single sentence, its last third).
+* hits of one item in passages that follow each other closely (no further apart than the item's segments may lie) are one run; it
+  counts when the words of its passages, and no others of the document, hold enough of the item's question and of its
+  answer (the last sentence; of a single sentence, its last third): of the word pairs of a part, or of the words of
+  a part of fewer than SHORT words, which has too few pairs to tell.
 
 The index is built on the driver from a shard of the items of bounded size (SHARD items); more items make more
 shards, each run against all documents.
 
-Defined results: null, empty or wordless items and texts match nothing; of items that share an id each counts; repeated rows
+Defined results: null, empty or wordless items and texts match nothing; an item of one word has no answer, and is held where its word
+is; an item's overlaps are those of its best run; of items that share an id each counts; repeated rows
 give the same result rows each; ids may be null and are carried as such; extra columns are not read; an empty table gives
 an empty result.
 """
@@ -39,6 +42,8 @@ SEGMENT, PASSAGE, BLOCKS, SHARD = 48, 96, 32, 4096
 K1, B = 1.2, 0.75
 #: Share of a segment's own BM25 score that a passage must reach, and shares of word pairs of question and answer.
 THRESHOLD, OVERLAP = 0.6, 0.6
+#: A part of fewer words is compared by its words, not by its word pairs.
+SHORT = 6
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -55,30 +60,47 @@ def _words(texts: list[str]) -> Words:
     return Words([t.lower().encode() for t in texts], ALNUM)
 
 
-def pairs_of(hashes: np.ndarray) -> np.ndarray:
-    """Distinct hashes of the word pairs (of a single word: of itself)."""
-    if len(hashes) < 2:
-        return np.unique(mix(hashes + GOLD))
-    return np.unique(mix(hashes[:-1] * GOLD + hashes[1:]))
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of the words (n = 1) or word pairs (n = 2)."""
+    return np.unique(mix(hashes + GOLD) if n == 1 else mix(hashes[:-1] * GOLD + hashes[1:]))
+
+
+class Part:
+    """The question or the answer of an item."""
+
+    def __init__(self, text: str):
+        own = _words([text]).hash
+        self.n = 1 if len(own) < SHORT else 2
+        self.grams = grams(own, self.n)
+
+    def share(self, held: dict[int, np.ndarray]) -> float:
+        """Share of the part that words hold, given as grams of each n; an empty part is held everywhere."""
+        return float(np.isin(self.grams, held[self.n], assume_unique=True).mean()) if len(self.grams) else 1.0
+
+
+def runs(found: list[tuple[int, float]], gap: int) -> Iterator[list[tuple[int, float]]]:
+    """Cut ascending (passage, score) where the next passage is more than gap further on."""
+    cuts = [k for k in range(1, len(found)) if found[k][0] - found[k - 1][0] > gap]
+    for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True):
+        yield found[a:b]
 
 
 class Index:
     """Postings with impacts and block maxima of the segments of some items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.items: list[tuple[int | None, np.ndarray, np.ndarray]] = []
+        self.items: list[tuple[int | None, int, Part, Part]] = []  # id, segments, question, answer
         self.item_of: list[int] = []
         bags: list[Counter] = []
         for item, text in items:
             own = _words([text]).hash
             if not len(own):
                 continue
-            question, answer = (pairs_of(x.hash) for x in (_words([part]) for part in split_item(text)))
             n = -(-len(own) // SEGMENT)
             for part in np.array_split(own, n):
                 bags.append(Counter(part.tolist()))
                 self.item_of.append(len(self.items))
-            self.items.append((item, question, answer))
+            self.items.append((item, n, *map(Part, split_item(text))))
         n = len(bags)
         frequency = Counter(t for bag in bags for t in bag)
         mean = sum(sum(b.values()) for b in bags) / max(n, 1)
@@ -177,20 +199,24 @@ class Index:
         lo = base[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         hi = np.minimum(lo + 2, (base + halves)[doc])
         bound = (sums[lo] + np.where((hi - lo == 2)[:, None], sums[lo + 1], 0)).max(axis=1)
-        best: dict[tuple[int, int], float] = {}
+        hits: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)  # of a text and item: passage, score
         for p in np.flatnonzero(bound >= THRESHOLD - 1e-4).tolist():
             own = np.unique(term[edges[lo[p]] : edges[hi[p]]])
             for s, score in self.search(own, THRESHOLD):
-                key = (int(doc[p]), self.item_of[s])
-                best[key] = max(best.get(key, 0.0), score)
-        out, held = [], {}
-        for (d, i), score in sorted(best.items()):
-            if d not in held:
-                held[d] = pairs_of(words.hash[words.first[d] : words.first[d] + words.count[d]])
-            item, *parts = self.items[i]
-            shares = [float(np.isin(x, held[d], assume_unique=True).mean()) if len(x) else 1.0 for x in parts]
-            if min(shares) >= OVERLAP:
-                out.append((d, item, min(score, 1.0), *shares))
+                hits[int(doc[p]), self.item_of[s]].append((int(lo[p] - base[doc[p]]), score))
+        out = []
+        for (d, i), found in sorted(hits.items()):
+            item, n_segments, *parts = self.items[i]
+            best = None
+            for run in runs(sorted(found), n_segments + 1):
+                begin, end = words.first[d] + run[0][0] * half, words.first[d] + min((run[-1][0] + 2) * half, words.count[d])
+                own = words.hash[begin:end]
+                held = {n: grams(own, n) for n in (1, 2)}
+                shares = [x.share(held) for x in parts]
+                if min(shares) >= OVERLAP:
+                    best = max(best or (), (min(max(x for _, x in run), 1.0), *shares))
+            if best:
+                out.append((d, item, *best))
         return out
 
 

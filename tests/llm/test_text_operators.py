@@ -1,5 +1,6 @@
 """Quality rules, licence scans, decontamination and packing against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -105,6 +106,43 @@ def test_verbatim_items_are_found(spark, sf):
     assert decontaminate.matches(rows, odd.where("item_id = 7")).count() == 0
 
 
+def test_every_verbatim_item_of_the_large_table_is_found():
+    import duckdb
+
+    read = lambda name, what: duckdb.sql(f"SELECT {what}, text FROM '/root/testdata/sf0.1/{name}.parquet'").fetchall()
+    items, docs = read("benchmark", "item_id"), read("documents", "doc_id")
+    inside = {(d, i) for i, t in items if t and len(t) > 20 for d, x in docs if x and t in x}
+    assert len(inside) > 200
+    got = {(docs[k][0], i) for k, i, *_ in decontaminate.Index(items).matches([x or "" for _, x in docs])}
+    assert inside <= got
+    assert len(got) <= 1.02 * len(inside)
+
+
+def test_edited_items_are_found():
+    import duckdb
+
+    rng = random.Random(3)
+    items = duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.1/benchmark.parquet' ORDER BY 1").fetchall()
+    index, filler = decontaminate.Index(items), [f"word{k}" for k in range(5000)]
+    for edit in (lambda w: [rng.choice(filler)], lambda w: [], lambda w: [w, rng.choice(filler)]):
+        texts = [" ".join(rng.choices(filler, k=200) + [y for w in t.split() for y in (edit(w) if rng.random() < 0.05 else [w])] + rng.choices(filler, k=300)) for _, t in items]
+        got = {(k, i) for k, i, *_ in index.matches(texts)}
+        assert sum((k, i) in got for k, (i, _) in enumerate(items)) >= 0.95 * len(items)
+        assert all(items[k][0] == i for k, i in got)
+
+
+def test_question_and_answer_must_stand_together():
+    question, answer = "What is the capital city of the old French republic across the sea today?", "Paris."
+    index = decontaminate.Index([(1, f"{question} {answer}"), (2, "solitary")])
+    filler = " ".join(f"f{k}" for k in range(1500))
+    texts = [f"{filler} {question} {answer} {filler}", f"{filler} {question} {filler} {answer}", f"{question} Rome.", f"{answer} {question}", "a solitary word", f"{filler} {question} {answer}"]
+    assert [(k, i) for k, i, *_ in index.matches(texts)] == [(0, 1), (3, 1), (4, 2), (5, 1)]
+    long = " ".join(f"q{k}" for k in range(100)) + ". " + " ".join(f"a{k}" for k in range(60)) + "."
+    index = decontaminate.Index([(1, long)])
+    begin, end = long.split(". ")
+    assert [k for k, *_ in index.matches([f"x y z {long} x", f"{begin} {filler} {end}", f"{filler} {long}"])] == [0, 2]
+
+
 def check_packing(rows, docs, capacity=2048):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     truth = Counter()
