@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from episodica.llm import decontaminate, licenses, packing, quality
@@ -185,6 +186,42 @@ def test_packing_exchanges_between_groups(spark):
     assert len({r.sequence_id for r in rows}) <= alone + 2
 
 
+def test_pairs_pack_each_piece_once_and_gapless():
+    rng = np.random.default_rng(9)
+    for low, high in ((1, 101), (15, 50), (3, 4), (100, 101), (30, 40)):
+        sizes = rng.integers(low, high, 500)
+        bins, offsets, fill = packing.best_fit_pairs(sizes, 100)
+        assert fill.max() <= 100 and (np.bincount(bins, sizes) == fill).all()
+        for b in range(len(fill)):
+            own = sorted((offsets[k], sizes[k]) for k in np.flatnonzero(bins == b))
+            assert [x for x, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()]
+    assert all(len(x) == 0 for x in packing.best_fit_pairs(np.zeros(0, np.int64), 100))
+
+
+@pytest.mark.parametrize("kind", ["thirds", "middling"])
+def test_groups_stay_bounded_and_bins_near_the_bound(spark, monkeypatch, kind):
+    # lengths that fill no bin whole, or leave nearly all bins open
+    length = {"thirds": "3 * (1 + pmod(xxhash64(id), 682))", "middling": "300 + pmod(xxhash64(id), 701)"}[kind]
+    parts = spark.range(200_000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", f"{length} AS length", "0L AS ids_crc32")
+    real, seen = packing._packer, spark.sparkContext.accumulator(0)
+
+    def packer(capacity, last):
+        inner = real(capacity, last)
+
+        def run(frame):
+            if len(frame) > 2 * packing.GROUP:
+                seen.add(1)
+            return inner(frame)
+
+        return run
+
+    monkeypatch.setattr(packing, "_packer", packer)
+    rows = packing.pack(parts).cache()
+    bins, bound = packing.certificate(rows)
+    assert rows.count() == 200_000 and seen.value == 0
+    assert bins <= 1.01 * bound
+
+
 def test_lower_bound_never_exceeds_a_packing():
     rng = np.random.default_rng(1)
     for _ in range(100):
