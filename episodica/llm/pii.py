@@ -1,22 +1,25 @@
 """PII (10): detected entities get keyed surrogates of their type, format, gender and script.
 
-Entities: e-mail and IPv4 addresses, IBANs, US social security numbers, payment cards, phone numbers, and personal names after a
-title (given and family name each, with the title's gender and the name's script).  An entity is (type, canonical value): formats of one
-number, and capitals in an address, don't make another.  Its surrogate follows from a SHA-256 of key, type, value and attempt:
+Entities: e-mail, IPv4 and IPv6 addresses, IBANs, US social security numbers, payment cards, phone numbers, and personal names: a
+given and family name after a title (with the title's gender, if it tells one, and the name's script), and in the same text each further
+mention of such a given or family name that is written with a capital, titled or not.  An entity is (type, canonical value): formats of
+one number, and capitals in an address, don't make another.  Its surrogate follows from a SHA-256 of key, type, value and attempt:
 digits for digits, letters for letters, separators, capitals and lengths as found; phone numbers keep their country code, cards their first
-digit and whether the Luhn sum holds; domains become names under the reserved .example; names come from lists of
-their gender and script, or are built of its syllables.
+digit and whether the Luhn sum holds, IBANs their country and whether the check digits hold; domains become names under the reserved
+.example; names come from lists of their gender and script, or are built of its syllables.
 
 Collision checks: over all entities of the input, a surrogate that another entity shares, or that is itself an entity found there, is
 drawn again for all but one, until there is none.  So different entities stay different, and the same entity has one surrogate in
-all rows (coreference).  Without the key surrogates can't be told.
+all rows (coreference).  Without the key surrogates can't be told.  A format may have fewer values than there are entities: one
+without a surrogate after ATTEMPTS draws gets its type and 32 digits of its hash instead, which keeps it distinct but not like it.
 
 Only DataFrame operations and SQL functions are used.
 
 Defined results: a null text stays null; a text without entities stays as it is; overlapping patterns: the one that starts first, then in
-the order above; repeated rows and rows with equal texts get equal results; clashing extra columns are kept by
-pseudonymise(); an empty table gives an empty result.  IBAN check digits are drawn like other digits.
-A run of more than 256 letters and digits before an @ is no address.
+the order above; a name that has stood after titles of several genders in a text counts as what stood first, and as a family name if it
+was one; repeated rows and rows with equal texts get equal results; pseudonymise() keeps extra columns, but its own n_entities and
+entity_types replace such columns; an empty table gives an empty result.
+A run of more than 256 letters and digits before an @ is no address, a name part has 31 characters at most.
 """
 
 from __future__ import annotations
@@ -27,20 +30,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared
-from .spans import find
+from .spans import bound, find, outside, rewrite
 
 #: Patterns of entities, in order of preference.
 EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
+HEXES = "[0-9A-Fa-f]{1,4}"
+# all eight groups, or some left out at one ::, and a digit among them, for words like face::add are names in programs
+IP6 = rf"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:{HEXES}(?::{HEXES}){{7}}|(?:{HEXES}:){{1,6}}(?::{HEXES}){{1,6}}|::{HEXES}(?::{HEXES}){{1,6}}|(?:{HEXES}:){{2,7}}:)(?![A-Za-z0-9:]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![A-Za-z0-9.+-])(?:[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![A-Za-z0-9])"
 PHONE = r"(?<![A-Za-z0-9.])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,5}){2,5}(?![A-Za-z0-9])"
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа", "Κυρία")
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE)})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,30}}(?:\x20\p{{Lu}}[\p{{L}}'-]{{1,30}})?(?![\p{{L}}\p{{N}}])"
-TYPES = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
+#: Titles of either gender.
+EITHER = ("Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор", "Δρ", "Δόκτωρ")
+PART = r"\p{Lu}(?:[\p{L}-]{1,30}|'\p{Lu}[\p{L}-]{1,29})"
+END = r"(?![\p{L}\p{N}])"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE + EITHER)})\.?\x20{PART}(?:\x20{PART})?{END}"
+#: A word that may be a further mention of a name.
+WORD = rf"(?<![\p{{L}}\p{{N}}]){PART}{END}"
+TYPES = (("email", EMAIL), ("ip", IP), ("ip6", IP6), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
+#: Draws of a surrogate before a format counts as used up.
+ATTEMPTS = 24
 #: Every entity starts at a digit or where no ASCII letter or digit goes on: one look rejects all other places.
 ANY = f"(?:(?=[0-9])|(?<![A-Za-z0-9]))(?:{'|'.join(f'(?:{p})' for _, p in TYPES)})"
 #: Given names by gender and script, and syllables of family names by script.
@@ -69,23 +83,35 @@ def _script(value: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """digest (of the text), start, end, value, type, canon: one row per entity of a distinct text."""
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("body")).where(F.col("body").rlike(ANY)).select(F.md5("body").alias("digest"), F.explode(find(F.col("body"), ANY)).alias("s"))
-    rows = rows.select("digest", "s.start", "s.end", "s.value").dropDuplicates(["digest", "start"]).withColumn("type", _kind(F.col("value")))
+    body, name = F.col("body"), f"^(?:{NAME})$"
+    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def mentions(spans: Column) -> Column:
+        """Words with a capital in what the entities leave of a text that names someone."""
+        moved = lambda g, w: F.struct((g["start"] + w["start"]).alias("start"), (g["start"] + w["end"]).alias("end"), w["value"].alias("value"))
+        words = F.transform(outside(body, spans), lambda g: F.transform(find(g["value"], WORD), lambda w: moved(g, w)))
+        return F.when(F.exists(spans, lambda s: s["value"].rlike(name)), F.flatten(words)).otherwise(nothing)
+
+    texts = docs.select(F.col("text").cast("string").alias("body")).select(F.md5("body").alias("digest"), "body", find(body, ANY).alias("spans")).where(F.size("spans") > 0)
+    texts = shared(texts.select("digest", "spans", bound(F.col("spans"), mentions).alias("words")))
+    rows = texts.select("digest", F.explode("spans").alias("s")).select("digest", "s.start", "s.end", "s.value").dropDuplicates(["digest", "start"]).withColumn("type", _kind(F.col("value")))
     names = rows.where("type = 'name'").withColumn("words", F.split("value", " "))
     title = F.regexp_replace(F.col("words")[0], r"\.", "")
-    gender = F.when(title.isin(*MALE), "m").otherwise("f")
+    gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
     parts = F.posexplode(F.slice("words", 2, 2)).alias("nth", "part")
     names = names.select("digest", "start", "end", "words", gender.alias("gender"), parts)
     begin = F.when(F.col("nth") + 2 == F.size("words"), F.col("end") - F.length("part")).otherwise(F.col("start") + F.length(F.col("words")[0]) + 1)
     family = F.col("nth") + 2 == F.size("words")
     sort = F.concat_ws("_", F.when(family, "family").otherwise(F.concat(F.lit("given_"), F.col("gender"))), _script(F.col("part")))
     names = names.select("digest", begin.alias("start"), (begin + F.length("part")).alias("end"), F.col("part").alias("value"), sort.alias("type"), F.lower("part").alias("canon"))
+    known = names.groupBy("digest", "canon").agg(F.min(F.struct(F.col("type").startswith("given").alias("given"), "start", "type")).alias("x")).select("digest", "canon", "x.type")
+    words = texts.select("digest", F.explode("words").alias("w")).select("digest", "w.start", "w.end", "w.value", F.lower("w.value").alias("canon")).dropDuplicates(["digest", "start"])
+    again = words.join(known, ["digest", "canon"]).select("digest", "start", "end", "value", "type", "canon")
     value = F.col("value")
     plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
     code = F.regexp_extract(value, r"^\+([0-9]{1,3})[\x20.(-]", 1)
-    canon = F.when(F.col("type") == "email", F.lower("value")).when(F.col("type") == "ip", value).when(F.col("type") == "phone", F.concat_ws("+", F.when(code != "", code), F.substring(plain, F.length(code) + 1, F.length(plain)))).otherwise(plain)
-    return rows.where("type <> 'name'").select("digest", "start", "end", "value", "type", canon.alias("canon")).union(names)
+    canon = F.when(F.col("type").isin("email", "ip6"), F.lower("value")).when(F.col("type") == "ip", value).when(F.col("type") == "phone", F.concat_ws("+", F.when(code != "", code), F.substring(plain, F.length(code) + 1, F.length(plain)))).otherwise(plain)
+    return rows.where("type <> 'name'").select("digest", "start", "end", "value", "type", canon.alias("canon")).union(names).union(again)
 
 
 def _stream(key: str, *parts: Column) -> Column:
@@ -112,6 +138,12 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda t, x: t + x), F.lit(10))
 
 
+def _mod97(plain: Column) -> Column:
+    """The number that digits and letters (A for 10, and on) make, modulo 97."""
+    step = lambda t, c: F.pmod(F.when(c.rlike("[0-9]"), t * 10 + F.ascii(c) - 48).otherwise(t * 100 + F.ascii(c) - 55), F.lit(97))
+    return F.aggregate(F.split(plain, ""), F.lit(0), step)
+
+
 def _surrogate(key: str) -> Column:
     """Of the columns type, canon and attempt, in the form of a canonical value."""
     kind, canon, attempt = F.col("type"), F.col("canon"), F.col("attempt")
@@ -128,8 +160,15 @@ def _surrogate(key: str) -> Column:
     card = F.concat(drawn, F.pmod(missing + F.when(_luhn(canon) == 0, 0).otherwise(1 + F.pmod(number(3), F.lit(9))), F.lit(10)).cast("string"))
     split = F.instr(canon, "+")
     phone = F.concat(F.expr("substring(canon, 1, instr(canon, '+'))"), _like(F.substring(canon, split + 1, F.length(canon)), stream))
-    iban = F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, 3, 40), stream))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ssn", F.concat(F.lit("9"), _like(F.substring(canon, 2, 8), stream)))
+    account = _like(F.substring(canon, 5, 40), stream)
+    country = F.substring(canon, 1, 2)
+    check = 98 - _mod97(F.concat(account, country, F.lit("00")))
+    holds = _mod97(F.concat(F.substring(canon, 5, 40), F.substring(canon, 1, 4))) == 1
+    check = F.when(holds, check).otherwise(F.when(check == 98, 2).otherwise(check + 1))
+    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+    hexes = F.split(stream, "")
+    ip6 = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.element_at(hexes, i + 1))), "")
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ip6", ip6).when(kind == "ssn", F.concat(F.lit("9"), _like(F.substring(canon, 2, 8), stream)))
     # each attempt beyond the second makes a longer name, so that there is always another
     def drawn_parts(names: list[str], n: int) -> Column:
         choice = F.array(*[F.lit(x) for x in names])
@@ -139,22 +178,26 @@ def _surrogate(key: str) -> Column:
     for (gender, script), names in GIVEN.items():
         out = out.when(kind == f"given_{gender}_{script}", F.lower(F.array_join(drawn_parts(names, 1), "-")))
     for script, syllables in SYLLABLES.items():
+        out = out.when(kind == f"given_n_{script}", F.lower(F.array_join(drawn_parts(GIVEN["m", script] + GIVEN["f", script], 1), "-")))
         out = out.when(kind == f"family_{script}", F.array_join(drawn_parts(syllables, 3), ""))
     return out
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """type, canon, surrogate: different entities of a type have different surrogates, and none is an entity of its type."""
-    entities = shared(entities.select("type", "canon").distinct())
+    # dealt by number, so that draws are spread whatever the size of the table
+    entities = shared(entities.select("type", "canon").distinct().repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "canon"))
     drawn = shared(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)))
-    while True:
+    for attempt in range(ATTEMPTS + 1):
         shares = drawn.groupBy("type", "surrogate").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").select("type", "surrogate", "first")
         real = drawn.join(entities.withColumnRenamed("canon", "surrogate"), ["type", "surrogate"], "left_semi").select("type", "canon")
         again = shared(drawn.join(shares, ["type", "surrogate"]).where("canon <> first").select("type", "canon").union(real).distinct())
         if again.isEmpty():
-            return drawn.select("type", "canon", "surrogate")
-        new = drawn.join(again, ["type", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", _surrogate(key))
+            break
+        drawing = _surrogate(key) if attempt < ATTEMPTS else F.concat("type", F.lit("-"), F.substring(_stream(key, F.col("type"), F.col("canon"), F.lit("")), 1, 32))
+        new = drawn.join(again, ["type", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", drawing)
         drawn = shared(drawn.join(again, ["type", "canon"], "left_anti").unionByName(new))
+    return drawn.select("type", "canon", "surrogate")
 
 
 def _render() -> Column:
@@ -169,11 +212,12 @@ def _render() -> Column:
 
     number = F.aggregate(F.split(value, ""), start, step, lambda s: s["out"])
     upper = (value == F.upper(value)) & (F.length(value) > 1)
-    return F.when(kind.isin("iban", "ssn", "card", "phone"), number).when(kind.isin("email", "ip"), new).when(upper, F.upper(new)).otherwise(F.regexp_replace(F.initcap(F.regexp_replace(new, "-", " ")), " ", "-"))
+    return F.when(new.startswith(F.concat(kind, F.lit("-"))), new).when(kind.isin("iban", "ssn", "card", "phone"), number).when(kind.isin("email", "ip"), new).when((kind == "ip6") & ~upper, new).when(upper, F.upper(new)).otherwise(F.regexp_replace(F.initcap(F.regexp_replace(new, "-", " ")), " ", "-"))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs, all columns, with text rewritten, and n_entities, how many parts were replaced, and entity_types."""
+    docs = docs.drop("n_entities", "entity_types")
     found = shared(occurrences(docs))
     known = surrogates(found, key)
     new = found.join(known, ["type", "canon"]).select("digest", F.struct("start", "end", _render().alias("new"), "type").alias("s"))
@@ -182,17 +226,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     text = names[docs.columns.index("text")]
     plain = docs.toDF(*names).withColumn("body", F.col(text).cast("string"))
     has = F.coalesce(F.col("body").rlike(ANY), F.lit(False))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("body"), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(s["end"].alias("at"), F.concat(state["out"], gap, s["new"]).alias("out"))
-
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("body"), s["at"] + 1, F.length("body"))))
     changed = plain.where(has).withColumn("digest", F.md5("body")).join(per_text, "digest")
     columns = [F.col(c) for c in names if c != text]
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["type"]))), ",")
-    changed = changed.select(*columns, whole.alias(text), F.size("spans").cast("long").alias("n_entities"), kinds.alias("entity_types"))
+    changed = changed.select(*columns, rewrite(F.col("body"), F.col("spans")).alias(text), F.size("spans").cast("long").alias("n_entities"), kinds.alias("entity_types"))
     same = plain.where(~has).select(*columns, F.col("body").alias(text), F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_types"))
     out = changed.union(same).select(*names, "n_entities", "entity_types")
     return out.toDF(*docs.columns, "n_entities", "entity_types")
