@@ -6,19 +6,24 @@ lies for the most part in the same containers):
 
 * tokens with the same occurrence vector (how often the token stands on each page) form an equivalence class.  A vector is kept
   as its support and a sum of hashes of (page, count), so classes come from sums and no host's pages meet in one task;
-* a class counts when it stands on enough pages (the order of its tokens is not tested); a token of it is valid when its nearest
-  counted ancestor is a token of such a class; valid tokens nest by ancestry and are the host's template;
+* classes that stand on enough pages are held against all pages again: a token that is out of the order of its class (not in a
+  longest ordered part of it) on more than a few of its pages is not valid, nor is one whose nearest counted ancestor is not valid, and
+  so on down.  The valid tokens nest by ancestry and are the template;
 * the slots are the places under template nodes.  Slots under navigation, forms and the like (by element, class or id) are
-  boilerplate, and so are slots that hold the same text on nearly all pages though the pages differ.  The main slot is the one with
-  most text; there is none if more text stands in places that the pages do not share (a path that holds the page's name, say).
+  boilerplate.  The main slot is found from the root down: to the child slot that holds most of the text, as long as it holds the
+  greater part of it, until a slot has text of its own that differs from page to page.  Among children an article or main element with a
+  fair share goes first.  There is no main slot if more text stands in places that the pages do not share (a path that holds the
+  page's name, say);
+* slots outside the main slot's own text that are the same on nearly all pages, though the pages differ, are text of the template.
 
-A page gives the blocks of text in its article (or main) element.  A page without one gives those in the main slot of its host, or
-else of its layout, and a page that holds neither those of its own container with most text, before all in places that the pages
-do not share.  Nothing else is dropped: text that pages share in an article is kept.
+A page gives the blocks of text in the main slot of its layout, or else of its host (whose slot goes first if it lies inside).  A page that holds neither gives those of its
+article or main element, or of its own container with most text, before all in places that the pages do not share.  Nothing else is
+dropped: text that pages share in an article is kept.
 
 Defined results: a null or empty page, and one without main text, gives the empty text and 0; pages without a host share the
-empty one; broken markup is read on to its end; equal rows each get their own result row; extra columns are not read; an empty
-table gives an empty result.
+empty one; broken markup is read on to its end, elements deeper than DEPTH count as the one they are in; a page is read in time and
+memory proportional to its length; equal rows each get their own result row; extra columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ import html as entities
 import itertools
 import json
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,109 +53,143 @@ NOT_MAIN = frozenset("nav footer aside form dialog menu fieldset".split())
 #: Words in class, id and role that mark parts that are not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search gdpr feedback reviews".split())
 MAIN_MARKS = frozenset("article post entry story content main body".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*+(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
-#: Pages that a host needs before texts count as repeated, share of pages that repeat them, share of pages that differ.
-LEAST_PAGES, SAME_SHARE, VARIED = 10, 0.9, 0.5
+#: Share of pages that repeat a slot's text for it to be the template's, and of pages on which a token may be out of order.
+SAME_SHARE, MISPLACED = 0.9, 0.05
 #: Share of a host's pages that a template token stands on.
 SUPPORT = 0.5
 #: Share of a page's text in a container that makes it part of the page's layout; share of a host's pages (two at least) that a
 #: layout needs for a template of its own.
 HEAVY, LAYOUT = 0.2, 0.01
+#: Shares of a slot's text: of a child to go down to, of an article or main element to go first, of own text to stop at.
+GREATER, MARKED, OWN = 0.5, 0.3, 0.1
+#: Nested elements that are told apart, and characters of a label that are kept as they are.
+DEPTH, LABEL = 100, 80
 #: Bytes of templates that may be broadcast.
 BROADCAST = 32 << 20
 
 
 class Node:
-    __slots__ = ("tag", "path", "off", "main", "parent")
+    __slots__ = ("tag", "path", "off", "main", "parent", "depth")
 
     def __init__(self, tag: str, path: str, off: bool, main: int, parent: Node | None):
         # main: 2 in an article element, 1 in a main element, else 0
         self.tag, self.path, self.off, self.main, self.parent = tag, path, off, main, parent
+        self.depth: int = parent.depth + 1 if parent else 0
 
 
 def _marks(tag: str, attributes: str) -> tuple[str, set[str]]:
     found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
     names = [x for k, v in found for x in v.lower().split()]
-    return tag + "".join(f".{re.sub(r'[0-9]+', '0', x).replace('/', '|')}" for x in names[:3]), {w for x in names for w in re.split(r"[^a-z]+", x) if w}
+    label = tag + "".join(f".{re.sub(r'[0-9]+', '0', x).replace('/', '|')}" for x in names)
+    if len(label) > LABEL:
+        label = f"{tag}.{_hash(label):016x}"
+    return label, {w for x in names for w in re.split(r"[^a-z]+", x) if w}
+
+
+class Tree:
+    """The place in the tree of elements while a page is read."""
+
+    def __init__(self) -> None:
+        self.node = Node("", "", False, 0, None)
+        self.open: dict[str, int] = defaultdict(int)  # elements of each tag that the node is in
+        self.deep: dict[str, int] = defaultdict(int)  # open elements below DEPTH, which have no node
+        self.paths: dict[tuple[str, str], str] = {}
+
+    def pop(self) -> None:
+        self.open[self.node.tag] -= 1
+        self.node = self.node.parent
+
+    def close(self, tag: str) -> None:
+        if self.deep[tag]:
+            self.deep[tag] -= 1
+        elif self.open[tag]:
+            while self.node.tag != tag:
+                self.pop()
+            self.pop()
+
+    def start(self, tag: str, said: str) -> bool:
+        """Open an element given by its tag and markup; False if it gets no node."""
+        if tag in TEXT and self.open[tag]:  # a paragraph, item or cell ends an open one of its kind
+            up = self.node
+            while up.tag in TEXT and up.tag != tag:
+                up = up.parent
+            if up.tag == tag:
+                while self.node is not up.parent:
+                    self.pop()
+        while self.node.tag == "p":
+            self.pop()
+        node = self.node
+        if node.depth >= DEPTH:
+            if not said.endswith("/>"):
+                self.deep[tag] += 1
+            return False
+        label, marks = _marks(tag, said)
+        off = node.off or tag in NOT_MAIN or (tag == "header" and not node.main) or bool(marks & MARKS and tag not in ("article", "main", "body", "html"))
+        off = off or (tag == "article" and bool(marks & {"comment", "comments", "reply"}))
+        main = node.main
+        if not off and tag == "article":
+            main = 2
+        elif not off and (tag == "main" or "main" in marks and tag in ("div", "section") and "role" in said.lower()):
+            main = max(main, 1)
+        path = self.paths.setdefault((node.path, label), f"{node.path}/{label}")
+        self.node = Node(tag, path, off, main, node)
+        self.open[tag] += 1
+        return True
 
 
-def read(page: str) -> Iterator[tuple[str, Node, str]]:
+def read(page: str, texts: bool = True) -> Iterator[tuple[str, Node, str]]:
     """("open", node, "") of each block element, and ("text", node, text) of each block's text, white space in order."""
-    node = Node("", "", False, 0, None)
+    tree = Tree()
     held: list[str] = []
+    unclosed: set[str] = set()  # skipped elements that end nowhere on the rest of the page
 
     def flush() -> Iterator[tuple[str, Node, str]]:
         if held:
             text = SPACE.sub(" ", "".join(held)).strip()
             held.clear()
             if text:
-                yield "text", node, text
+                yield "text", tree.node, text
 
-    at = 0
-    n = len(page)
+    at, n = 0, len(page)
     while at < n:
         found = TAG.search(page, at)
         stop = found.start() if found else n
-        if stop > at:
+        if stop > at and texts:
             held.append(entities.unescape(page[at:stop]))
         if not found:
             break
         at = found.end()
         if page[stop + 1 : stop + 2] in "!?":
-            if page.startswith("<![CDATA[", stop):
+            if page.startswith("<![CDATA[", stop) and texts:
                 held.append(page[stop + 9 : at].removesuffix("]]>"))
             continue
         tag = NAME.match(page, stop)[1].lower()
         closing = page[stop + 1] == "/"
         if tag in SKIP and not closing:
-            if page[at - 2 : at] != "/>":
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if page[at - 2 : at] != "/>" and tag not in unclosed:
+                end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
                 if end or tag in ("script", "style"):
                     at = end.end() if end else n
-            continue
-        if tag == "br":
+                else:
+                    unclosed.add(tag)
+        elif tag == "br":
             held.append(" ")
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "hr":
                 yield from flush()
-            continue
-        if tag in INLINE or tag in SKIP:
-            continue
-        yield from flush()
-        if closing:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
-            continue
-        if tag in TEXT:  # a paragraph, item or cell ends an open one of its kind
-            up = node
-            while up.parent is not None and up.tag in TEXT and up.tag != tag:
-                up = up.parent
-            if up.tag == tag:
-                node = up.parent
-            while node.tag == "p":
-                node = node.parent
-        else:
-            while node.tag == "p":
-                node = node.parent
-        label, marks = _marks(tag, page[stop:at])
-        off = node.off or tag in NOT_MAIN or (tag == "header" and not node.main) or bool(marks & MARKS and not (tag in ("article", "main", "body", "html")))
-        off = off or (tag == "article" and bool(marks & {"comment", "comments", "reply"}))
-        main = node.main
-        if not off and tag == "article":
-            main = 2
-        elif not off and (tag == "main" or "main" in marks and tag in ("div", "section") and "role" in page[stop:at].lower()):
-            main = max(main, 1)
-        node = Node(tag, f"{node.path}/{label}", off, main, node)
-        if page[at - 2 : at] == "/>":
-            node = node.parent
-        yield "open", node, ""
+        elif tag not in INLINE and tag not in SKIP:
+            yield from flush()
+            if closing:
+                tree.close(tag)
+            elif tree.start(tag, page[stop:at]):
+                node = tree.node
+                if page[at - 2 : at] == "/>":
+                    tree.pop()
+                yield "open", node, ""
     yield from flush()
 
 
@@ -180,6 +220,11 @@ def _masses(blocks: list[tuple[Node, str]]) -> dict[Node, int]:
     return mass
 
 
+def _place(path: str) -> str:
+    """The token of a container: text outside of all elements has one, too."""
+    return path or "/"
+
+
 def layout(blocks: list[tuple[Node, str]]) -> str:
     """The layout of a page: the paths of the containers that hold much of its text."""
     free = [(node, text) for node, text in blocks if not node.off]
@@ -191,7 +236,8 @@ def layout(blocks: list[tuple[Node, str]]) -> str:
 
 
 def page_tokens(page: str, number: int) -> tuple[str, dict[str, list[int]]]:
-    """layout, and token: pages, vector, order, characters of text, least and greatest hash of its text.  The token "" stands for the page."""
+    """layout, and token: pages, vector, place of its first occurrence among those of all tokens, characters of text, least and greatest
+    hash of its text.  The token "" stands for the page."""
     count: dict[str, int] = defaultdict(int)
     first: dict[str, int] = {}
     chars: dict[str, int] = defaultdict(int)
@@ -204,20 +250,23 @@ def page_tokens(page: str, number: int) -> tuple[str, dict[str, list[int]]]:
                 count[node.path] += 1
                 first.setdefault(node.path, len(first))
         else:
-            own = _container(node).path
+            own = _place(_container(node).path)
+            if own == "/":
+                count[own] = 1
+                first.setdefault(own, len(first))
             if not node.off:
                 chars[own] += len(text)
             texts[own] = (texts[own] * 31 + _hash(text)) % (1 << 62)
             whole = (whole * 31 + _hash(text)) % (1 << 62)
             blocks.append((node, text))
-    out = {"": [1, _hash(number) >> 33, 0, 0, sum(chars.values()), whole, whole]}
+    out = {"": [1, _hash(number) >> 33, 0, sum(chars.values()), whole, whole]}
     for t, n in count.items():
         h = texts.get(t, 0)
-        out[t] = [1, _hash(number, n) >> 33, first[t], first[t], chars.get(t, 0), h, h]
+        out[t] = [1, _hash(number, n) >> 33, first[t], chars.get(t, 0), h, h]
     return layout(blocks), out
 
 
-COLUMNS = ["pages", "vector", "first", "last", "chars", "low", "high"]
+COLUMNS = ["pages", "vector", "first", "chars", "low", "high"]
 TOKENS = "host string, layout string, token string, " + ", ".join(f"{c} long" for c in COLUMNS)
 
 
@@ -233,12 +282,34 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if y is None:
                     sums[host, key, token] = list(x)
                 else:
-                    for k in (0, 1, 4):
+                    for k in range(4):
                         y[k] += x[k]
-                    y[2], y[3], y[5], y[6] = min(y[2], x[2]), max(y[3], x[3]), min(y[5], x[5]), max(y[6], x[6])
+                    y[4], y[5] = min(y[4], x[4]), max(y[5], x[5])
         yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "layout", "token", *COLUMNS])
 
 
+def classes(rows: pd.DataFrame) -> list[list[str]]:
+    """The equivalence classes of the tokens of a host, or of a layout of it, each in the order of the tokens' mean places."""
+    rows = rows[rows["token"] != ""]
+    rows = rows.assign(mean=rows["first"] / rows["pages"]).sort_values(["mean", "token"])
+    return [x["token"].tolist() for _, x in rows.groupby(["pages", "vector"])]
+
+
+def misplaced(order: list[int]) -> set[int]:
+    """Indexes of the numbers that are not in a longest ascending part."""
+    tops: list[int] = []  # index of the least number that ends an ascending part of each length
+    before: list[int] = []
+    for k, x in enumerate(order):
+        at = bisect_left(tops, x, key=order.__getitem__)
+        before.append(tops[at - 1] if at else -1)
+        tops[at : at + 1] = [k]
+    kept, k = set(), tops[-1] if tops else -1
+    while k >= 0:
+        kept.add(k)
+        k = before[k]
+    return set(range(len(order))) - kept
+
+
 def _up(token: str) -> str:
     """The nearest ancestor that is counted: elements in TEXT are none."""
     up = token.rpartition("/")[0]
@@ -247,52 +318,134 @@ def _up(token: str) -> str:
     return up
 
 
-def nested(classes: list[dict]) -> list[dict]:
-    """Classes of their valid tokens: those that hang below tokens of classes, or below none."""
-    known = {"", *(t for c in classes for t in c["tokens"])}
-    return [{**c, "tokens": [t for t in c["tokens"] if _up(t) in known]} for c in classes]
+def valid(rows: pd.DataFrame) -> set[str]:
+    """The tokens that are in the order of their classes and hang, over all their counted ancestors, below such tokens."""
+    known = {""} | set(rows.loc[(rows["token"] != "") & (rows["wrong"] <= MISPLACED * rows["pages"]), "token"])
+    for t in sorted(known, key=len):  # ancestors first
+        if t and _up(t) not in known:
+            known.discard(t)
+    return known - {""}
+
+
+def _tagged(token: str) -> bool:
+    return token.rpartition("/")[2].split(".")[0] in ("article", "main")
 
 
 def template(rows: pd.DataFrame) -> dict[str, list[str]]:
-    """main: path of the main slot, if the pages share it; drop: paths of slots that hold boilerplate; other: paths of the slots
+    """main: path of the main slot, if the pages share it; drop: paths of slots that hold the template's text; other: paths of the slots
     with text that are neither.  rows: the tokens of a host, or of a layout of it, that its pages share."""
     host = rows[rows["token"] == ""].iloc[0]
+    rows = rows[rows["token"].isin(valid(rows))]
     n = int(host["pages"])
-    classes = [{"tokens": x["token"].tolist(), "pages": int(x["pages"].iloc[0])} for _, x in rows[rows["token"] != ""].groupby(["pages", "vector"])]
-    kept = {t for c in nested(classes) for t in c["tokens"]}
-    rows = rows[rows["token"].isin(kept)]
-    varied = n >= LEAST_PAGES and host["low"] != host["high"]
-    drop = [r.token for r in rows.itertuples() if varied and r.low == r.high and r.low and r.pages >= SAME_SHARE * n and not re.search(r"/(article|main)(\.[^/]*)?$", r.token)]
-    free = rows[(rows["chars"] > 0) & ~rows["token"].isin(drop)]
-    if not len(free):
-        return {"main": [], "drop": drop, "other": []}
-    # the slot with most text: of nested slots, the innermost that holds most of the text
-    mass = {t: float(free.loc[[t == u or u.startswith(t + "/") for u in free["token"]], "chars"].sum()) for t in free["token"]}
-    most = max(mass.values())
-    best = max((t for t, x in mass.items() if x >= 0.8 * most), key=lambda t: (t.count("/"), t))
+    free = {r.token: r.chars for r in rows.itertuples() if r.chars}
+    children: dict[str, list[str]] = defaultdict(list)
+    mass: dict[str, float] = defaultdict(float)
+    for t in rows["token"]:
+        children[_up(t)].append(t)
+    for t, chars in free.items():
+        mass[""] += chars
+        while t:
+            mass[t] += chars
+            t = _up(t)
+    data = {r.token for r in rows.itertuples() if r.chars and (r.low != r.high or n == 1)}  # slots whose text differs
+    main, own = "", False
+    while mass[main]:
+        own = main in data and free[main] >= OWN * mass[main]
+        below = [t for t in children[main] if mass[t] >= MARKED * mass[main]]
+        if own or not below:
+            break
+        best = max(below, key=lambda t: (_tagged(t), mass[t], t))
+        if mass[best] < GREATER * mass[main] and not _tagged(best) or _tagged(main) and not _tagged(best):
+            break
+        main = best
+    inside = lambda t: t == main or t.startswith(main + "/")
+    varied = host["low"] != host["high"]
+    drop = [r.token for r in rows.itertuples() if varied and r.low == r.high and r.low and r.pages >= SAME_SHARE * n and not (inside(r.token) and (own or _tagged(main)))]
     # text in places that the pages do not share may be the main text of each page, whatever stands beside it
-    if float(host["chars"]) - float(rows["chars"].sum()) > mass[best]:
-        return {"main": [], "drop": drop, "other": sorted(free["token"])}
-    return {"main": [best], "drop": drop, "other": sorted(t for t in free["token"] if t != best and not t.startswith(best + "/"))}
+    if not main or float(host["chars"]) - float(rows["chars"].sum()) > mass[main]:
+        return {"main": [], "drop": drop, "other": sorted(t for t in free if t not in drop)}
+    return {"main": [main], "drop": drop, "other": sorted(t for t in free if not inside(t) and t not in drop)}
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON of template() by layout, "" for all pages), from the classes of equal occurrence vectors."""
+def _keyed(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    agg = [F.sum(c).alias(c) for c in ("pages", "vector", "chars")] + [F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")]
-    tokens = shared(rows.mapInPandas(_tokens, TOKENS).groupBy("host", "layout", "token").agg(*agg))
+    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1), "^.*@", ""), ":.*$", ""))
+    return rows.withColumn("host", F.coalesce(host, F.lit("")))
+
+
+def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the JSON of their host, which is sent to all tasks if that is small."""
+    weight = found.agg(F.coalesce(F.sum(F.length("host") + F.length("json") + 64), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(found) if weight <= BROADCAST else found, "host", "left")
+
+
+def _by_host(often: DataFrame, make: Callable[[pd.DataFrame], object]) -> DataFrame:
+    """host, json: the results of make for the tokens of each layout, by layout."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "layout": [frame["layout"].iloc[0]], "json": [json.dumps(make(frame))]})
+
+    each = often.groupBy("host", "layout").applyInPandas(run, "host string, layout string, json string")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("layout", "json"))), lambda x: F.concat(F.lit('"'), x["layout"], F.lit('": '), x["json"]))
+    return each.groupBy("host").agg(F.concat(F.lit("{"), F.concat_ws(", ", said), F.lit("}")).alias("json"))
+
+
+class Plans:
+    """Parsed JSON by its text."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, dict] = {}
+
+    def __getitem__(self, text: object) -> dict:
+        if not isinstance(text, str):
+            return {}
+        if text not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[text] = json.loads(text)
+        return self.known[text]
+
+
+def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many pages hold a token out of the order of its class, for the tokens that some page does."""
+    plans = Plans()
+    for frame in batches:
+        wrong: dict[tuple[str, str, str], int] = defaultdict(int)
+        for host, page, plan in zip(frame["host"], frame["html"], frame["json"], strict=True):
+            if not isinstance(page, str):
+                continue
+            first: dict[str, int] = {}
+            blocks = []
+            for what, node, text in read(page):
+                if what == "open" and node.tag not in TEXT:
+                    first.setdefault(node.path, len(first))
+                elif what == "text":
+                    blocks.append((node, text))
+                    if not _container(node).path:
+                        first.setdefault("/", len(first))
+            for key in ("", layout(blocks)):
+                for own in plans[plan].get(key, ()):
+                    held = [t for t in own if t in first]
+                    for k in misplaced([first[t] for t in held]):
+                        wrong[host, key, held[k]] += 1
+        yield pd.DataFrame([(*k, v) for k, v in wrong.items()], columns=["host", "layout", "token", "wrong"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, json (template() by layout, "" for all pages), from the classes of equal occurrence vectors."""
+    rows = _keyed(pages)
+    agg = [F.sum(c).alias(c) for c in ("pages", "vector", "first", "chars")] + [F.min("low").alias("low"), F.max("high").alias("high")]
+    tokens = shared(rows.select("page_id", "url", "html").mapInPandas(_tokens, TOKENS).groupBy("host", "layout", "token").agg(*agg))
     size = tokens.where("token = ''").select("host", "layout", F.col("pages").alias("n"))
     whole = size.where("layout = ''").select("host", F.col("n").alias("whole"))
     size = size.join(whole, "host").where((F.col("layout") == "") | (F.col("n") >= F.greatest(F.lit(2.0), LAYOUT * F.col("whole"))))
     # what half of the pages share is no more than twice what a page holds: a layout's tokens fit a task
-    often = tokens.join(size, ["host", "layout"]).where(F.col("pages") >= SUPPORT * F.col("n"))
-
-    def deduce(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "layout": [frame["layout"].iloc[0]], "template": [json.dumps(template(frame))]})
-
-    each = often.select("host", "layout", "token", *COLUMNS).groupBy("host", "layout").applyInPandas(deduce, "host string, layout string, template string")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("layout", "template"))), lambda x: F.concat(F.lit('"'), x["layout"], F.lit('": '), x["template"]))
-    return each.groupBy("host").agg(F.concat(F.lit("{"), F.concat_ws(", ", said), F.lit("}")).alias("template"))
+    often = shared(tokens.join(size, ["host", "layout"]).where(F.col("pages") >= SUPPORT * F.col("n")).select("host", "layout", "token", *COLUMNS))
+    ordered = shared(_by_host(often, lambda frame: [x for x in classes(frame) if len(x) > 1]))
+    wrong = _with(rows, ordered).select("host", "html", "json").mapInPandas(_order, "host string, layout string, token string, wrong long")
+    wrong = wrong.groupBy("host", "layout", "token").agg(F.sum("wrong").alias("wrong"))
+    judged = often.join(wrong, ["host", "layout", "token"], "left").withColumn("wrong", F.coalesce("wrong", F.lit(0)))
+    return _by_host(judged, template)
 
 
 def heaviest(blocks: list[tuple[Node, str]]) -> list[str]:
@@ -313,25 +466,26 @@ def heaviest(blocks: list[tuple[Node, str]]) -> list[str]:
 
 
 def main_text(page: str, plans: dict[str, dict[str, list[str]]]) -> str:
-    """The text of the blocks in the main slot of a page: its own article or main element, else the slot of its host's template, or
-    that of its layout's, and on a page that has none of these its own container with most text."""
+    """The text of the blocks in the main slot of a page, given the templates of its host by layout."""
     blocks = [(node, text) for what, node, text in read(page) if what == "text"]
-    marked = max((node.main for node, _ in blocks if not node.off), default=0)
-    if marked:  # what an article repeats is still its text
-        return " ".join(text for node, text in blocks if not node.off and node.main == marked)
-    inside = lambda path, roots: any(path == r or path.startswith(r + "/") for r in roots)
+    inside = lambda node, roots: any(node.path == r or node.path.startswith(r + "/") or r == "/" and not _container(node).path for r in roots)
     kept = [(node, text) for node, text in blocks if not node.off]
     known: set[str] = set()
-    for key in ("", layout(blocks)):
-        plan = plans.get(key)
+    own, whole = plans.get(layout(blocks)), plans.get("")
+    # pages of short texts can be a layout whose slots show no main one below the body, say: the host's slot inside goes first
+    finer = own and whole and own["main"] and whole["main"] and whole["main"][0].startswith(own["main"][0] + "/")
+    for plan in (whole, own) if finer else (own, whole):
         if plan:
-            kept = [(node, text) for node, text in kept if not inside(node.path, plan["drop"])]
-            main = [text for node, text in kept if inside(node.path, plan["main"])]
+            kept = [(node, text) for node, text in kept if _place(_container(node).path) not in plan["drop"]]
+            main = [text for node, text in kept if inside(node, plan["main"])]
             if main:
                 return " ".join(main)
             known.update(plan["other"])
+    marked = max((node.main for node, _ in kept), default=0)
+    if marked:
+        return " ".join(text for node, text in kept if node.main == marked)
     # places that the pages share beside their main text come last
-    own = [(node, text) for node, text in kept if _container(node).path not in known]
+    own = [(node, text) for node, text in kept if _place(_container(node).path) not in known]
     if sum(len(text) for _, text in own) < HEAVY * sum(len(text) for _, text in kept):
         own = kept
     return " ".join(heaviest(own))
@@ -340,24 +494,12 @@ def main_text(page: str, plans: dict[str, dict[str, list[str]]]) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages."""
     small_batches(pages.sparkSession)
-    found = shared(templates(pages))
-    weight = found.agg(F.coalesce(F.sum(F.length("host") + F.length("template") + 64), F.lit(0))).first()[0]
+    rows = _with(_keyed(pages.withColumn("page_id", F.col("page_id").cast("long"))), shared(templates(pages)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans: dict[str, dict] = {}
+        plans = Plans()
         for frame in batches:
-            texts = []
-            for page, plan in zip(frame["html"], frame["template"], strict=True):
-                plan = plan if isinstance(plan, str) else "{}"
-                if plan not in plans:
-                    if len(plans) > 10_000:
-                        plans.clear()
-                    plans[plan] = json.loads(plan)
-                texts.append(main_text(page, plans[plan]) if isinstance(page, str) else "")
+            texts = [main_text(page, plans[plan]) if isinstance(page, str) else "" for page, plan in zip(frame["html"], frame["json"], strict=True)]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
 
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1), "^.*@", ""), ":.*$", ""))
-    rows = rows.withColumn("host", F.coalesce(host, F.lit("")))
-    rows = rows.join(F.broadcast(found) if weight <= BROADCAST else found, "host", "left")
-    return by_batch(rows.select("page_id", "url", "html", "template"), run, "page_id long, url string, text string, n_chars long", ("page_id",))
+    return by_batch(rows.select("page_id", "url", "html", "json"), run, "page_id long, url string, text string, n_chars long", ("page_id",))

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -87,6 +88,65 @@ def test_extraction_of_layouts(spark):
     assert got == [story(k) for group in (two, slugs, articles, mixed, nulls, lone) for k in range(len(group))]
 
 
+NAMES = {"<article>": '<div class="q">', "</article>": "</div>", "<nav>": '<div class="r">', "</nav>": "</div>", 'class="ad"': 'class="s"', "<footer>": '<div class="t">', "</footer>": "</div>"}
+
+
+def test_templates_find_the_main_text_without_telling_names(spark):
+    import html
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    truth, pages = {}, []
+    for r in rows:
+        inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        truth[r.page_id] = " ".join(re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", inner))).split(" ")).strip()
+        plain = r.html
+        for old, new in NAMES.items():
+            plain = plain.replace(old, new)
+        pages.append((r.page_id, r.url, plain))
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == truth
+    # the templates do it: without them many pages come out otherwise
+    assert sum(extraction.main_text(page, {}) != truth[k] for k, _, page in pages) > 0.1 * len(pages)
+
+
+def test_slots_that_change_places_or_repeat(spark):
+    story = lambda k: f"Story {k} goes on and on, for it is long and has much to tell to whom it may concern in the year {k}, and later." * (1 + k % 3)
+    side = lambda k: f"<section><p>Aside {k}</p></section>"
+    more = "<div class='k'><p>" + "The same long words stand on all pages of the house. " * 9 + "</p></div>"
+    page = lambda k: f"<body>{side(k) if k % 2 else ''}<div class='z'><h1>Title {k}</h1><p>{story(k)}</p></div>{more}{'' if k % 2 else side(k)}</body>"
+    hosts = [(f"https://h{h}.example/{k}", page(10 * h + k)) for h in range(3) for k in range(12)]
+    got = extracted(spark, hosts)
+    assert got == [f"Title {10 * h + k} {story(10 * h + k)}" for h in range(3) for k in range(12)]
+    assert sum(extraction.main_text(p, {}) != t for (_, p), t in zip(hosts, got)) > 10
+
+
+def test_misplaced_and_valid_tokens():
+    assert extraction.misplaced([1, 2, 3]) == extraction.misplaced([]) == set()
+    assert extraction.misplaced([5, 1, 2, 3]) == {0} and extraction.misplaced([1, 9, 2, 3, 4]) == {1} and len(extraction.misplaced([2, 1])) == 1
+    rows = pd.DataFrame({"token": ["", "/a", "/a/b", "/a/b/c", "/a/li/d", "/x"], "pages": [20] * 6, "wrong": [0, 0, 2, 0, 1, 0]})
+    assert extraction.valid(rows) == {"/a", "/a/li/d", "/x"}
+
+
+@pytest.mark.parametrize("page", ['<a "x ' * 150_000, "<a x=\"'" * 120_000, '<a x="' * 150_001, "<div>" * 200_000, "<button>" * 120_000, "<div>" * 50_000 + "</p>" * 190_000, "<li><blockquote>" * 40_000 + "<li></li>" * 30_000])
+def test_broken_pages_are_read_in_time_and_memory(page):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    extraction.main_text(page, {})
+    assert time.time() - began < 5
+    tracemalloc.start()
+    list(extraction.read(page[:200_000]))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_deep_elements_count_as_those_they_are_in():
+    deep = "<div>" * 300 + "<p>in</p>" + "</div>" * 299 + "<p>out</p></div><p>after</p>"
+    blocks = [(node.path.count("/"), text) for what, node, text in extraction.read(deep) if what == "text"]
+    assert blocks == [(extraction.DEPTH, "in"), (2, "out"), (1, "after")]
+
+
 @pytest.mark.parametrize("limit", [1000, 20_000, 10**9])
 def test_shards_fit_and_split_only_when_they_must(spark, sf, limit):
     rows = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), limit).collect()
