@@ -6,12 +6,14 @@ one perspective, with its place in the rendered dialogue and its mask: 1 for wha
 the end mark), 0 for all else.  A dialogue's text is its segments in order of ``start``; write_dialogues() puts them together in
 parts of bounded size.
 
-Places are running sums.  They are taken within blocks of BLOCK turns, then over the sums of blocks, so no task needs a whole
-dialogue; a dialogue that holds a third of all turns is spread over its blocks.
+All turns are dealt into ranges of their order (dialogue, turn, role, text, and a number that tells equal rows apart), so a block, the
+turns of a dialogue in one range, is bounded whatever the dialogue, and however many turns share a number or have none.  (Ranges are
+drawn by the first PREFIX characters of a text: longer texts that share turn, role and these stay in one block.)  Speakers meet
+turns by block, and places are running sums, taken within blocks and then over the sums of blocks: no task needs a whole dialogue.
 
 Defined results: turns are in order of turn, role, text, nulls first; a null text is empty, a null or blank role is "unknown";
 rows with a null conv_id are one dialogue; repeated rows are turns of their own; a dialogue of system turns only has no participant and no
-rows; extra columns are not read; an empty table gives an empty result.
+rows; extra columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import shared
 
-BLOCK = 256
+#: Turns in a part of a written dialogue; characters of a text that the ranges go by.
+PART, PREFIX = 256, 1024
 SYSTEM, UNKNOWN = "system", "unknown"
 END = "<|end|>\n"
 
@@ -30,8 +33,15 @@ def _turns(conversations: DataFrame) -> DataFrame:
     role = F.trim(F.col("role").cast("string"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     turn = F.col("turn").cast("long")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), F.when(role.isNull() | (role == ""), UNKNOWN).otherwise(role).alias("role"), text.alias("text"))
-    return rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
+    conv_id = F.col("conv_id").cast("long")
+    # conv names the dialogue where keys must be equal: null is one, too
+    conv = F.coalesce(conv_id.cast("string"), F.lit("none")).alias("conv")
+    rows = conversations.select(conv_id.alias("conv_id"), conv, turn.alias("turn"), F.when(role.isNull() | (role == ""), UNKNOWN).otherwise(role).alias("role"), text.alias("text"))
+    size = F.least(F.length("text"), F.lit(PREFIX + 1))
+    tie = F.when(size <= PREFIX, F.monotonically_increasing_id()).otherwise(0)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("tie", tie).repartitionByRange(ranges, "conv_id", "turn", "role", F.substring("text", 1, PREFIX), size, "tie")
+    return shared(rows.drop("tie").withColumn("block", F.spark_partition_id()))
 
 
 def header(role: Column, speaker: Column) -> Column:
@@ -45,24 +55,24 @@ def segments(conversations: DataFrame) -> DataFrame:
     Code points, ends exclusive; where mask is 1 the model learns from learn_from to end.
     """
     turns = _turns(conversations)
-    speakers = turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("speaker")).distinct()
-    rows = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
+    roles = turns.select("conv", "block", "role").distinct()  # rows meet before the shuffle
+    speakers = roles.where(F.col("role") != SYSTEM).select("conv", F.col("role").alias("speaker")).distinct()
+    here = roles.select("conv", "block").distinct().join(speakers, "conv")
+    rows = turns.join(here, ["conv", "block"])
     rows = rows.withColumn("head", header(F.col("role"), F.col("speaker"))).withColumn("segment", F.concat("head", "text", F.lit(END)))
-    key = ["conv_id", "speaker", "block"]
+    key = ["conv", "block", "speaker"]
     order = Window.partitionBy(*key).orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = rows.withColumn("nth", F.row_number().over(order).cast("long")).withColumn("upto", F.sum(F.length("segment")).over(upto).cast("long"))
     blocks = rows.groupBy(*key).agg(F.sum(F.length("segment")).cast("long").alias("length"), F.count("*").alias("turns"))
-    before = Window.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("speaker").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("passed"))
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("speaker") == F.col("s")) & (F.col("block") == F.col("b"))
-    out = inner.join(blocks, same)
+    before = Window.partitionBy("conv", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    out = inner.join(blocks.select(*key, F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("passed")), key)
     end = F.col("base") + F.col("upto")
     start = end - F.length("segment")
     return out.select("conv_id", "speaker", (F.col("passed") + F.col("nth") - 1).alias("position"), "turn", "role", "segment", start.alias("start"), (start + F.length("head")).alias("learn_from"), end.alias("end"), (F.col("role") == F.col("speaker")).cast("int").alias("mask"))
 
 
-def dialogues(conversations: DataFrame, turns: int = BLOCK) -> DataFrame:
+def dialogues(conversations: DataFrame, turns: int = PART) -> DataFrame:
     """conv_id, speaker, part, text, spans: each perspective's text in parts of at most ``turns`` turns, with the spans (from, to) to learn, in the part's own places."""
     rows = segments(conversations).withColumn("part", F.floor(F.col("position") / turns))
     parts = rows.groupBy("conv_id", "speaker", "part").agg(F.array_sort(F.collect_list(F.struct("position", "segment", "start", "learn_from", "end", "mask"))).alias("x"))

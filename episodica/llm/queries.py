@@ -33,6 +33,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with shards so small that every table splits, some shards on more bits than others."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 64 << 10)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +60,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_chat_perspectives, op3_html_extraction, op4_near_dup, op5_sharding, op6_quality_rules, op7_best_fit_packing, op8_decontamination, op9_license_scan, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_chat_perspectives, op3_html_extraction, op4_near_dup, op5_sharding, op5_sharding_64k, op6_quality_rules, op7_best_fit_packing, op8_decontamination, op9_license_scan, op10_pii_surrogates)}
 
 
 SQL = {
@@ -69,19 +74,21 @@ n AS (SELECT *, row_number() OVER w AS nth, sum(length(segment)) OVER (w ROWS UN
   WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, speaker, nth - 1 AS "position", turn, role, segment, CAST(stop - length(segment) AS BIGINT) AS "start", CAST(stop - length(segment) + length(head) AS BIGINT) AS learn_from, CAST(stop AS BIGINT) AS "end", CAST(role = speaker AS INTEGER) AS mask
 FROM n""",
-    "op5_sharding": """
+}
+#: Extendible hashing, bucket by bucket.
+SHARDS = """
 WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
   md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || chr(31) || md5(coalesce(text, ''))) AS m FROM documents),
-b AS (SELECT doc_id, n_bytes, format('{:060b}', CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS h FROM d),
+b AS (SELECT doc_id, n_bytes, format('{{:060b}}', CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS h FROM d),
 split AS (
   SELECT '' AS prefix, 0 AS depth
   UNION ALL
   SELECT p.prefix || bit, p.depth + 1 FROM split p, (VALUES ('0'), ('1')) AS v(bit)
-  WHERE p.depth < 60 AND (SELECT sum(n_bytes) FROM b WHERE substr(h, 1, p.depth) = p.prefix) > 16777216
+  WHERE p.depth < 60 AND (SELECT sum(n_bytes) FROM b WHERE substr(h, 1, p.depth) = p.prefix) > {limit}
     AND (SELECT count(*) FROM b WHERE substr(h, 1, p.depth) = p.prefix) > 1),
 leaf AS (SELECT prefix, depth FROM split s WHERE NOT EXISTS (SELECT 1 FROM split t WHERE t.depth = s.depth + 1 AND substr(t.prefix, 1, s.depth) = s.prefix))
-SELECT doc_id, n_bytes, prefix AS shard, depth, CAST(0 AS BIGINT) AS overflow FROM b JOIN leaf ON substr(h, 1, depth) = prefix""",
-}
+SELECT doc_id, n_bytes, prefix AS shard, depth, CAST(0 AS BIGINT) AS overflow FROM b JOIN leaf ON substr(h, 1, depth) = prefix"""
+SQL |= {"op5_sharding": SHARDS.format(limit=sharding.LIMIT), "op5_sharding_64k": SHARDS.format(limit=64 << 10)}
 
 
 def oracle_sql() -> dict[str, str]:

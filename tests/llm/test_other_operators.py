@@ -27,6 +27,41 @@ def test_perspectives(spark):
         assert all(r.text[s["from"] : s["to"]].endswith("<|end|>\n") for s in r.spans)
 
 
+def plain_perspectives(rows):
+    said = lambda r: (r[2] or "").strip(" ") or "unknown"
+    out = Counter()
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, said(r), (r[3] or "").encode()))
+        for speaker in {said(r) for r in own} - {"system"}:
+            at = 0
+            for k, r in enumerate(own):
+                role = said(r)
+                head = f"<|{'system' if role == 'system' else 'assistant' if role == speaker else 'user name=' + role}|>\n"
+                segment = f"{head}{r[3] or ''}<|end|>\n"
+                out[conv, speaker, k, r[1], role, segment, at, at + len(head), at + len(segment), int(role == speaker)] += 1
+                at += len(segment)
+    return out
+
+
+def test_perspectives_of_a_hot_dialogue_equal_a_plain_version(spark, tmp_path):
+    # many turns of one dialogue share a number, have none, or are equal; columns have the operator's own names
+    rows = [(1, None if k % 3 else 7, f"r{k % 3}", f"{'w' * (k % 5)} é𝒳 {k % 11}") for k in range(3000)] + [(1, 7, "r1", "same")] * 500 + [(1, k, " ann ", "") for k in range(300)]
+    rows += [(2, 1, "x", "p" * 1024), (2, 1, "x", "p" * 1024 + "q"), (2, 1, "x", "p" * 1030), (2, 1, "x", "p" * 1024)] * 20 + [(None, None, None, None)] * 3 + [(3, 0, "system", "alone")]
+    names = "block segment conv speaker tie nth base start".split()
+    docs = spark.createDataFrame([(*r, *"abcdefgh") for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"{n} string" for n in names))
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = perspectives.segments(docs).collect()
+        assert len({r.block for r in perspectives._turns(docs).where("conv_id = 1").select("block").distinct().collect()}) > 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert Counter(map(tuple, got)) == plain_perspectives(rows)
+    perspectives.write_dialogues(docs.where("conv_id = 2"), str(tmp_path / "out"))
+    (r,) = spark.read.json(str(tmp_path / "out")).collect()
+    assert r.text == "".join(x[5] for x in sorted(plain_perspectives([x for x in rows if x[0] == 2]).elements(), key=lambda x: x[6]))
+    assert len(r.spans) == 80 and r.spans[-1]["to"] == len(r.text)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header><a href=/>Site</a></header><nav><ul><li>Menu</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><h1>A &amp; B{k}</h1><p><b>One<br>two  three&nbsp;{k}</b><p>Fo<i>u</i>r.</p><form><p>Mail</p></form>
 <div class="promo">Join us</div><ul><li>x<li>y</ul></article><section id="comments"><p>Nice {k}</p></section><aside>Side</aside><footer>&copy; me</footer></body>"""
