@@ -83,7 +83,7 @@ def stripped(turn_id: Column) -> Column:
 def hit(text: Column, needle: Column) -> Column:
     """Does the needle stand in the text as whole words, in either case?  An empty needle does not."""
     quoted = F.concat(F.lit(r"(?i)\b\Q"), needle, F.lit(r"\E\b"))
-    return (needle != "") & text.rlike(quoted)
+    return (needle != "") & F.call_function("rlike", text, quoted)
 
 
 def parse_time(text: Column) -> Column:

@@ -1,42 +1,94 @@
-"""Dense scoring: blocks of questions against all rows, as matrix products in Arrow batches."""
+"""Dense scoring: blocks of questions against blocks of rows, as matrix products.
 
-from __future__ import annotations
+Rows and questions of a store are dealt into blocks by hash, and each pair of blocks is one group of bounded size: nothing is
+collected, nothing is sent to all tasks, and a store that holds most rows is spread over its blocks.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Question vectors of a block; their size on a worker is this times 8 bytes a dimension.
-BLOCK = 2048
+#: Rows and questions of a block, on average.
+ROWS, QUESTIONS = 4096, 1024
+
+
+def _blocks(rows: DataFrame, questions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with rb and qb: each row once for each block of its store's questions, and the reverse."""
+    size = lambda df, per, name: df.groupBy("store_id").agg(F.ceil(F.count("*") / per).cast("int").alias(name))
+    sizes = size(rows, ROWS, "n").join(size(questions, QUESTIONS, "m"), "store_id")
+    own = lambda n, *k: F.pmod(F.xxhash64(*k), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(sizes, "store_id").withColumn("rb", own("n", *keys)).withColumn("qb", every("m")).drop("n", "m")
+    right = questions.join(sizes, "store_id").withColumn("qb", own("m", "qid")).withColumn("rb", every("n")).drop("n", "m")
+    return left, right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # both may come from one table
 
 
-def scores(rows: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """qid, id, score: the dot product of each question (qid, v) and row (id, v); the k best of each question, ties by id.
+def products(rows: DataFrame, questions: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """store_id, qid, keys, score: the dot products of the questions (store_id, qid, v) and rows (store_id, keys, v) of each store.
 
-    Each Arrow batch keeps its own k best, so what moves is k rows a question and batch.  k=None keeps all.
+    k: a block keeps the k best rows of each question, ties by keys.  Rows without a vector have no score.
     """
-    n = queries.count()
-    out = None
-    for b in range(max(1, -(-n // BLOCK))):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // BLOCK)))) == b).orderBy("qid").collect()
-        ids, q = [r["qid"] for r in part], np.array([r["v"] for r in part], np.float64)
-
-        def run(batches: Iterator[pd.DataFrame], ids=np.array(ids, np.int64), q=q) -> Iterator[pd.DataFrame]:
-            for frame in batches:
-                if not len(frame) or not len(ids):
-                    continue
-                s = np.stack(frame["v"].to_numpy()).astype(np.float64) @ q.T
-                own = frame["id"].to_numpy()
-                for j, qid in enumerate(ids):
-                    keep = np.arange(len(own)) if k is None else np.lexsort((own, -np.round(s[:, j], 6)))[:k]
-                    yield pd.DataFrame({"qid": qid, "id": own[keep], "score": s[keep, j]})
-
-        got = rows.where("v IS NOT NULL AND id IS NOT NULL").select("id", "v").mapInPandas(run, "qid long, id long, score double")
-        out = got if out is None else out.union(got)
+    rows = rows.where("v IS NOT NULL").select("store_id", *keys, "v")
+    questions = questions.where("v IS NOT NULL").select("store_id", "qid", "v")
+    left, right = _blocks(rows, questions, keys)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["store_id", "qid", *keys, "score"])
+        a = a.sort_values(keys, kind="stable").reset_index(drop=True)
+        s = np.stack(b["v_"].to_numpy()).astype(np.float64) @ np.stack(a["v"].to_numpy()).astype(np.float64).T
+        if k is None or k >= len(a):
+            q, r = np.repeat(np.arange(len(b)), len(a)), np.tile(np.arange(len(a)), len(b))
+        else:
+            near = np.round(s, 6)
+            least = -np.partition(-near, k - 1, axis=1)[:, k - 1]  # the k-th best, and what ties with it
+            q, r = np.nonzero(near >= least[:, None])
+            order = np.lexsort((r, -near[q, r], q))
+            q, r = q[order], r[order]
+            first = np.searchsorted(q, np.arange(len(b)))
+            top = np.arange(len(q)) - first[q] < k
+            q, r = q[top], r[top]
+        out = a.iloc[r][["store_id", *keys]].reset_index(drop=True)
+        return out.assign(qid=b["qid_"].to_numpy()[q], score=s[q, r])[["store_id", "qid", *keys, "score"]]
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in ("store_id", "qid", *keys)) + ", score double"
+    by = ["store_id", "rb", "qb"]
+    return left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInPandas(run, schema)
+
+
+def scores(rows: DataFrame, questions: DataFrame, k: int | None) -> DataFrame:
+    """qid, id, score of questions (qid, v) and rows (id, v) of a single store; k: the best of each question, with their rank."""
+    one = F.lit(0).cast("long").alias("store_id")
+    out = products(rows.select(one, "id", "v"), questions.select(one, "qid", "v"), ["id"], k).drop("store_id")
     if k is None:
         return out
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def novelty(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """store_id, seq, novelty: 1 - the greatest dot product with an earlier row of the store, between 0 and 1; 1 for the first.
+
+    A store is cut into blocks by seq; each pair of a block and one not after it is a group of its own.
+    """
+    n = F.floor(F.col("seq") / block).cast("long")
+    rows = rows.where("v IS NOT NULL").select("store_id", "seq", "v", n.alias("own"))
+    known = rows.select("store_id", "own").distinct()
+    pairs = known.join(known.withColumnRenamed("own", "other"), "store_id").where("other <= own")
+    left = rows.join(pairs, ["store_id", "own"])
+    right = rows.withColumnRenamed("own", "other").join(pairs, ["store_id", "other"])
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # the same rows, under names of their own
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        s = np.stack(a["v"].to_numpy()).astype(np.float64) @ np.stack(b["v_"].to_numpy()).astype(np.float64).T
+        s[b["seq_"].to_numpy()[None, :] >= a["seq"].to_numpy()[:, None]] = -np.inf
+        return a[["store_id", "seq"]].assign(most=s.max(axis=1))
+
+    by = ["store_id", "own", "other"]
+    most = left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInPandas(run, "store_id long, seq long, most double")
+    most = most.groupBy("store_id", "seq").agg(F.max("most").alias("most"))
+    return most.select("store_id", "seq", F.when(F.col("most") == float("-inf"), 1.0).otherwise(F.least(F.greatest(1 - F.col("most"), F.lit(0.0)), F.lit(1.0))).alias("novelty"))

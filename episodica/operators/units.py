@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_terms
+from .index import counted
 
 JOIN = "|"
 
@@ -16,30 +17,43 @@ def _after(terms: Column, i: Column, window: int | None) -> Column:
 
 
 def combinations(terms: Column, order: int = 2, window: int | None = 4) -> Column:
-    """All units of a text as joined, sorted terms, with repeats: no shuffle, one array a row."""
-    units = terms
-    if order >= 2:
-        pairs = F.transform(terms, lambda w, i: F.transform(F.filter(_after(terms, i, window), lambda v: v != w), lambda v: F.array_join(F.array_sort(F.array(w, v)), JOIN)))
-        units = F.concat(units, F.flatten(pairs))
-    if order >= 3:
+    """All units of a text as joined, sorted terms, with repeats: no shuffle, one array a row.
 
-        def triples(w: Column, i: Column) -> Column:
-            rest = F.filter(_after(terms, i, window), lambda v: v != w)
-            return F.flatten(F.transform(rest, lambda v, j: F.transform(F.filter(F.slice(rest, j + 2, F.size(rest)), lambda x: x != v), lambda x: F.array_join(F.array_sort(F.array(w, v, x)), JOIN))))
+    A unit of several terms opens at a term and takes others, all different, from those within the window behind it.
+    """
 
-        units = F.concat(units, F.flatten(F.transform(terms, triples)))
-    return units
+    def longer(chosen: list[Column], rest: Column, left: int) -> Column:
+        """Units that go on from the chosen terms with up to ``left`` of the rest, in order."""
+        here = F.transform(rest, lambda v: F.array_join(F.array_sort(F.array(*chosen, v)), JOIN))
+        if left == 1:
+            return here
+        after = lambda v, j: F.filter(F.slice(rest, j + 2, F.size(rest)), lambda x: x != v)
+        return F.concat(here, F.flatten(F.transform(rest, lambda v, j: longer([*chosen, v], after(v, j), left - 1))))
+
+    if order < 2:
+        return terms
+    opened = lambda w, i: longer([w], F.filter(_after(terms, i, window), lambda v: v != w), order - 1)
+    return F.concat(terms, F.flatten(F.transform(terms, opened)))
 
 
 def unit_counts(texts: DataFrame, keys: list[str], order: int = 2, window: int | None = 4) -> DataFrame:
-    """keys, u, tf, length (terms of the text, repeats included)."""
-    if order not in (1, 2, 3) or (window is not None and window < 2):
-        raise ValueError("order must be 1 to 3, window 2 or more")
+    """keys, u, tf, length (terms of the text, repeats included); a row of texts is one document, and nothing is shuffled."""
+    if order < 1 or (window is not None and window < 2):
+        raise ValueError("order must be 1 or more, window 2 or more")
     rows = texts.select(*keys, content_terms(F.col("text")).alias("terms"))
-    rows = rows.select(*keys, F.size("terms").cast("long").alias("length"), F.explode(combinations(F.col("terms"), order, window)).alias("u"))
-    return rows.groupBy(*keys, "u", "length").agg(F.count("*").alias("tf"))
+    rows = rows.select(*keys, F.size("terms").cast("long").alias("length"), F.explode(counted(combinations(F.col("terms"), order, window))).alias("c"))
+    return rows.select(*keys, "c.u", "c.tf", "length")
 
 
 def unit_sets(texts: DataFrame, keys: list[str], order: int = 2, window: int | None = 4) -> DataFrame:
     """keys, units: the distinct units of each text."""
-    return texts.select(*keys, F.array_distinct(combinations(content_terms(F.col("text")), order, window)).alias("units"))
+    # terms are a column of their own, so that they are made once and not for each place in them
+    rows = texts.select(*keys, content_terms(F.col("text")).alias("terms"))
+    return rows.select(*keys, F.array_distinct(combinations(F.col("terms"), order, window)).alias("units"))
+
+
+def unit_rows(texts: DataFrame, keys: list[str], order: int = 2, window: int | None = 4) -> DataFrame:
+    """keys, u: the distinct units of each text, a row each."""
+    rows = texts.select(*keys, content_terms(F.col("text")).alias("terms"))
+    # exploded where they are made: from a column of units a filter of empty ones would be inferred, which makes them, and terms, again
+    return rows.select(*keys, F.explode(F.array_distinct(combinations(F.col("terms"), order, window))).alias("u"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import StoreConfig
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import dense, evaluation, fuse, index, store, units
+from ..operators import attractor, coding, consolidation, dense, evaluation, fuse, index, units
 from ..sources.tables import episodes, questions, table
 
 K = 10
@@ -92,8 +92,15 @@ def _best(scored: DataFrame, keys: list[str] = KEYS, k: int | None = K) -> DataF
     return index.top(scored, k, keys).select("qid", *keys, r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _unit_sets(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As _postings, without counts, for weights that don't need them."""
+    e, a = episodes(spark, sf), questions(spark, sf)
+    documents = e.select(*KEYS, F.size(T.content_terms(F.col("text"))).cast("long").alias("length"))
+    return units.unit_rows(e, KEYS, **kw), units.unit_rows(a, ["qid"], **kw), documents
+
+
 def _conj_scores(spark: SparkSession, sf: str, weighting: str = "idf") -> DataFrame:
-    return index.cosine(*_postings(spark, sf), KEYS, weighting)
+    return index.cosine(*_unit_sets(spark, sf), KEYS, weighting)
 
 
 # ---- text functions and units
@@ -107,24 +114,24 @@ def unit_counts_w4(spark, sf):
     return units.unit_counts(episodes(spark, sf), KEYS)
 
 
-@query(f"WITH {ASKED}, {_units('p', 'qid', 'a', None)} SELECT qid, u, tf, length FROM p")
+@query(f"WITH {EPISODES}, {_units('p', 'session, idx', 'e', None)} SELECT session, idx, u, tf, length FROM p")
 def unit_counts_all_pairs(spark, sf):
-    return units.unit_counts(questions(spark, sf), ["qid"], window=None)
+    return units.unit_counts(episodes(spark, sf), KEYS, window=None)
 
 
 @query(
-    f"""WITH {ASKED}, {_terms('t', 'qid', 'a')}
-SELECT a.qid, array_to_string(list_sort([a.w, b.w, c.w]), '|') AS u, count(*) AS tf FROM t a JOIN t b ON a.qid = b.qid AND b.p > a.p AND b.p - a.p < 3 AND a.w <> b.w
-JOIN t c ON c.qid = a.qid AND c.p > b.p AND c.p - a.p < 3 AND c.w <> a.w AND c.w <> b.w GROUP BY a.qid, array_to_string(list_sort([a.w, b.w, c.w]), '|')"""
+    f"""WITH {EPISODES}, {_terms('t', 'session, idx', 'e')}
+SELECT a.session, a.idx, array_to_string(list_sort([a.w, b.w, c.w]), '|') AS u, count(*) AS tf FROM t a JOIN t b ON a.session = b.session AND a.idx = b.idx AND b.p > a.p AND b.p - a.p < 3 AND a.w <> b.w
+JOIN t c ON c.session = a.session AND c.idx = a.idx AND c.p > b.p AND c.p - a.p < 3 AND c.w <> a.w AND c.w <> b.w GROUP BY a.session, a.idx, array_to_string(list_sort([a.w, b.w, c.w]), '|')"""
 )
 def unit_triples_w3(spark, sf):
-    rows = units.unit_counts(questions(spark, sf), ["qid"], order=3, window=3)
-    return rows.where(F.size(F.split("u", r"\|")) == 3).select("qid", "u", "tf")
+    rows = units.unit_counts(episodes(spark, sf), KEYS, order=3, window=3)
+    return rows.where(F.size(F.split("u", r"\|")) == 3).select(*KEYS, "u", "tf")
 
 
 @query(f"{BASE}, {WEIGHT} SELECT u, df, round(w, 6) AS idf FROM w JOIN (SELECT u, count(*) AS df FROM p GROUP BY u) USING (u)")
 def unit_df_idf(spark, sf):
-    p, _, documents = _postings(spark, sf)
+    p, _, documents = _unit_sets(spark, sf)
     df = index.with_total(index.document_frequency(p), documents)
     return df.select("u", "df", r6(index.idf(F.col("n"), F.col("df")), "idf"))
 
@@ -153,7 +160,7 @@ def conj_bm25(spark, sf):
 scored AS (SELECT qid, session, idx, c / sqrt(n * m) AS score FROM (SELECT qid, session, idx, count(*) AS c FROM (SELECT session, idx, u FROM p) JOIN (SELECT qid, u FROM q) USING (u) GROUP BY qid, session, idx) JOIN ps USING (session, idx) JOIN qs USING (qid)) {_ranked("scored")}"""
 )
 def conj_match_unweighted(spark, sf):
-    p, q, _ = _postings(spark, sf)
+    p, q, _ = _unit_sets(spark, sf)
     ps, qs = p.groupBy(*KEYS).agg(F.count("*").alias("n")), q.groupBy("qid").agg(F.count("*").alias("m"))
     met = p.select(*KEYS, "u").join(q.select("qid", "u"), "u").groupBy("qid", *KEYS).agg(F.count("*").alias("c"))
     return _best(met.join(ps, KEYS).join(qs, "qid").select("qid", *KEYS, (F.col("c") / F.sqrt(F.col("n") * F.col("m"))).alias("score")))
@@ -265,7 +272,7 @@ def hybrid_rrf_pool(spark, sf):
 
 @query(TWO + ", n AS (SELECT qid, id, 0.6 * (lexical - avg(lexical) OVER w) / stddev_pop(lexical) OVER w + 0.4 * (semantic - avg(semantic) OVER w) / stddev_pop(semantic) OVER w AS score FROM scored WINDOW w AS (PARTITION BY qid)) " + _ranked("n", "id"))
 def hybrid_z_alpha(spark, sf):
-    return _best(_two(spark, sf).withColumn("score", 0.6 * fuse.zscore("lexical") + 0.4 * fuse.zscore("semantic")), ["id"])
+    return _best(fuse.normalised(_two(spark, sf), ["lexical", "semantic"], "zscore", ["id"]).withColumn("score", 0.6 * F.col("lexical_n") + 0.4 * F.col("semantic_n")), ["id"])
 
 
 # ---- time, strength, neighbours
@@ -439,27 +446,6 @@ def schema_rank_mass(spark, sf):
     return _best(got, ["id"], 4).withColumn("id", F.col("id").cast("int"))
 
 
-# ---- the composite read: units and time context fused, strength, dedup, top k
-FULL = f"""{SQL_CONJ}, strength AS (SELECT conv_id AS session, turn AS idx, text, pow(0.9995, count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1) AS strength FROM conversations),
-c AS (SELECT qid, session, idx, coalesce(score, 0) AS conj, ({PHASES.replace("conv_id", "session").replace("turn", "idx")}) / 16 AS temporal, strength, text FROM (SELECT qid FROM a) CROSS JOIN strength LEFT JOIN scored USING (qid, session, idx)),
-n AS (SELECT qid, session, idx, text, (0.9 * CASE WHEN max(conj) OVER w - min(conj) OVER w < 1e-6 THEN 0 ELSE (conj - min(conj) OVER w) / (max(conj) OVER w - min(conj) OVER w) END + 0.25 * (temporal - min(temporal) OVER w) / (max(temporal) OVER w - min(temporal) OVER w)) * (0.85 + 0.15 * strength) AS score FROM c WINDOW w AS (PARTITION BY qid)),
-once AS (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY round(score, 6) DESC, session, idx) AS k FROM n) {_ranked("(SELECT * FROM once WHERE k = 1)", k=5)}"""
-
-
-@query(FULL)
-def recall_full(spark, sf):
-    """Every question against every episode: the candidates of a recall are the whole store."""
-    e = episodes(spark, sf)
-    w = Window.partitionBy("session")
-    age = F.count("*").over(w) - F.row_number().over(w.orderBy("idx")) + 1
-    rows = e.select(*KEYS, F.md5("text").alias("key"), F.pow(F.lit(StoreConfig.decay_rate), age).alias("strength"), V.theta(F.col("session"), F.col("idx"), F.lit(3), F.lit(2)).alias("temporal"))
-    c = rows.join(F.broadcast(questions(spark, sf).select("qid"))).join(_conj_scores(spark, sf), ["qid", *KEYS], "left").withColumn("conjunctive", F.coalesce("score", F.lit(0.0)))
-    got = fuse.fused(c, {"conjunctive": StoreConfig.w_conjunctive, "temporal": StoreConfig.w_temporal}, "minmax", KEYS)
-    got = got.withColumn("score", F.col("total") * (0.85 + 0.15 * F.col("strength")))
-    nth = F.row_number().over(Window.partitionBy("qid", "key").orderBy(F.desc(F.round("score", 6)), *KEYS))
-    return _best(got.withColumn("k", nth).where("k = 1"), k=5)
-
-
 # ---- evaluation: a document that holds an item's text is gold for it
 GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranked AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored), "
 HITS = "g AS (SELECT qid, count(*) AS golds FROM gold GROUP BY qid), h AS (SELECT qid, rank FROM ranked JOIN gold USING (qid, doc_id)) "
@@ -478,7 +464,8 @@ def _gold(spark, sf):
 
 
 def _evaluated(spark, sf, k):
-    return evaluation.at_k(index.top(_bm25_scores(spark, sf), None, ["doc_id"]), _gold(spark, sf), k, ["doc_id"])
+    gold = _gold(spark, sf)
+    return evaluation.at_k(index.ranks(_bm25_scores(spark, sf), gold, ["doc_id"]), gold, k, ["doc_id"])
 
 
 DCG = "sum(CASE WHEN rank <= {k} THEN CASE WHEN rank = 1 THEN 1 ELSE 1 / log2(rank) END ELSE 0 END)"
@@ -558,9 +545,11 @@ def hashing_encoder_md5(spark, sf):
 
 @query(DENSE + ", s AS (SELECT qid, id, exp(22 * (score - max(score) OVER (PARTITION BY qid))) AS x FROM scored), n AS (SELECT qid, id, x / sum(x) OVER (PARTITION BY qid) AS score FROM s) " + _ranked("n", "id", 3))
 def hopfield_step(spark, sf):
-    w = Window.partitionBy("qid")
-    s = _dense(spark, sf, None).withColumn("x", F.exp(StoreConfig.beta * (F.col("score") - F.max("score").over(w))))
-    return _best(s.withColumn("score", F.col("x") / F.sum("x").over(w)), ["id"], 3)
+    s = _dense(spark, sf, None)
+    most = s.groupBy("qid").agg(F.max("score").alias("most"))
+    s = s.join(most, "qid").withColumn("x", F.exp(StoreConfig.beta * (F.col("score") - F.col("most"))))
+    whole = s.groupBy("qid").agg(F.sum("x").alias("whole"))
+    return _best(s.join(whole, "qid").withColumn("score", F.col("x") / F.col("whole")), ["id"], 3)
 
 
 # ---- rows only: order-dependent state and seeded resampling
@@ -571,18 +560,34 @@ def _vectors(spark, sf):
 
 @query()
 def usage_biased_codes(spark, sf):
-    return store.codes(_vectors(spark, sf), StoreConfig())
+    return coding.codes(_vectors(spark, sf), StoreConfig())
 
 
 @query()
 def attractor_complete(spark, sf):
-    return store.completion(store.codes(_vectors(spark, sf), StoreConfig()), StoreConfig())
+    return attractor.completion(coding.codes(_vectors(spark, sf), StoreConfig()), StoreConfig(), 64 * StoreConfig.expansion)
+
+
+@query()
+def completion_capacity(spark, sf):
+    return attractor.capacity_probe(coding.codes(_vectors(spark, sf), StoreConfig()), StoreConfig(), 64 * StoreConfig.expansion, corruption=0.5)
+
+
+def _sleepers(spark, sf):
+    return _vectors(spark, sf).withColumns({"session": F.col("seq") % 16, "idx": F.floor(F.col("seq") / 16), "text": F.concat(F.lit("episode "), "seq"), "ts": F.col("seq") * 60.0, "salience": (F.col("seq") % 5) / 5.0, "surprise": F.lit(0.5)})
+
+
+SLEEP = {"config": StoreConfig(schema_merge_threshold=0.3, capacity=40), "cycles": 15, "now": 3600.0 * 60}
 
 
 @query()
 def sleep_schemas(spark, sf):
-    rows = _vectors(spark, sf).withColumns({"session": F.col("seq") % 16, "idx": F.floor(F.col("seq") / 16), "text": F.concat(F.lit("episode "), "seq"), "ts": F.col("seq") * 60.0, "salience": (F.col("seq") % 5) / 5.0, "surprise": F.lit(0.5)})
-    return store.sleep(rows, StoreConfig(schema_merge_threshold=0.3), cycles=15, now=3600.0 * 60)
+    return consolidation.sleep(_sleepers(spark, sf), **SLEEP)
+
+
+@query()
+def sleep_log(spark, sf):
+    return consolidation.consolidation_log(_sleepers(spark, sf), **SLEEP)
 
 
 @query()
@@ -604,8 +609,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import reads  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import reads  # noqa: F401
+
     return dict(SQL)
