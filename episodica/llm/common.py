@@ -21,12 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of the cluster share (spark.checkpoint.dir).  Only a local session may have one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="shared")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems hold it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the shared folder of the cluster (spark.checkpoint.dir)."""
+    """Cut the lineage of ``df`` with a checkpoint in the shared folder of the cluster.
+
+    spark.cleaner.referenceTracking.cleanCheckpoints, set when a session starts, lets Spark delete those that are not used any more."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     cut = df.checkpoint()._jdf
     # a checkpoint keeps its plan's size estimate; a join multiplies those, and over loops they grow to numbers of many
     # thousand digits.  The same rows as a new frame have none, and adaptive execution goes by what it measures.
