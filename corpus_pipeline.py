@@ -12,13 +12,12 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from episodica.llm import decontaminate, near_dup, packing, quality, secrets
-from episodica.llm.common import table
+from episodica.llm.common import remove, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, over the whole of documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus")
-    folder = os.path.join(shared, f"corpus-{uuid.uuid4().hex}")
+    """The last stage's rows, over the whole of documents.
+
+    Stages are written below the cluster's shared folder; each goes when the next has read it, and the last stays, as the result."""
+    folder = os.path.join(shared_folder(spark), f"corpus-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
