@@ -237,3 +237,32 @@ def test_streamed_counts_equal_batch(spark, sf, tmp_path):
     p = units.unit_counts(rows.withColumn("k", F.monotonically_increasing_id()), ["k"])
     want = {r.u: r.df for r in index.document_frequency(p).collect()}
     assert {r.u: r.df for r in spark.table("df").collect()} == want
+
+
+def test_encoders(spark, tmp_path):
+    import hashlib
+
+    from episodica.functions import encoders
+
+    def plain(text, dim=384):
+        words, v = [w for w in "".join(c if c.isascii() and (c.isalnum() or c == "'") else " " for c in text.lower()).split()], np.zeros(dim)
+        for n in (1, 2):
+            for k in range(len(words) - n + 1):
+                h = int.from_bytes(hashlib.blake2b(f"0:{' '.join(words[k : k + n])}".encode(), digest_size=8).digest(), "little")
+                v[h % dim] += (1 if h >> 63 else -1) / math.sqrt(n)
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    texts = ["The valve failed at Priya's plant", "the valve failed at priya's plant", "", None, "é x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    own = encoders.REGISTRY["hashing"]
+    got = {r.k: r.v for r in rows.select("k", own.documents(F.col("text")).alias("v")).collect()}
+    assert all(np.allclose(got[k], plain(t or ""), atol=1e-6) for k, t in enumerate(texts))
+    path = str(tmp_path / "cache")
+    for _ in range(2):
+        held = {r.k: r.v for r in encoders.cached(rows, own, path).collect()}
+        assert held == {**got, 3: None} and spark.read.parquet(path).count() == 4
+    table = spark.read.parquet(path)
+    served = {r.k: r.v for r in encoders.from_tables(rows, table.limit(0), table).collect()}
+    assert served == held
+    with pytest.raises(ValueError):
+        encoders.register("hashing", own)
