@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, licenses, near_dup, packing, perspectives, pii, quality, secrets, sharding
+from . import decontaminate, extraction, licenses, middle, near_dup, packing, perspectives, pii, quality, secrets, sharding
 from .common import table
 
 #: The surrogates' key in the registered query; a user passes one of their own.
@@ -59,8 +59,18 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY).drop("n_chars")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_secret_scan, op2_chat_perspectives, op3_html_extraction, op4_near_dup, op5_sharding, op5_sharding_64k, op6_quality_rules, op7_best_fit_packing,
+    op8_decontamination, op9_license_scan, op10_pii_surrogates, op12_fill_in_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_chat_perspectives, op3_html_extraction, op4_near_dup, op5_sharding, op5_sharding_64k, op6_quality_rules, op7_best_fit_packing, op8_decontamination, op9_license_scan, op10_pii_surrogates)}
+    return {f.__name__: f for f in QUERIES}
 
 
 SQL = {
@@ -74,6 +84,19 @@ n AS (SELECT *, row_number() OVER w AS nth, sum(length(segment)) OVER (w ROWS UN
   WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, speaker, nth - 1 AS "position", turn, role, segment, CAST(stop - length(segment) AS BIGINT) AS "start", CAST(stop - length(segment) + length(head) AS BIGINT) AS learn_from, CAST(stop AS BIGINT) AS "end", CAST(role = speaker AS INTEGER) AS mask
 FROM n""",
+    "op12_fill_in_middle": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, string_split(text, chr(10)) AS l, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN right(text, 1) = chr(10) THEN 1 ELSE 0 END END AS n,
+  CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, CASE WHEN a = 0 THEN '' WHEN a = n THEN text ELSE array_to_string(l[1:a], chr(10)) || chr(10) END AS prefix,
+  CASE WHEN b = 0 THEN '' WHEN b = n THEN text ELSE array_to_string(l[1:b], chr(10)) || chr(10) END AS head FROM c),
+m AS (SELECT *, substr(head, length(prefix) + 1) AS middle, substr(text, length(head) + 1) AS suffix FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM m""",
 }
 #: Extendible hashing, bucket by bucket.
 SHARDS = """
