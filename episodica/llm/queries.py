@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, licenses, middle, near_dup, packing, perspectives, pii, quality, secrets, sharding
+from . import centroids, decontaminate, extraction, licenses, middle, near_dup, packing, perspectives, pii, quality, secrets, sharding, simhash
 from .common import table
 
 #: The surrogates' key in the registered query; a user passes one of their own.
@@ -59,13 +59,21 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY).drop("n_chars")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_secret_scan, op2_chat_perspectives, op3_html_extraction, op4_near_dup, op5_sharding, op5_sharding_64k, op6_quality_rules, op7_best_fit_packing,
-    op8_decontamination, op9_license_scan, op10_pii_surrogates, op12_fill_in_middle,
+    op8_decontamination, op9_license_scan, op10_pii_surrogates, op11_simhash, op12_fill_in_middle, op13_centroids,
 )
 
 
@@ -114,5 +122,29 @@ SELECT doc_id, n_bytes, prefix AS shard, depth, CAST(0 AS BIGINT) AS overflow FR
 SQL |= {"op5_sharding": SHARDS.format(limit=sharding.LIMIT), "op5_sharding_64k": SHARDS.format(limit=64 << 10)}
 
 
+def _lloyd(k: int = 8, rounds: int = 10) -> str:
+    """K-means on whole numbers, a table for each round."""
+    out = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM e ORDER BY c LIMIT %d)""" % k
+    square = "list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for n in range(rounds + 1):
+        out += f""",
+a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := CAST({square} AS BIGINT), c := c.c)) AS m FROM e, c{n} AS c GROUP BY r)"""
+        if n < rounds:
+            out += f""",
+s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT a.m.c AS c, unnest(e.v) AS x, unnest(range(64)) AS i FROM a{n} AS a JOIN e USING (r)) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(g.v, c.v) AS v FROM c{n} AS c LEFT JOIN
+  (SELECT c, list(CAST((s - ((s %% n) + n) %% n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c) AS g USING (c))""".replace("%%", "%")
+    return out + f"""
+SELECT vec_id, CAST(m.c AS INTEGER) AS "cluster", m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN c{rounds} AS c ON c.c = m.c"""
+
+
+SQL["op13_centroids"] = _lloyd()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
