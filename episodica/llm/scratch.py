@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ class Scratch:
         """Delete all but these frames."""
         kept = {id(f) for f in frames}
         for key, (_, path) in self._paths.items():
-            if key not in kept and path:
+            if path and key not in kept:
                 remove(self.spark, path)
                 self._paths[key] = (self._paths[key][0], "")
 
@@ -75,27 +77,54 @@ def beside(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n"
     return met.join(cold, "_at", "left").select(*[F.col(f"`{c}`") for c in rows.columns], *[fact(c) for c in others])
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of some nodes as stars: (node, least node of its component), without the least themselves."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        # a node's label is a node of its component: what that one knows, the node takes over
+        np.minimum.at(new, least[x], low)
+        np.minimum.at(new, least[y], low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[moved], nodes[least[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(*[c.to_numpy(zero_copy_only=False) for c in batch.columns])], ["u", "v"])
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Does each node have one edge, to a node that has none?"""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of all nodes of the links (a, b): root is the least node of the component; a table of scratch.
+    """(node, root) of the nodes of the links (a, b) that are not the least of their component, which root is; a table of scratch.
 
-    Large-star and small-star steps, each a table that replaces the one before, until nothing changes."""
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
-            roots = scratch.keep(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
-            scratch.drop(edges)
-            return roots
-        state = now
+    Each task makes stars of what links it holds; then large-star and small-star steps, each a table that replaces the one before, until
+    there are only stars."""
+    edges = scratch.keep(links.select("a", "b").where("a <> b").mapInArrow(_contract, "u long, v long").distinct())
+    while not _is_stars(edges):
+        total = 2 * edges.count()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        least = scratch.keep(least)
-        # a node's edges to larger ones move to its least: the least of a large component has many, so it is met as a hot key
-        size = 2 * now[0]
-        large = scratch.keep(beside(both, least, "u", size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = beside(large, low, "u", size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # the least node of a large component has many edges, so it is met as a hot key
+        large = beside(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = beside(large, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.keep(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        scratch.drop(edges, least, large, low)
+        scratch.drop(edges)
         edges = new
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

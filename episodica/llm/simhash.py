@@ -11,9 +11,9 @@ counted (words: runs without white space, A-Z lower-cased; fewer words are one s
   takes those with the fewest estimated candidates and probes; estimates come from the 256 counts of each block.  m is the
   number of partitions with the least expected cost: more rows take fewer, longer partitions.
 * All fingerprints are indexed by the value of every partition; a fingerprint probes all values within its thresholds.  Members of a
-  bucket of up to SMALL meet each other.  In a larger bucket all meet one pivot; where members of different components are left,
-  the bucket is split by the pigeonhole again, on its free bits, until buckets are small or of one component.  So no group of near copies
-  meets in pairs, and no link between components is lost.
+  bucket of up to SMALL meet each other inside a task, which gives stars, not pairs.  In a larger bucket all meet one pivot; where members
+  of different components are left, the bucket is split by the pigeonhole again, on its free bits, until buckets are small or of one
+  component.  So no group of near copies is written in pairs, and no link between components is lost.
 
 Defined results: a null text has no words; rows that share a doc_id are rows of their own, each with its text's fingerprint; a
 null doc_id takes part in its component, whose least doc_id it gets (null if there is none); other columns are not read; an empty table
@@ -23,7 +23,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gold, mix
-from .scratch import Scratch, beside, components
+from .scratch import Scratch, beside, components, spanning
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 3, 42, 3
 #: Bits of a block; what a probe costs beside a candidate, in the choice of thresholds.
 BLOCK, PROBE = 8, 4.0
 #: Members of a bucket that all meet each other; free bits of a bucket that is not split any more.
-SMALL, LAST = 128, 12
+SMALL, LAST = 1024, 12
 _BLOCKS = BITS // BLOCK
 _DIFFER = np.array([[(u ^ v).bit_count() for v in range(1 << BLOCK)] for u in range(1 << BLOCK)])
 
@@ -249,69 +249,88 @@ def _near(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the members (bucket, fp) of small buckets, which follow each other: members meet those one place behind, then two, ...
+    Of the links of a batch only stars are given."""
+    empty = np.zeros(0, np.uint64)
+    held = (empty, empty)
+    for batch in chain(batches, [None]):
+        if batch is None:
+            bucket, fp, whole = *held, len(held[0])
+        else:
+            bucket, fp = (np.concatenate((h, _values(batch, c))) for h, c in zip(held, ("bucket", "fp"), strict=True))
+            # the last bucket may go on in the next batch
+            whole = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if len(bucket) and (bucket != bucket[-1]).any() else 0
+        held = (bucket[whole:], fp[whole:])
+        bucket, fp = bucket[:whole], fp[:whole]
+        found: list[np.ndarray] = []
+        first = np.arange(len(fp))
+        for k in range(1, len(fp)):
+            first = first[first + k < len(fp)]
+            first = first[bucket[first] == bucket[first + k]]
+            if not len(first):
+                break
+            near = first[np.bitwise_count(fp[first] ^ fp[first + k]) <= DISTANCE]
+            if len(near):
+                found.append(np.stack((fp[near], fp[near + k])))
+        if found:
+            links = np.concatenate(found, 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(*links)], ["a", "b"])
+
+
 def linked(nodes: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(node, root) of the fingerprints (fp, copies) that are within 3 bits of others; null if there are fewer than two."""
+    """(node, root) of the fingerprints (fp, copies) that are not the least of their component; null if there are fewer than two."""
     n = nodes.count()
     if n < 2:
         return None
     grouped = blocks(together(nodes), n)
     counts = histograms(nodes, grouped)
     scheme = min((Scheme(grouped, counts, n, m) for m in (2, 3, 4, 5, 6, 8)), key=Scheme.cost)
+    names = [c.split()[0] for c in _MEMBERS.split(", ")]
     members = scratch.keep(nodes.select("fp", "copies").mapInArrow(scheme.probe, _MEMBERS))
     roots, level = None, 0
     while True:
-        rows = members.withColumn("root", F.col("fp")) if roots is None else _rooted(members, roots)
         central = F.struct(F.col("copies") if level == 0 else F.lit(0), F.xxhash64("fp", F.lit(level)), "fp")
-        facts = rows.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.max(central)["fp"].alias("pivot"), F.max("ask").alias("asks"), F.max("held").alias("holds"),
-            (F.min("root") != F.max("root")).alias("mixed"))
-        facts = scratch.keep(facts.where("n > 1 AND asks AND holds AND mixed").drop("asks", "holds", "mixed"))
-        active = scratch.keep(beside(rows, facts, "bucket", members.count()).where("pivot IS NOT NULL"))
+        facts = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max(central)["fp"].alias("pivot"), F.max("ask").alias("asks"), F.max("held").alias("holds"))
+        facts = facts.where("n > 1 AND asks AND holds").drop("asks", "holds")
+        active = scratch.keep(beside(members, facts, "bucket", members.count()).where("pivot IS NOT NULL"))
         small = (F.col("n") <= SMALL) | (F.bit_count("free") <= LAST)
-        other = active.where(small & F.col("held")).select("bucket", F.col("fp").alias("b"), F.col("root").alias("root2"))
-        met = active.where(small & F.col("ask")).withColumnRenamed("fp", "a").join(other, "bucket")
-        # both ends probe each other's buckets, so one direction is enough
-        met = met.where((F.col("a") > F.col("b")) & (F.col("root") != F.col("root2")) & _near("a", "b")).select("a", "b")
+        met = active.where(small).select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
         star = active.where(~small & (F.col("fp") != F.col("pivot")) & _near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
         links = met.union(star)
         if roots is not None:
             links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        fresh = components(links, scratch)
-        large = active.where(~small)
-        scratch.drop(roots)
-        roots = fresh
+        roots = components(links, scratch)
+        large = active.where(~small).select(names)
         if large.isEmpty():
-            scratch.only(roots)
             return roots
-        again = scratch.keep(_mixed(_rooted(large.select(*[c.split()[0] for c in _MEMBERS.split(", ")]), roots)).mapInArrow(_split, _MEMBERS).distinct())
-        scratch.drop(members, facts, active)
+        again = scratch.keep(_mixed(large, roots).mapInArrow(_split, _MEMBERS).distinct())
+        scratch.drop(members, active)
         members, level = again, level + 1
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with root: a fingerprint is in as many buckets as partitions and probes, not more."""
-    return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of buckets that hold several components."""
+    # a fingerprint is in as many buckets as partitions and probes, not more
+    rows = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    return rows.join(mixed, "bucket", "left_semi").drop("root")
+    return members.join(mixed, "bucket", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the least doc_id that links reach): one row per row of docs."""
-    scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
+    scratch, side = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     rows = scratch.keep(fingerprints(docs))
     total = rows.count()
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    side = Scratch(spark)
     roots = linked(nodes, side)
-    facts = nodes.withColumn("root", F.col("fp")) if roots is None else nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = facts.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    facts = scratch.keep(beside(scratch.keep(facts.select("fp", "copies", "root")), least, "root", max(total, 1)).select("fp", "copies", "component_id"))
-    if roots is not None:
+    if roots is None:
+        facts = nodes.select("fp", "copies", F.col("least").alias("component_id"))
+    else:
+        facts = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = facts.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+        facts = scratch.keep(beside(facts, least, "root", total).select("fp", "copies", "component_id"))
         side.only()
-    scratch.only(rows, facts)
+        scratch.drop(nodes)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return beside(rows, facts, "fp", total, "copies").select("doc_id", digits, "component_id")
