@@ -92,3 +92,25 @@ def novelty(rows: DataFrame, block: int = 1024) -> DataFrame:
     most = left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInPandas(run, "store_id long, seq long, most double")
     most = most.groupBy("store_id", "seq").agg(F.max("most").alias("most"))
     return most.select("store_id", "seq", F.when(F.col("most") == float("-inf"), 1.0).otherwise(F.least(F.greatest(1 - F.col("most"), F.lit(0.0)), F.lit(1.0))).alias("novelty"))
+
+
+def surprise(held: DataFrame, fresh: DataFrame) -> DataFrame:
+    """store_id, seq, surprise of the fresh rows (store_id, seq, v): 1 - the greatest dot product with a row of the store that was written
+    before (held: store_id, seq, last, v; or fresh) and that write number seq still finds (last), between 0 and 1.  Without such a
+    row there is no result."""
+    fresh = fresh.where("v IS NOT NULL")
+    rows = held.where("v IS NOT NULL").unionByName(fresh.withColumn("last", F.lit(2**62)))
+    left, right = _blocks(rows, fresh.select("store_id", F.col("seq").alias("qid"), "v"), ["seq"])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["store_id", "seq", "most"])
+        s = np.stack(b["v_"].to_numpy()).astype(np.float64) @ np.stack(a["v"].to_numpy()).astype(np.float64).T
+        now = b["qid_"].to_numpy()[:, None]
+        s[(a["seq"].to_numpy()[None] >= now) | (a["last"].to_numpy()[None] < now)] = -np.inf
+        return pd.DataFrame({"store_id": b["store_id_"].to_numpy(), "seq": b["qid_"].to_numpy(), "most": s.max(axis=1)})
+
+    by = ["store_id", "rb", "qb"]
+    most = left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInPandas(run, "store_id long, seq long, most double")
+    most = most.groupBy("store_id", "seq").agg(F.max("most").alias("most")).where(F.col("most") > float("-inf"))
+    return most.select("store_id", "seq", F.least(F.greatest(1 - F.col("most"), F.lit(0.0)), F.lit(1.0)).alias("surprise"))
