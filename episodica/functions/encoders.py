@@ -14,9 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.versions import Conflict, Versions
 from .text import ENCODER_TOKEN
 
 #: Model, what goes before a question, what goes before a document.
@@ -99,14 +100,33 @@ def from_tables(rows: DataFrame, documents: DataFrame, questions: DataFrame, tex
     return known.withColumn("v", F.coalesce("v1", "v2")).select(*rows.columns, "v")
 
 
-def cached(rows: DataFrame, encoder: Encoder, path: str, text: str = "text") -> DataFrame:
-    """rows with v.  Vectors of texts that the Parquet table at path lacks are made once each and added to it; null texts get none."""
-    spark: SparkSession = rows.sparkSession
-    schema = "key string, v array<float>"
-    before = F.lit(encoder.before_document)
-    keyed = rows.withColumn("key", key_of(F.concat(before, F.col(text))))
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("append").parquet(path)  # a table that is there stays as it is
-    missing = keyed.where("key IS NOT NULL").groupBy("key").agg(F.first(text).alias("said")).join(spark.read.schema(schema).parquet(path).select("key"), "key", "left_anti")
-    missing.select("key", encoder.documents(F.col("said")).alias("v")).write.mode("append").parquet(path)
-    return keyed.join(spark.read.schema(schema).parquet(path), "key", "left").drop("key")
+VECTORS = "key string, v array<float>, bucket int"
+
+
+def cached(rows: DataFrame, encoder: Encoder, path: str, text: str = "text", buckets: int = 16, tries: int = 20) -> DataFrame:
+    """rows with v.  Vectors of texts that the cache at path lacks are made once each and added to it; null texts get none.
+
+    The cache is a table in versions: a commit adds to the newest version only, and what another writer has added meanwhile is
+    left out before the next try, so a key has one row whoever writes, and a job that is killed adds all or nothing."""
+    tables = Versions(rows.sparkSession, path)
+    keyed = rows.withColumn("key", key_of(F.concat(F.lit(encoder.before_document), F.col(text))))
+    read = lambda version, only=None: tables.read("vectors", version, VECTORS, only)
+    missing = keyed.where("key IS NOT NULL").groupBy("key").agg(F.first(text).alias("said")).join(read(tables.version()).select("key"), "key", "left_anti")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    made = tables.stage(missing.select("key", encoder.documents(F.col("said")).cast("array<float>").alias("v"), bucket), "made")
+    touched = [r[0] for r in made.select("bucket").distinct().collect()]
+    for _ in range(tries if touched else 0):
+        version = tables.version()
+        held = read(version, touched)
+        fresh = made.join(held.select("key"), "key", "left_anti")
+        if fresh.isEmpty():
+            break
+        try:
+            tables.commit(version, {"vectors": (held.unionByName(fresh), touched)})
+            break
+        except Conflict:
+            continue
+    else:
+        if touched:
+            raise Conflict(f"{tries} commits to {path} came too late")
+    return keyed.join(read(tables.version()).select("key", "v"), "key", "left").drop("key")

@@ -609,12 +609,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import reads, stores  # noqa: F401  register their queries
+    from . import reads, stores, trials  # noqa: F401  register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import reads, stores  # noqa: F401
+    from . import reads, stores, trials  # noqa: F401
 
     return dict(SQL)
