@@ -130,8 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample) for k in (0, 1)]
     picked = chosen[0].union(chosen[1])  # at most 2 x sample rows of 12 bytes: small enough to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(_sample_features, "doc_id long, label int, at binary, x binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    # an id may have many rows: of its texts the one that hashes least is fitted, so the driver gets a row an id
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "label", F.col("first.text").alias("text"))
+    got = rows.mapInPandas(_sample_features, "doc_id long, label int, at binary, x binary").toPandas().sort_values("doc_id")
     if got["label"].nunique() < 2:
         return None
     x = np.zeros((len(got), 2 * DIMS), np.float32)
