@@ -10,8 +10,9 @@ of SEGMENT words lies whole in one.  A passage is a query of its distinct words:
   which returns every segment whose score reaches the threshold;
 * hits of one item in passages that follow each other closely (no further apart than the item's segments may lie) are one run; it
   counts when the words of its passages, and no others of the document, hold enough of the item's question and of its
-  answer (the last sentence; of a single sentence, its last third): of the word pairs of a part, or of the words of
-  a part of fewer than SHORT words, which has too few pairs to tell.
+  answer (the last sentence; of a single sentence, its last third).  A word of a part is held if it stands there in order with a
+  neighbour: with one of the two words before or after it in the part, and at most one word between.  So an edited word costs
+  itself and not its neighbours; the word of a part of one word needs none.
 
 The index is built on the driver from a shard of the items of bounded size (SHARD items); more items make more
 shards, each run against all documents.
@@ -40,10 +41,8 @@ from .common import ALNUM, GOLD, Words, by_batch, chunks, mix, small_batches
 
 SEGMENT, PASSAGE, BLOCKS, SHARD = 48, 96, 32, 4096
 K1, B = 1.2, 0.75
-#: Share of a segment's own BM25 score that a passage must reach, and shares of word pairs of question and answer.
+#: Share of a segment's own BM25 score that a passage must reach, and of the words of question and answer that must be held.
 THRESHOLD, OVERLAP = 0.6, 0.6
-#: A part of fewer words is compared by its words, not by its word pairs.
-SHORT = 6
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -60,9 +59,14 @@ def _words(texts: list[str]) -> Words:
     return Words([t.lower().encode() for t in texts], ALNUM)
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Distinct hashes of the words (n = 1) or word pairs (n = 2)."""
-    return np.unique(mix(hashes + GOLD) if n == 1 else mix(hashes[:-1] * GOLD + hashes[1:]))
+def near_pairs(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of each word with the one ``apart`` places behind it."""
+    return mix(hashes[:-apart] * GOLD + hashes[apart:]) if len(hashes) > apart else np.zeros(0, np.uint64)
+
+
+def grams(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes of words, and of two words that follow each other or have one between."""
+    return np.unique(np.concatenate((mix(hashes + GOLD), near_pairs(hashes, 1), near_pairs(hashes, 2))))
 
 
 class Part:
@@ -70,12 +74,21 @@ class Part:
 
     def __init__(self, text: str):
         own = _words([text]).hash
-        self.n = 1 if len(own) < SHORT else 2
-        self.grams = grams(own, self.n)
-
-    def share(self, held: dict[int, np.ndarray]) -> float:
-        """Share of the part that words hold, given as grams of each n; an empty part is held everywhere."""
-        return float(np.isin(self.grams, held[self.n], assume_unique=True).mean()) if len(self.grams) else 1.0
+        self.n = len(own)
+        self.one = mix(own + GOLD) if len(own) == 1 else None
+        self.pairs = [near_pairs(own, k) for k in (1, 2)]
+
+    def share(self, held: np.ndarray) -> float:
+        """Share of the part's words that these grams hold; an empty part is held everywhere."""
+        if self.one is not None:
+            return float(np.isin(self.one, held)[0])
+        if not self.n:
+            return 1.0
+        covered = np.zeros(self.n, bool)
+        for k, pairs in enumerate(self.pairs):
+            at = np.flatnonzero(np.isin(pairs, held))
+            covered[at] = covered[at + k + 1] = True
+        return float(covered.mean())
 
 
 def runs(found: list[tuple[int, float]], gap: int) -> Iterator[list[tuple[int, float]]]:
@@ -211,7 +224,7 @@ class Index:
             for run in runs(sorted(found), n_segments + 1):
                 begin, end = words.first[d] + run[0][0] * half, words.first[d] + min((run[-1][0] + 2) * half, words.count[d])
                 own = words.hash[begin:end]
-                held = {n: grams(own, n) for n in (1, 2)}
+                held = grams(own)
                 shares = [x.share(held) for x in parts]
                 if min(shares) >= OVERLAP:
                     best = max(best or (), (min(max(x for _, x in run), 1.0), *shares))
