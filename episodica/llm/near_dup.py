@@ -25,16 +25,16 @@ other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, shared, small_batches
+from .common import GOLD, NOT_SPACE, Words, chunks, gold, mix, small_batches
+from .scratch import Scratch, beside, components, salted
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
 #: Pivots that a bucket has at most before its members meet by their differences.
@@ -120,15 +120,15 @@ def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": ids[start : start + len(texts)], "elements": [elements[cut[k] : cut[k + 1]] for k in range(len(texts))]})
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs with these ids; texts only move where the ids are too many to send to all."""
-    ids = shared(ids)
+    ids = scratch.keep(ids)
     return docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi")
 
 
-def _contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _contents(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, elements) of these documents."""
-    return _of(docs, ids.distinct()).mapInPandas(_elements, "doc_id long, elements array<long>")
+    return _of(docs, ids.distinct(), scratch).mapInPandas(_elements, "doc_id long, elements array<long>")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -137,51 +137,29 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets have a weighted Jaccard similarity of at least the threshold."""
-    both = pairs.join(elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
+    total = pairs.count()
+    # a text that all of a group are held against is in many pairs
+    both = salted(pairs, elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a", total)
+    both = salted(both.select("a", "b", "x"), elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b", total) if total else both.withColumn("y", F.col("x"))
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= THRESHOLD * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are gone: it learns of them by the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): root is the least node of the component.  Large-star and small-star steps until nothing changes."""
-    edges = shared(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = shared(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
-        _release(edges.sparkSession)
-
-
-def _grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+def _grown(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
     """roots after more links: their ends stand for the components they are in."""
     if roots is None:
-        return components(links)
+        return scratch.keep(components(links, scratch))
     for end in ("a", "b"):
         links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    more = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    more = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), scratch)
     moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    return shared(moved.select("node", F.coalesce("to", "root").alias("root")).union(more))
+    return scratch.keep(moved.select("node", F.coalesce("to", "root").alias("root")).union(more))
 
 
-def _pairs(left: DataFrame, right: DataFrame, ok: Column) -> DataFrame:
-    """(a, b) of members of a bucket that may be alike and are not known to be of one class."""
-    other = right.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b) of members and their bucket's pivot that may be alike and are not known to be of one class."""
     near = (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= THRESHOLD * F.greatest("n", "n2"))
-    return left.join(other, "bucket").where(near & ok).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    return met.where(near & (F.col("node") != F.col("node2"))).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,18 +176,19 @@ def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame[["pivot", "node", "n", "root"]].join(pd.DataFrame(rows, frame.index, ["p", "h", "d", "far", "short", "long", "differences"]))
 
 
-def _apart(elements: DataFrame, members: DataFrame) -> DataFrame:
+def _apart(elements: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of members (pivot, node, n, root) of one pivot that may be alike, found by their differences from it."""
-    held = members.join(elements.select(F.col("doc_id").alias("node"), F.col("elements").alias("x")), "node")
-    held = held.join(elements.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("y")), "pivot").select("pivot", "node", "n", "root", "x", "y")
+    total = members.count()
+    held = members.join(elements.select(F.col("doc_id").alias("node"), F.col("elements").alias("x")), "node").select("pivot", "node", "n", "root", "x")
+    held = salted(held, elements.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("y")), "pivot", total).select("pivot", "node", "n", "root", "x", "y")
     held = held.mapInPandas(_differ, "pivot long, node long, n int, root long, p int, h int, d int, far boolean, short int, long int, differences array<long>")
-    held = shared(held.where("long > 0").repartition("pivot", "node"))
+    held = scratch.keep(held.where("long > 0"))
     every = held.select("*", F.explode("differences").alias("element")).drop("differences")
     # differences that only one member has come first and meet none; the others follow, rare before frequent
     common = every.groupBy("pivot", "element").agg(F.count("*").alias("times")).where("times > 1")
     mine = Window.partitionBy("pivot", "node")
     places = every.join(common, ["pivot", "element"]).withColumn("place", F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "element")) - 1)
-    places = shared(places.where("place < long").drop("times", "long"))
+    places = scratch.keep(places.where("place < long").drop("times", "long"))
     right = places.where("far").select("pivot", "element", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "h", "d", "short", "place")])
     shared_most = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
     enough = 9 * shared_most >= F.col("h") + F.col("h2") - F.col("p")
@@ -219,40 +198,48 @@ def _apart(elements: DataFrame, members: DataFrame) -> DataFrame:
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
-def _linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes that are alike to others; nodes: doc_id, n, bands, one per distinct text."""
     bands = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "value"))
     buckets = bands.select(F.xxhash64("band", "value").alias("bucket"), "node", "n")
     shares = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    active = shared(buckets.join(shares, "bucket"))
+    active = scratch.keep(beside(buckets, shares, "bucket", BANDS * nodes.count(), "members").where("members IS NOT NULL"))
     # a text that meets many others is likely to be what they are copies of: it goes first
     central = active.groupBy("node").agg(F.sum("members").alias("score"))
-    active = shared(active.drop("members").join(central, "node").withColumn("root", F.col("node")))
+    joined = scratch.keep(active.drop("members").join(central, "node").withColumn("root", F.col("node")))
+    scratch.drop(active)
+    active = joined
     rank = F.struct("score", F.xxhash64("node").alias("h"), "node", "n", "root")
-    first = elements = roots = tried = None
-    for _ in range(PIVOTS):
+    elements = roots = tried = None
+    for turn in range(PIVOTS):
+        total = active.count()
         fresh = active
         if tried is not None:
-            fresh = active.join(tried.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root")), ["bucket", "root"], "left_anti")
-        pivots = shared(fresh.groupBy("bucket").agg(F.max(rank).alias("p")).select("bucket", "p.node", "p.n", "p.root"))
-        pairs = shared(_pairs(active, pivots, F.col("node") != F.col("node2")).distinct())
-        roots = _grown(roots, shared(_verified(elements if elements is not None else _contents(docs, _ends(pairs)), pairs)))
-        tried = pivots.select("bucket", "node") if tried is None else tried.union(pivots.select("bucket", "node"))
-        if first is None:
-            first = pivots.select("bucket", F.col("node").alias("pivot"))
-            active = active.join(first, "bucket").where("node <> pivot").drop("pivot")
-        active = shared(active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        mixed = active.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        active = shared(active.join(mixed, "bucket", "left_semi"))
+            known = tried.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root")).distinct()
+            fresh = active.join(known, ["bucket", "root"], "left_anti")
+        pivots = fresh.groupBy("bucket").agg(F.max(rank).alias("p"), F.count("*").alias("size"))
+        pivots = scratch.keep(pivots.select("bucket", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.root").alias("root2"), "size"))
+        met = beside(active, pivots, "bucket", total, "size").where("node2 IS NOT NULL")
+        pairs = scratch.keep(_pairs(met).distinct())
+        links = scratch.keep(_verified(elements if elements is not None else scratch.keep(_contents(docs, _ends(pairs), scratch)), pairs))
+        roots = _grown(roots, links, scratch)
+        tried = pivots.select("bucket", F.col("node2").alias("node")) if tried is None else tried.union(pivots.select("bucket", F.col("node2").alias("node")))
+        tried = scratch.keep(tried)
+        if turn == 0:
+            active = met.where("node <> node2").withColumnRenamed("node2", "pivot").drop("n2", "root2", "size")
+        rooted = scratch.keep(active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("bucket", "size")
+        active = scratch.keep(beside(rooted, mixed, "bucket", total, "size").where("size IS NOT NULL").drop("size"))
+        scratch.only(roots, tried, active, elements)
         if active.isEmpty():
             return roots
-        _release(docs.sparkSession)
         if elements is None:  # from here on the texts of mixed buckets are all that is read
-            first = shared(first.join(active.select("bucket"), "bucket", "left_semi"))
-            elements = shared(_contents(docs, active.select(F.col("node").alias("doc_id")).union(first.select("pivot"))))
-    members = shared(active.join(first, "bucket").select("pivot", "node", "n", "root").distinct())
-    pairs = shared(_apart(elements, members).distinct())
-    return _grown(roots, shared(_verified(elements, pairs)))
+            elements = scratch.keep(_contents(docs, active.select(F.col("node").alias("doc_id")).union(active.select("pivot")), scratch))
+    members = scratch.keep(active.select("pivot", "node", "n", "root").distinct())
+    pairs = scratch.keep(_apart(elements, members, scratch).distinct())
+    roots = _grown(roots, scratch.keep(_verified(elements, pairs)), scratch)
+    scratch.only(roots)
+    return roots
 
 
 def _keys(texts: list[str]) -> list[bytes | None]:
@@ -261,7 +248,7 @@ def _keys(texts: list[str]) -> list[bytes | None]:
     return [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
 
 
-def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _keyed(rows: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
     """These columns and the key of each row's text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,41 +256,46 @@ def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
             texts = [t if isinstance(t, str) else "" for t in frame["said"]]
             yield pd.DataFrame({"row": frame["row"], "key": _keys(texts)})
 
-    held = shared(rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("held"), F.col("text").cast("string").alias("said")).withColumn("row", F.monotonically_increasing_id()))
+    held = scratch.keep(rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("held"), F.col("text").cast("string").alias("said")).withColumn("row", F.monotonically_increasing_id()))
     return held.join(held.select("row", "said").mapInPandas(run, "row long, key binary"), "row").select(*[F.col(f"held.`{c}`").alias(c) for c in columns], "key")
 
 
-def _fresh(keys: DataFrame, ids: DataFrame) -> DataFrame:
+def _fresh(keys: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, node) of these texts: numbers that are nobody's id."""
     n, seed = keys.count(), 0
     while True:
-        nodes = shared(keys.select("key", F.xxhash64("key", F.lit(seed)).alias("node")))
+        nodes = scratch.keep(keys.select("key", F.xxhash64("key", F.lit(seed)).alias("node")))
         if nodes.select("node").distinct().count() == n and nodes.join(ids.select(F.col("doc_id").alias("node")), "node", "left_semi").isEmpty():
             return nodes
         seed += 1
 
 
-def _rooted(docs: DataFrame) -> tuple[DataFrame, bool]:
+def _rooted(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     """doc_id, key, root of the rows with an id, and whether rows of an id differ in text.  The root names the class of the row's
     own text: the least doc_id of its class if no rows of an id differ, else any number."""
     known = docs.where("doc_id IS NOT NULL")
-    signed = shared(known.mapInPandas(_sign, "doc_id long, key binary, n int, bands array<long>"))
+    signed = scratch.keep(known.mapInPandas(_sign, "doc_id long, key binary, n int, bands array<long>"))
     some = signed.where("key IS NOT NULL")
-    several = shared(some.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"))
+    several = scratch.keep(some.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"))
     differ = not several.isEmpty()
     plain = some.join(several, "doc_id", "left_anti") if differ else some
-    texts = shared(plain.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    texts = scratch.keep(plain.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     if differ:  # an id of several texts names none of them: those that no other id has get numbers of their own
         others = some.join(several, "doc_id", "left_semi").join(texts.select("key"), "key", "left_anti")
-        others = shared(others.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))
-        nodes = _fresh(others.select("key"), signed)
-        said = _keyed(known.join(several, "doc_id", "left_semi"), ["text"]).join(nodes, "key").groupBy("key", "node").agg(F.first("text").alias("text"))
-        known = known.join(several, "doc_id", "left_anti").select("doc_id", "text").union(shared(said.select("node", "text")))
-        texts = shared(texts.select("key", "doc_id", "n", "bands").union(others.join(nodes, "key").select("key", "node", "n", "bands")))
-    roots = _linked(known, texts)
-    by_key = texts.select("key", F.col("doc_id").alias("node"))
-    by_key = by_key.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return signed.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", "key", "root"), differ
+        others = scratch.keep(others.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+        nodes = _fresh(others.select("key"), signed, scratch)
+        said = _keyed(known.join(several, "doc_id", "left_semi"), ["text"], scratch).join(nodes, "key").groupBy("key", "node").agg(F.first("text").alias("text"))
+        known = known.join(several, "doc_id", "left_anti").select("doc_id", "text").union(scratch.keep(said.select("node", "text")))
+        named = others.join(nodes, "key").select("key", F.col("node").alias("doc_id"), "n", "bands", "copies")
+        texts = scratch.keep(texts.select("key", "doc_id", "n", "bands", "copies").union(named))
+    side = Scratch(docs.sparkSession)
+    roots = _linked(known, texts.select("doc_id", "n", "bands"), side)
+    by_key = texts.select("key", F.col("doc_id").alias("node"), "copies").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "copies")
+    by_key = scratch.keep(by_key)
+    side.only()
+    rows = scratch.keep(beside(signed.select("doc_id", "key"), by_key, "key", max(signed.count(), 1), "copies").select("doc_id", "key", "root"))
+    scratch.only(rows)
+    return rows, differ
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -313,15 +305,14 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class): one row per document."""
-    docs = _columns(docs)
-    rows, differ = _rooted(docs)
+    docs, scratch = _columns(docs), Scratch(docs.sparkSession)
+    rows, differ = _rooted(docs, scratch)
     if differ:  # a document whose rows differ links the classes of its texts
-        rows = shared(rows)
         own = rows.where("key IS NOT NULL").select("doc_id", "root").distinct()
         low = own.groupBy("doc_id").agg(F.min("root").alias("low"))
-        merged = components(own.join(low, "doc_id").select(F.col("root").alias("a"), F.col("low").alias("b")))
+        merged = components(own.join(low, "doc_id").select(F.col("root").alias("a"), F.col("low").alias("b")), scratch)
         moved = own.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("doc_id", F.coalesce("to", "root").alias("root"))
-        moved = shared(moved.distinct())
+        moved = scratch.keep(moved.distinct())
         moved = moved.join(moved.groupBy("root").agg(F.min("doc_id").alias("least")), "root")
         rows = rows.select("doc_id").distinct().join(moved.select("doc_id", "least"), "doc_id", "left").select("doc_id", F.col("least").alias("root"))
     nulls = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
@@ -331,16 +322,18 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those whose text is a copy: of each class of texts a row of its least doc_id stays, and
     of an id's wordless rows one."""
-    many = shared(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    scratch = Scratch(docs.sparkSession)
+    many = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast("long").alias("doc_id")))
     if many.isEmpty():
-        gone = shared(classes(docs)).where("doc_id <> class_id").select("doc_id")
+        gone = scratch.keep(classes(docs)).where("doc_id <> class_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    rows = shared(_rooted(_columns(docs))[0].where("key IS NOT NULL").distinct())
+    rows = scratch.keep(_rooted(_columns(docs), scratch)[0].where("key IS NOT NULL").distinct())
     least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    stay = shared(rows.join(least, "root").where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).select("doc_id", "key"))
+    stay = scratch.keep(rows.join(least, "root").where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).select("doc_id", "key"))
+    many = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     one = docs.join(many, "doc_id", "left_anti")
     kept = one.join(rows.select("doc_id").join(stay.select("doc_id"), "doc_id", "left_anti"), "doc_id", "left_anti").select(docs.columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    keyed = shared(_keyed(docs.join(many, "doc_id", "left_semi").select("doc_id", "text", whole), ["doc_id", "whole"]).dropDuplicates(["doc_id", "key"]))
+    keyed = scratch.keep(_keyed(docs.join(many, "doc_id", "left_semi").select("doc_id", "text", whole), ["doc_id", "whole"], scratch).dropDuplicates(["doc_id", "key"]))
     some = keyed.join(stay, ["doc_id", "key"], "left_semi").select("whole").union(keyed.where("key IS NULL").select("whole"))
     return kept.union(some.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns]))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -229,3 +230,52 @@ def test_lower_bound_never_exceeds_a_packing():
         bound = packing.lower_bound(sizes, 100)
         assert -(-sizes.sum() // 100) <= bound <= len(packing.best_fit_decreasing(sizes, 100)[2])
     assert packing.lower_bound(np.array([51, 51, 51]), 100) == 3
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_items_with_a_tenth_edited_are_found(seed):
+    """Of items with a tenth of their words replaced, removed or added to, inside other documents, nine in ten are found at least."""
+    items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.1/benchmark.parquet").to_pylist()]
+    docs = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    index, rng = decontaminate.Index(items), random.Random(seed)
+    pool = [w for t in rng.sample(docs, 50) for w in t.split()]
+    for kind in ("replaced", "removed", "added"):
+        texts = []
+        for _, text in items:
+            edited = []
+            for w in text.split():
+                hit = rng.random() < 0.1
+                edited += [rng.choice(pool)] if hit and kind == "replaced" else [] if hit and kind == "removed" else [w, rng.choice(pool)] if hit else [w]
+            host = rng.choice(docs).split()
+            at = rng.randrange(len(host) + 1)
+            texts.append(" ".join(host[:at] + edited + host[at:]))
+        found = {d for d, i, *_ in index.matches(texts) if i == items[d][0]}
+        assert len(found) >= 0.9 * len(items), kind
+
+
+def test_held_words_need_a_neighbour():
+    share = lambda part, text: decontaminate.Part(part).share(decontaminate.grams(decontaminate._words([text]).hash))
+    assert share("a b c d", "x a b c d y") == 1 == share("", "x") == share("solo", "so solo")
+    assert share("a b c d", "d c b a") == 0 == share("solo", "so")
+    assert share("a b c d e f", "a b x d e f") == 5 / 6 and share("a b c d e f", "a b d e f") == 5 / 6 and share("a b c d e f", "a b c x d e f") == 1
+
+
+def test_labelled_ids_with_many_rows(spark):
+    """Of a labelled id's texts one is fitted, whatever order the rows are in, and the driver gets a row an id."""
+    rng = random.Random(2)
+    text = lambda good: " ".join(rng.choices([f"{'good' if good else 'bad'}{k}" for k in range(30)] + [f"w{k}" for k in range(50)], k=40))
+    rows = [(k % 12, text(k % 2)) for k in range(600)] + [(3, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    got = []
+    original = quality.fit
+
+    def fit(x, *args):
+        got.append(x)
+        return original(x, *args)
+
+    quality.fit = fit
+    try:
+        models = [quality.train(df, labels) for df in (docs.repartition(7), docs.orderBy("text").coalesce(1))]
+    finally:
+        quality.fit = original
+    assert [len(x) for x in got] == [12, 12] and (got[0] == got[1]).all() and all(models)
