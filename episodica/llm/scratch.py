@@ -81,19 +81,6 @@ def beside(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n"
     return met.join(cold, "_at", "left").select(*[F.col(f"`{c}`") for c in rows.columns], *[fact(c) for c in others])
 
 
-def salted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with facts (key and others; a row a key) that may be large, where keys may be hot: inner.
-
-    A key of more than HOT of all ``total`` rows is dealt into as many parts as it has such shares, with a copy of its facts for each: all
-    parts together are fewer than 2 / HOT.  Only these keys and numbers go to all tasks."""
-    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(max(total * HOT, 1.0))).cast("int").alias("_parts")).where("_parts > 1")
-    parts = F.broadcast(parts)
-    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
-    left = rows.join(parts, key, "left").withColumn("_salt", deal).drop("_parts")
-    right = facts.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of some nodes as stars: (node, least node of its component), without the least themselves."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)

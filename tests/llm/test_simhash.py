@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from episodica.llm import simhash
-from episodica.llm.scratch import Scratch, beside, components, salted, setting
+from episodica.llm.scratch import Scratch, beside, components, setting
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -123,13 +123,6 @@ def test_components_and_hot_keys(spark):
     assert len(met) == 6000 and all(n == (4000 if k % 3 else 1 if k % 2 else None) for k, n in met.items())
 
 
-def test_hot_keys_meet_large_facts_in_parts(spark):
-    rows = spark.createDataFrame([(k, 1 if k % 2 else k) for k in range(4000)], "id long, k long")
-    facts = spark.createDataFrame([(1, "x" * 1000), (2, "y"), (4, "z"), (99999, "none")], "k long, v string")
-    got = {r["id"]: r["v"][0] for r in salted(rows, facts, "k", 4000).collect()}
-    assert got == {k: "x" for k in range(1, 4000, 2)} | {2: "y", 4: "z"}
-
-
 def test_settings_are_put_back(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
