@@ -64,7 +64,7 @@ class Scratch:
 
 def beside(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """rows with what facts (key, n and others; a row a key; n: the rows of the key) tell of their key; null where it tells nothing.
-    Keys are whole numbers or bytes.
+    Keys are whole numbers.
 
     A key of more than HOT of all ``total`` rows is one of fewer than 1 / HOT, so these facts go to all tasks; the other rows meet
     theirs by a shuffle in which no key is large.  A null key has no facts."""
@@ -73,10 +73,7 @@ def beside(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n"
     hot = F.broadcast(packed.where("_is_hot").select(F.col("_key").alias(key), F.col("_fact").alias("_hot")))
     cold = packed.where("NOT _is_hot").select(F.col("_key").alias("_at"), "_fact")
     met = rows.join(hot, key, "left")
-    elsewhere = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    if dict(rows.dtypes)[key] == "binary":
-        elsewhere = F.unhex(F.hex(elsewhere))
-    met = met.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(elsewhere))
+    met = met.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])))
     fact: Callable[[str], Column] = lambda c: F.coalesce(F.col("_hot"), F.when(F.col(key).isNotNull(), F.col("_fact")))[c].alias(c)
     return met.join(cold, "_at", "left").select(*[F.col(f"`{c}`") for c in rows.columns], *[fact(c) for c in others])
 
