@@ -1,9 +1,12 @@
 """HTML extraction (3): equivalence-class template deduction.
 
 A page is a sequence of structural tokens (a block element with its class and id, under its block ancestors) with text
-between them.  Over the pages of a host, and over those of each of its layouts (pages whose text
-lies for the most part in the same containers):
+between them.  It is read once; what later steps need of it is kept as a table.  Over the pages of a host, and over those of each
+of its layouts (pages whose text lies for the most part in the same containers):
 
+* tokens that stand more than once on some page are told apart by their context: the last token before them, and the first one
+  inside them, of those that stand exactly once on nearly all pages, and the kind of content they begin with.  So a menu, an article
+  and a footer that are all plain div elements are three tokens, and what lies below them is told apart with them;
 * tokens with the same occurrence vector (how often the token stands on each page) form an equivalence class.  A vector is kept
   as its support and a sum of hashes of (page, count), so classes come from sums and no host's pages meet in one task;
 * classes that stand on enough pages are held against all pages again: a token that is out of the order of its class (not in a
@@ -49,6 +52,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIP = frozenset("script style template noscript svg math iframe object canvas head title select textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote figcaption caption summary address".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote address".split())
 NOT_MAIN = frozenset("nav footer aside form dialog menu fieldset".split())
 #: Words in class, id and role that mark parts that are not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search gdpr feedback reviews".split())
@@ -57,10 +61,11 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+CONTEXT = re.compile(r"\.@[0-9a-f]{16}")
 #: Share of pages that repeat a slot's text for it to be the template's, and of pages on which a token may be out of order.
 SAME_SHARE, MISPLACED = 0.9, 0.05
-#: Share of a host's pages that a template token stands on.
-SUPPORT = 0.5
+#: Share of a host's pages that a template token stands on; that a token stands on, once on each, to be a context of others.
+SUPPORT, ONCE = 0.5, 0.95
 #: Share of a page's text in a container that makes it part of the page's layout; share of a host's pages (two at least) that a
 #: layout needs for a template of its own.
 HEAVY, LAYOUT = 0.2, 0.01
@@ -73,11 +78,11 @@ BROADCAST = 32 << 20
 
 
 class Node:
-    __slots__ = ("tag", "path", "off", "main", "parent", "depth")
+    __slots__ = ("tag", "path", "plain", "off", "main", "parent", "depth")
 
     def __init__(self, tag: str, path: str, off: bool, main: int, parent: Node | None):
-        # main: 2 in an article element, 1 in a main element, else 0
-        self.tag, self.path, self.off, self.main, self.parent = tag, path, off, main, parent
+        # main: 2 in an article element, 1 in a main element, else 0; path: plain, with contexts once they are known
+        self.tag, self.path, self.plain, self.off, self.main, self.parent = tag, path, path, off, main, parent
         self.depth: int = parent.depth + 1 if parent else 0
 
 
@@ -193,11 +198,6 @@ def read(page: str, texts: bool = True) -> Iterator[tuple[str, Node, str]]:
     yield from flush()
 
 
-def host_of(url: str | None) -> str:
-    found = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s]*)", url or "", re.I)
-    return (found[1].rpartition("@")[2].lower() if found else "").split(":")[0]
-
-
 def _hash(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts)))
 
@@ -235,56 +235,186 @@ def layout(blocks: list[tuple[Node, str]]) -> str:
     return f"{_hash(*sorted(p for p, n in mass.items() if n >= HEAVY * total)):016x}"
 
 
-def page_tokens(page: str, number: int) -> tuple[str, dict[str, list[int]]]:
-    """layout, and token: pages, vector, place of its first occurrence among those of all tokens, characters of text, least and greatest
+def _begins(first: Node | None, text_first: bool) -> str:
+    """The kind of content that an element begins with."""
+    if text_first:
+        return "text"
+    if first is None:
+        return ""
+    return "flow" if first.tag in FLOW else first.tag
+
+
+class Page:
+    """What is kept of a page: its block elements in the order they open, and its blocks of text."""
+
+    def __init__(self, nodes: list[Node], blocks: list[tuple[Node, str]], seen: list[int]):
+        # nodes[0] is the place outside of all elements; seen: nodes that were there before each block
+        self.nodes, self.blocks, self.seen = nodes, blocks, seen
+
+    @classmethod
+    def of(cls, html: str) -> Page:
+        nodes: list[Node] = []
+        blocks: list[tuple[Node, str]] = []
+        seen = []
+        for what, node, text in read(html):
+            if what == "open":
+                if not nodes:
+                    nodes.append(_root(node))
+                nodes.append(node)
+            else:
+                if not nodes:
+                    nodes.append(_root(node))
+                blocks.append((node, text))
+                seen.append(len(nodes))
+        return cls(nodes, blocks, seen)
+
+    def packed(self) -> str:
+        number = {node: k for k, node in enumerate(self.nodes)}
+        inner = self.nodes[1:]
+        steps = [node.plain[len(node.parent.plain) + 1 :] for node in inner]
+        said = [[number[node.parent] for node in inner], steps, [2 * node.main + node.off for node in inner], [number[node] for node, _ in self.blocks], self.seen, [text for _, text in self.blocks]]
+        return json.dumps(said, ensure_ascii=False)
+
+    @classmethod
+    def unpacked(cls, packed: str) -> Page:
+        ups, steps, flags, held, seen, texts = json.loads(packed)
+        nodes = [Node("", "", False, 0, None)]
+        paths: dict[tuple[str, str], str] = {}
+        for up, step, flag in zip(ups, steps, flags, strict=True):
+            path = paths.setdefault((nodes[up].plain, step), f"{nodes[up].plain}/{step}")
+            nodes.append(Node(step.split(".")[0], path, bool(flag & 1), flag >> 1, nodes[up]))
+        return cls(nodes, [(nodes[k], text) for k, text in zip(held, texts, strict=True)], seen)
+
+    def tell(self, contexts: dict[str, list[str]] | None) -> None:
+        """Give the nodes the paths in which tokens of many places are told apart by their contexts."""
+        once = set(contexts["once"]) if contexts else set()
+        many = set(contexts["many"]) if contexts else set()
+        if not many:
+            for node in self.nodes:
+                node.path = node.plain
+            return
+        inside: dict[Node, str] = {}
+        for node in self.nodes:
+            up = node.parent if node.plain in once else None
+            while up is not None and up not in inside:
+                inside[up] = node.plain
+                up = up.parent
+        first = {after.parent: after for after in reversed(self.nodes[1:])}
+        # a text that comes before any element has opened since its own did
+        early = {node for (node, _), n in zip(self.blocks, self.seen, strict=True) if n and self.nodes[n - 1] is node}
+        paths: dict[tuple[str, str], str] = {}
+        before = ""
+        for node in self.nodes[1:]:
+            step = node.plain[len(node.parent.plain) + 1 :]
+            if node.plain in many and node.tag not in TEXT:
+                step += f".@{_hash(before, inside.get(node, ''), _begins(first.get(node), node in early)):016x}"
+            node.path = paths.setdefault((node.parent.path, step), f"{node.parent.path}/{step}")
+            if node.plain in once:
+                before = node.plain
+
+
+def _root(node: Node) -> Node:
+    while node.parent is not None:
+        node = node.parent
+    return node
+
+
+def page_tokens(page: Page, number: int) -> dict[str, list[int]]:
+    """token: pages, vector, place of its first occurrence among those of all tokens, characters of text, least and greatest
     hash of its text.  The token "" stands for the page."""
     count: dict[str, int] = defaultdict(int)
-    first: dict[str, int] = {}
     chars: dict[str, int] = defaultdict(int)
     texts: dict[str, int] = defaultdict(int)
     whole = 0
-    blocks = []
-    for what, node, text in read(page):
-        if what == "open":
-            if node.tag not in TEXT:
-                count[node.path] += 1
-                first.setdefault(node.path, len(first))
-        else:
-            own = _place(_container(node).path)
-            if own == "/":
-                count[own] = 1
-                first.setdefault(own, len(first))
-            if not node.off:
-                chars[own] += len(text)
-            texts[own] = (texts[own] * 31 + _hash(text)) % (1 << 62)
-            whole = (whole * 31 + _hash(text)) % (1 << 62)
-            blocks.append((node, text))
+    for node in page.nodes[1:]:
+        if node.tag not in TEXT:
+            count[node.path] += 1
+    first = places(page)
+    if "/" in first:
+        count["/"] = 1
+    for node, text in page.blocks:
+        own = _place(_container(node).path)
+        if not node.off:
+            chars[own] += len(text)
+        texts[own] = (texts[own] * 31 + _hash(text)) % (1 << 62)
+        whole = (whole * 31 + _hash(text)) % (1 << 62)
     out = {"": [1, _hash(number) >> 33, 0, sum(chars.values()), whole, whole]}
     for t, n in count.items():
         h = texts.get(t, 0)
         out[t] = [1, _hash(number, n) >> 33, first[t], chars.get(t, 0), h, h]
-    return layout(blocks), out
+    return out
+
+
+def places(page: Page) -> dict[str, int]:
+    """The place of each token's first occurrence among those of all tokens."""
+    first: dict[str, int] = {}
+    bare = next((n for (node, _), n in zip(page.blocks, page.seen, strict=True) if not _container(node).path), None)
+    for k, node in enumerate(page.nodes):
+        if k == bare:
+            first.setdefault("/", len(first))
+        if k and node.tag not in TEXT:
+            first.setdefault(node.path, len(first))
+    if bare is not None:
+        first.setdefault("/", len(first))
+    return first
 
 
 COLUMNS = ["pages", "vector", "first", "chars", "low", "high"]
 TOKENS = "host string, layout string, token string, " + ", ".join(f"{c} long" for c in COLUMNS)
 
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        pages = [Page.of(x if isinstance(x, str) else "") for x in frame["html"]]
+        kinds = [layout(page.blocks) for page in pages]
+        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "host": frame["host"], "layout": kinds, "page": [page.packed() if page.nodes else None for page in pages]})
+
+
+def _unpacked(packed: object) -> Page:
+    return Page.unpacked(packed) if isinstance(packed, str) else Page([Node("", "", False, 0, None)], [], [])
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages that hold each plain path, and how often one page does, for hosts (layout "") and their layouts; "" stands for the page."""
+    for frame in batches:
+        sums: dict[tuple[str, str, str], list[int]] = {}
+        for host, kind, packed in zip(frame["host"], frame["layout"], frame["page"], strict=True):
+            count: dict[str, int] = defaultdict(int)
+            for node in _unpacked(packed).nodes:
+                count[node.plain] += 1
+            for key, (path, n) in itertools.product(("", kind), count.items()):
+                y = sums.setdefault((host, key, path), [0, 0])
+                y[0] += 1
+                y[1] = max(y[1], n)
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "layout", "token", "pages", "most"])
+
+
+def contexts(rows: pd.DataFrame) -> dict[str, list[str]]:
+    """once: paths that stand once on nearly all pages; many: paths of containers that some page holds more than once."""
+    n = rows.loc[rows["token"] == "", "pages"].iloc[0]
+    inner = rows[rows["token"] != ""]
+    once = inner.loc[(inner["most"] == 1) & (inner["pages"] >= ONCE * n), "token"]
+    many = [t for t in inner.loc[inner["most"] > 1, "token"] if t.rpartition("/")[2].split(".")[0] not in TEXT]
+    return {"once": sorted(once) if many else [], "many": sorted(many)}
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    told = Plans()
     for frame in batches:
         sums: dict[tuple[str, str, str], list[int]] = {}
-        for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
-            host = host_of(url)
-            kind, tokens = page_tokens(page if isinstance(page, str) else "", _hash(page_id, url))
+        for page_id, url, host, kind, packed, said in zip(frame["page_id"], frame["url"], frame["host"], frame["layout"], frame["page"], frame["told"], strict=True):
+            page = _unpacked(packed)
             # each page counts for its host (layout "") and for its layout of it
-            for key, (token, x) in itertools.product(("", kind), tokens.items()):
-                y = sums.get((host, key, token))
-                if y is None:
-                    sums[host, key, token] = list(x)
-                else:
-                    for k in range(4):
-                        y[k] += x[k]
-                    y[4], y[5] = min(y[4], x[4]), max(y[5], x[5])
+            for key in ("", kind):
+                page.tell(told[said].get(key))
+                for token, x in page_tokens(page, _hash(page_id, url)).items():
+                    y = sums.get((host, key, token))
+                    if y is None:
+                        sums[host, key, token] = list(x)
+                    else:
+                        for k in range(4):
+                            y[k] += x[k]
+                        y[4], y[5] = min(y[4], x[4]), max(y[5], x[5])
         yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "layout", "token", *COLUMNS])
 
 
@@ -373,9 +503,10 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return rows.withColumn("host", F.coalesce(host, F.lit("")))
 
 
-def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with the JSON of their host, which is sent to all tasks if that is small."""
+def _with(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """rows with the JSON of their host as a column, which is sent to all tasks if it is small."""
     weight = found.agg(F.coalesce(F.sum(F.length("host") + F.length("json") + 64), F.lit(0))).first()[0]
+    found = found.withColumnRenamed("json", name)
     return rows.join(F.broadcast(found) if weight <= BROADCAST else found, "host", "left")
 
 
@@ -408,41 +539,48 @@ class Plans:
 
 def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How many pages hold a token out of the order of its class, for the tokens that some page does."""
-    plans = Plans()
+    plans, told = Plans(), Plans()
     for frame in batches:
         wrong: dict[tuple[str, str, str], int] = defaultdict(int)
-        for host, page, plan in zip(frame["host"], frame["html"], frame["json"], strict=True):
-            if not isinstance(page, str):
-                continue
-            first: dict[str, int] = {}
-            blocks = []
-            for what, node, text in read(page):
-                if what == "open" and node.tag not in TEXT:
-                    first.setdefault(node.path, len(first))
-                elif what == "text":
-                    blocks.append((node, text))
-                    if not _container(node).path:
-                        first.setdefault("/", len(first))
-            for key in ("", layout(blocks)):
-                for own in plans[plan].get(key, ()):
+        for host, kind, packed, said, plan in zip(frame["host"], frame["layout"], frame["page"], frame["told"], frame["json"], strict=True):
+            page = _unpacked(packed)
+            for key in ("", kind):
+                if not plans[plan].get(key):
+                    continue
+                page.tell(told[said].get(key))
+                first = places(page)
+                for own in plans[plan][key]:
                     held = [t for t in own if t in first]
                     for k in misplaced([first[t] for t in held]):
                         wrong[host, key, held[k]] += 1
         yield pd.DataFrame([(*k, v) for k, v in wrong.items()], columns=["host", "layout", "token", "wrong"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, json (template() by layout, "" for all pages), from the classes of equal occurrence vectors."""
-    rows = _keyed(pages)
-    agg = [F.sum(c).alias(c) for c in ("pages", "vector", "first", "chars")] + [F.min("low").alias("low"), F.max("high").alias("high")]
-    tokens = shared(rows.select("page_id", "url", "html").mapInPandas(_tokens, TOKENS).groupBy("host", "layout", "token").agg(*agg))
+def _often(tokens: DataFrame, *columns: str) -> DataFrame:
+    """The tokens that many pages of a host share, or of a layout that is large enough."""
     size = tokens.where("token = ''").select("host", "layout", F.col("pages").alias("n"))
     whole = size.where("layout = ''").select("host", F.col("n").alias("whole"))
     size = size.join(whole, "host").where((F.col("layout") == "") | (F.col("n") >= F.greatest(F.lit(2.0), LAYOUT * F.col("whole"))))
     # what half of the pages share is no more than twice what a page holds: a layout's tokens fit a task
-    often = shared(tokens.join(size, ["host", "layout"]).where(F.col("pages") >= SUPPORT * F.col("n")).select("host", "layout", "token", *COLUMNS))
+    return tokens.join(size, ["host", "layout"]).where(F.col("pages") >= SUPPORT * F.col("n")).select("host", "layout", "token", *columns)
+
+
+def told(pages: DataFrame) -> DataFrame:
+    """The pages as they are kept (page_id, url, host, layout, page), with the contexts of their host as JSON by layout."""
+    small_batches(pages.sparkSession)
+    kept = shared(_keyed(pages).mapInPandas(_read, "page_id string, url string, host string, layout string, page string"))
+    counts = kept.select("host", "layout", "page").mapInPandas(_counts, "host string, layout string, token string, pages long, most long")
+    counts = shared(counts.groupBy("host", "layout", "token").agg(F.sum("pages").alias("pages"), F.max("most").alias("most")))
+    return _with(kept, shared(_by_host(_often(counts, "pages", "most"), contexts)), "told")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """host, json (template() by layout, "" for all pages) of pages told(), from the classes of equal occurrence vectors."""
+    agg = [F.sum(c).alias(c) for c in ("pages", "vector", "first", "chars")] + [F.min("low").alias("low"), F.max("high").alias("high")]
+    tokens = shared(rows.mapInPandas(_tokens, TOKENS).groupBy("host", "layout", "token").agg(*agg))
+    often = shared(_often(tokens, *COLUMNS))
     ordered = shared(_by_host(often, lambda frame: [x for x in classes(frame) if len(x) > 1]))
-    wrong = _with(rows, ordered).select("host", "html", "json").mapInPandas(_order, "host string, layout string, token string, wrong long")
+    wrong = _with(rows, ordered, "json").mapInPandas(_order, "host string, layout string, token string, wrong long")
     wrong = wrong.groupBy("host", "layout", "token").agg(F.sum("wrong").alias("wrong"))
     judged = often.join(wrong, ["host", "layout", "token"], "left").withColumn("wrong", F.coalesce("wrong", F.lit(0)))
     return _by_host(judged, template)
@@ -465,41 +603,43 @@ def heaviest(blocks: list[tuple[Node, str]]) -> list[str]:
     return [text for node, text in blocks if inside(node)]
 
 
-def main_text(page: str, plans: dict[str, dict[str, list[str]]]) -> str:
-    """The text of the blocks in the main slot of a page, given the templates of its host by layout."""
-    blocks = [(node, text) for what, node, text in read(page) if what == "text"]
+def main_text(page: Page, kind: str, plans: dict[str, dict[str, list[str]]], said: dict[str, dict[str, list[str]]]) -> str:
+    """The text of the blocks in the main slot of a page of a layout, given the templates and contexts of its host by layout."""
     inside = lambda node, roots: any(node.path == r or node.path.startswith(r + "/") or r == "/" and not _container(node).path for r in roots)
-    kept = [(node, text) for node, text in blocks if not node.off]
-    known: set[str] = set()
-    own, whole = plans.get(layout(blocks)), plans.get("")
+    kept = [(node, text) for node, text in page.blocks if not node.off]
+    known: set[Node] = set()
+    own, whole = plans.get(kind), plans.get("")
     # pages of short texts can be a layout whose slots show no main one below the body, say: the host's slot inside goes first
-    finer = own and whole and own["main"] and whole["main"] and whole["main"][0].startswith(own["main"][0] + "/")
-    for plan in (whole, own) if finer else (own, whole):
+    finer = own and whole and own["main"] and whole["main"] and CONTEXT.sub("", whole["main"][0]).startswith(CONTEXT.sub("", own["main"][0]) + "/")
+    for key in ("", kind) if finer else (kind, ""):
+        plan = plans.get(key)
         if plan:
+            page.tell(said.get(key))
             kept = [(node, text) for node, text in kept if _place(_container(node).path) not in plan["drop"]]
             main = [text for node, text in kept if inside(node, plan["main"])]
             if main:
                 return " ".join(main)
-            known.update(plan["other"])
+            known.update(node for node, _ in kept if _place(_container(node).path) in plan["other"])
     marked = max((node.main for node, _ in kept), default=0)
     if marked:
         return " ".join(text for node, text in kept if node.main == marked)
     # places that the pages share beside their main text come last
-    own = [(node, text) for node, text in kept if _place(_container(node).path) not in known]
-    if sum(len(text) for _, text in own) < HEAVY * sum(len(text) for _, text in kept):
-        own = kept
-    return " ".join(heaviest(own))
+    left = [(node, text) for node, text in kept if node not in known]
+    if sum(len(text) for _, text in left) < HEAVY * sum(len(text) for _, text in kept):
+        left = kept
+    return " ".join(heaviest(left))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages."""
-    small_batches(pages.sparkSession)
-    rows = _with(_keyed(pages.withColumn("page_id", F.col("page_id").cast("long"))), shared(templates(pages)))
+    rows = told(pages.withColumn("page_id", F.col("page_id").cast("long")))
+    rows = _with(rows, shared(templates(rows)), "json")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans = Plans()
+        plans, said = Plans(), Plans()
         for frame in batches:
-            texts = [main_text(page, plans[plan]) if isinstance(page, str) else "" for page, plan in zip(frame["html"], frame["json"], strict=True)]
+            whole = zip(frame["layout"], frame["page"], frame["json"], frame["told"], strict=True)
+            texts = [main_text(_unpacked(page), kind, plans[plan], said[context]) for kind, page, plan, context in whole]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
 
-    return by_batch(rows.select("page_id", "url", "html", "json"), run, "page_id long, url string, text string, n_chars long", ("page_id",))
+    return by_batch(rows.select("page_id", "url", "layout", "page", "json", "told"), run, "page_id long, url string, text string, n_chars long", ("page_id",))

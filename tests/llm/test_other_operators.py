@@ -95,6 +95,11 @@ def test_extraction_without_article(spark):
     assert got == {k: f"Story {k} goes on and on for long." for k in range(20)}
 
 
+def alone(page):
+    """The main text without any template."""
+    return extraction.main_text(extraction.Page.of(page), "", {}, {})
+
+
 def extracted(spark, pages):
     rows = [(k, url, page) for k, (url, page) in enumerate(pages)]
     return [r.text for r in sorted(extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
@@ -141,7 +146,26 @@ def test_templates_find_the_main_text_without_telling_names(spark):
     got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == truth
     # the templates do it: without them many pages come out otherwise
-    assert sum(extraction.main_text(page, {}) != truth[k] for k, _, page in pages) > 0.1 * len(pages)
+    assert sum(alone(page) != truth[k] for k, _, page in pages) > 0.1 * len(pages)
+
+
+BARE = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b")
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_plain_divs_are_told_apart_by_context(spark, classes):
+    import html
+
+    pages, truth = [], {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        truth[r.page_id] = " ".join(re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", inner))).split(" ")).strip()
+        bare = BARE.sub(r"<\1div", r.html)
+        pages.append((r.page_id, r.url, bare if classes else re.sub(r' (class|id)="[^"]*"', "", bare)))
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    wrong = [k for k in truth if got[k] != truth[k]]
+    assert not wrong
+    assert sum(alone(page) != truth[k] for k, _, page in pages) >= len(wrong)
 
 
 def test_slots_that_change_places_or_repeat(spark):
@@ -152,7 +176,7 @@ def test_slots_that_change_places_or_repeat(spark):
     hosts = [(f"https://h{h}.example/{k}", page(10 * h + k)) for h in range(3) for k in range(12)]
     got = extracted(spark, hosts)
     assert got == [f"Title {10 * h + k} {story(10 * h + k)}" for h in range(3) for k in range(12)]
-    assert sum(extraction.main_text(p, {}) != t for (_, p), t in zip(hosts, got)) > 10
+    assert sum(alone(p) != t for (_, p), t in zip(hosts, got)) > 10
 
 
 def test_misplaced_and_valid_tokens():
@@ -168,7 +192,7 @@ def test_broken_pages_are_read_in_time_and_memory(page):
     import tracemalloc
 
     began = time.time()
-    extraction.main_text(page, {})
+    alone(page)
     assert time.time() - began < 5
     tracemalloc.start()
     list(extraction.read(page[:200_000]))
