@@ -19,6 +19,7 @@ Defined results: a null text stays null; a text without entities stays as it is;
 the order above; a name that has stood after titles of several genders in a text counts as what stood first, and as a family name if it
 was one; repeated rows and rows with equal texts get equal results; pseudonymise() keeps extra columns, but its own n_entities and
 entity_types replace such columns; an empty table gives an empty result.
+An address may have Latin, Cyrillic and Greek letters; ten or eleven digits without separators are a phone number after a word for one.
 A run of more than 256 letters and digits before an @ is no address, a name part has 31 characters at most.
 """
 
@@ -33,7 +34,8 @@ from .common import shared
 from .spans import bound, find, outside, rewrite
 
 #: Patterns of entities, in order of preference.
-EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+LETTERS = r"A-Za-z0-9\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{Mn}"
+EMAIL = rf"(?<![{LETTERS}])[{LETTERS}][{LETTERS}._%+-]{{0,255}}+@[{LETTERS}-]{{1,63}}(?:\.[{LETTERS}-]{{1,63}}){{1,126}}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 HEXES = "[0-9A-Fa-f]{1,4}"
@@ -43,20 +45,24 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![A-Za-z0-9.+-])(?:[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![A-Za-z0-9])"
 PHONE = r"(?<![A-Za-z0-9.])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,5}){2,5}(?![A-Za-z0-9])"
-MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа", "Κυρία")
+#: Digits without any separator, after a word that says what they are.
+DIGITS = r"(?=[0-9]{10,11}(?![A-Za-z0-9]))(?<=(?i:phone|tel|telephone|telefon|mobile|cell|call|fax)(?:\x20(?i:no|nr|number))?[.:]{0,2}\x20{0,2})[0-9]{10,11}"
+MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "Κυρία")
 #: Titles of either gender.
 EITHER = ("Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор", "Δρ", "Δόκτωρ")
 PART = r"\p{Lu}(?:[\p{L}-]{1,30}|'\p{Lu}[\p{L}-]{1,29})"
 END = r"(?![\p{L}\p{N}])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE + EITHER)})\.?\x20{PART}(?:\x20{PART})?{END}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE + EITHER)}|M(?=\.))\.?\x20{PART}(?:\x20{PART})?{END}"
 #: A word that may be a further mention of a name.
 WORD = rf"(?<![\p{{L}}\p{{N}}]){PART}{END}"
 TYPES = (("email", EMAIL), ("ip", IP), ("ip6", IP6), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
 #: Draws of a surrogate before a format counts as used up.
 ATTEMPTS = 24
+#: A key is hot if it holds 1 in HOT rows, and more than HOT; parts that the copies of a hot text are dealt into.
+HOT, PARTS = 1000, 64
 #: Every entity starts at a digit or where no ASCII letter or digit goes on: one look rejects all other places.
-ANY = f"(?:(?=[0-9])|(?<![A-Za-z0-9]))(?:{'|'.join(f'(?:{p})' for _, p in TYPES)})"
+ANY = f"(?:(?=[0-9])|(?<![A-Za-z0-9]))(?:{'|'.join([*(f'(?:{p})' for _, p in TYPES), DIGITS])})"
 #: Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl Daniel Edgar Felix Georg Hugo Ivan Jonas Karl Leon Martin Niklas Oscar Paul Quentin Rafael Simon Tomas Victor".split(),
@@ -74,15 +80,15 @@ SYLLABLES = {
 
 
 def _kind(value: Column) -> Column:
-    return reduce(lambda out, x: out.when(value.rlike(f"^(?:{x[1]})$"), x[0]), TYPES[1:], F.when(value.rlike(f"^(?:{EMAIL})$"), "email"))
+    return reduce(lambda out, x: out.when(value.rlike(f"^(?:{x[1]})$"), x[0]), TYPES[1:], F.when(value.rlike(f"^(?:{EMAIL})$"), "email")).otherwise("phone")
 
 
 def _script(value: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """digest (of the text), start, end, value, type, canon: one row per entity of a distinct text."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """digest (of the text), spans (of entities), words (that may be further mentions): one row per text with entities."""
     body, name = F.col("body"), f"^(?:{NAME})$"
     nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
@@ -93,11 +99,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
         return F.when(F.exists(spans, lambda s: s["value"].rlike(name)), F.flatten(words)).otherwise(nothing)
 
     texts = docs.select(F.col("text").cast("string").alias("body")).select(F.md5("body").alias("digest"), "body", find(body, ANY).alias("spans")).where(F.size("spans") > 0)
-    texts = shared(texts.select("digest", "spans", bound(F.col("spans"), mentions).alias("words")))
+    return shared(texts.select("digest", "spans", bound(F.col("spans"), mentions).alias("words")))
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """digest, start, end, value, type, canon: one row per entity of a distinct text that is _marked()."""
     rows = texts.select("digest", F.explode("spans").alias("s")).select("digest", "s.start", "s.end", "s.value").dropDuplicates(["digest", "start"]).withColumn("type", _kind(F.col("value")))
     names = rows.where("type = 'name'").withColumn("words", F.split("value", " "))
     title = F.regexp_replace(F.col("words")[0], r"\.", "")
-    gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
+    gender = F.when(title.isin(*MALE, "M"), "m").when(title.isin(*FEMALE), "f").otherwise("n")
     parts = F.posexplode(F.slice("words", 2, 2)).alias("nth", "part")
     names = names.select("digest", "start", "end", "words", gender.alias("gender"), parts)
     begin = F.when(F.col("nth") + 2 == F.size("words"), F.col("end") - F.length("part")).otherwise(F.col("start") + F.length(F.col("words")[0]) + 1)
@@ -120,10 +130,12 @@ def _stream(key: str, *parts: Column) -> Column:
 
 
 def _like(value: Column, stream: Column) -> Column:
-    """value with each digit and ASCII letter replaced by the stream's, in turn."""
+    """value with each digit and letter replaced by the stream's, in turn: Cyrillic and Greek letters by such ones, others by ASCII."""
     digits, letters = F.split(F.translate(stream, "abcdef", "381604"), ""), F.split(F.translate(stream, "0123456789", "ghijkmnpqr"), "")
     nth = lambda a, i: F.element_at(a, F.pmod(i, F.lit(64)) + 1)
-    put = lambda c, i: F.when(c.rlike("[0-9]"), nth(digits, i)).when(c.rlike("[a-z]"), nth(letters, i)).when(c.rlike("[A-Z]"), F.upper(nth(letters, i))).otherwise(c)
+    other = lambda i, alphabet: F.translate(nth(letters, i), "abcdefghijkmnpqr", alphabet)
+    beyond = lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), other(i, "абвгдежзиклмнопр")).when(c.rlike(r"\p{IsGreek}"), other(i, "αβγδεζηθικλμνξοπ")).when(c.rlike(r"\p{Ll}|\p{Lo}|\p{Mn}"), nth(letters, i)).when(c.rlike(r"\p{L}"), F.upper(nth(letters, i)))
+    put = lambda c, i: F.when(c.rlike("[0-9]"), nth(digits, i)).when(c.rlike("[a-z]"), nth(letters, i)).when(c.rlike("[A-Z]"), F.upper(nth(letters, i))).otherwise(F.coalesce(beyond(c, i), c))
     return F.array_join(F.transform(F.split(value, ""), put), "")
 
 
@@ -215,18 +227,34 @@ def _render() -> Column:
     return F.when(new.startswith(F.concat(kind, F.lit("-"))), new).when(kind.isin("iban", "ssn", "card", "phone"), number).when(kind.isin("email", "ip"), new).when((kind == "ip6") & ~upper, new).when(upper, F.upper(new)).otherwise(F.regexp_replace(F.initcap(F.regexp_replace(new, "-", " ")), " ", "-"))
 
 
+def _hot(rows: DataFrame, *keys: str) -> DataFrame:
+    """The values of keys that 1 in HOT rows, and HOT of them, hold: fewer than HOT, whatever the size of rows."""
+    many = max(HOT, rows.count() // HOT)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > many).select(*keys)
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs, all columns, with text rewritten, and n_entities, how many parts were replaced, and entity_types."""
     docs = docs.drop("n_entities", "entity_types")
-    found = shared(occurrences(docs))
+    texts = _marked(docs)
+    found = shared(occurrences(texts))
     known = surrogates(found, key)
-    new = found.join(known, ["type", "canon"]).select("digest", F.struct("start", "end", _render().alias("new"), "type").alias("s"))
+    # what stands in a large share of all places is sent to the places instead of meeting them in one task
+    hot = shared(known.join(F.broadcast(_hot(found, "type", "canon")), ["type", "canon"]))
+    met = found.join(F.broadcast(hot), ["type", "canon"], "left")
+    rest = met.where("surrogate IS NULL").drop("surrogate").join(known, ["type", "canon"])
+    new = met.where("surrogate IS NOT NULL").unionByName(rest).select("digest", F.struct("start", "end", _render().alias("new"), "type").alias("s"))
     per_text = new.groupBy("digest").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     plain = docs.toDF(*names).withColumn("body", F.col(text).cast("string"))
     has = F.coalesce(F.col("body").rlike(ANY), F.lit(False))
-    changed = plain.where(has).withColumn("digest", F.md5("body")).join(per_text, "digest")
+    # texts of very many copies are dealt into parts, each of which gets the text's spans
+    copied = shared(_hot(texts, "digest").withColumn("hot", F.lit(True)))
+    per_text = per_text.join(F.broadcast(copied), "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), PARTS - 1).otherwise(0)))).drop("hot")
+    changed = plain.where(has).withColumn("digest", F.md5("body")).join(F.broadcast(copied), "digest", "left")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64(*[c for c in names if c != text]), F.lit(PARTS))).otherwise(0).cast("int")
+    changed = changed.withColumn("part", part).drop("hot").join(per_text, ["digest", "part"])
     columns = [F.col(c) for c in names if c != text]
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["type"]))), ",")
     changed = changed.select(*columns, rewrite(F.col("body"), F.col("spans")).alias(text), F.size("spans").cast("long").alias("n_entities"), kinds.alias("entity_types"))

@@ -1,5 +1,6 @@
 """PII surrogates against a plain version: what is detected, which values come out, and the rewritten texts."""
 
+import re
 import regex
 
 from episodica.llm import pii
@@ -121,3 +122,25 @@ def test_a_format_that_is_used_up_ends(spark, monkeypatch):
     got = pii.surrogates(spark.createDataFrame(own, "type string, canon string"), "key").collect()
     assert len({(r.type, r.surrogate) for r in got}) == len(own)
     assert all(r.surrogate.startswith("ssn-") for r in got if r.type == "ssn")
+
+
+def test_letters_beyond_ascii_titles_and_digits_without_separators(spark):
+    texts = ["müller@firma.de", "иван.петров@почта.рф, ΜΑΡΙΑ@x.gr", "phone 5551234567 or Tel.: 15551234567", "Mme Dupont, M. Durand et Sra. Ruiz", "the number 5551234567 and M Durand stay"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(rows, "key").collect()}
+    address = re.fullmatch(r"([a-z]{6})@[a-z]+\.example", got[0].text)
+    assert address and not got[0].text.startswith("mü")
+    assert re.fullmatch(r"[а-я]{4}\.[а-я]{6}@[a-z]+\.example, [α-ω]{5}@[a-z]+\.example", got[1].text)
+    phones = re.fullmatch(r"phone ([0-9]{10}) or Tel\.: ([0-9]{11})", got[2].text)
+    assert phones and phones[1] != "5551234567" and phones[2] != "15551234567" and got[2].entity_types == "phone"
+    assert got[3].n_entities == 3 and not {"Dupont", "Durand", "Ruiz"} & set(re.findall(r"\w+", got[3].text))
+    assert got[4].text == texts[4]
+
+
+def test_hot_texts_and_entities_come_out_as_others_do(spark, monkeypatch):
+    rows = [(k, "Write to a.b@c.org now") for k in range(40)] + [(100 + k, f"Ask a.b@c.org or d{k}@e.org") for k in range(30)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, pii.pseudonymise(docs, "key").collect()))
+    monkeypatch.setattr(pii, "HOT", 10)
+    assert sorted(map(tuple, pii.pseudonymise(docs, "key").collect())) == plain
+    assert len(plain) == len(rows)
