@@ -105,4 +105,5 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """The rows of docs as Parquet, a folder for each shard; each row goes to its own shard and overflow."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     shard = F.concat_ws("-", F.concat(F.lit("b"), "shard"), "overflow").alias("shard")
-    _placed(docs, limit, whole).select("whole.*", shard).write.partitionBy("shard").parquet(path)
+    # each shard is written by one task, so that there is a file a shard; its limit bounds what the task holds of one
+    _placed(docs, limit, whole).select("whole.*", shard).repartition("shard").write.partitionBy("shard").parquet(path)

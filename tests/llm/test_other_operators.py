@@ -238,6 +238,7 @@ def test_written_shards_hold_their_own_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sharding.write_shards(docs, str(tmp_path / "out"), 300)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in (tmp_path / "out").glob("shard=*"))
     assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
     size, want = Counter(), Counter()
     for r in got:
