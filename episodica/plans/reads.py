@@ -1,7 +1,7 @@
 """Registered queries of the composite read, its stages, its evaluation and the upkeep of a store, with SQL that says the same.
 
-Turns are the episodes of two stores (by conversation), items their questions, and embeddings the vectors of both; clusters of
-embeddings of one label are the schemas.
+Turns are the episodes of stores of about CONVERSATIONS conversations, items their questions, and all embeddings the vectors of both;
+clusters of embeddings of one label are the schemas.
 """
 
 from __future__ import annotations
@@ -20,11 +20,17 @@ from .catalog import EPISODES, KEYS, SQL_CONJ, query, r6
 
 ONE = recall.ONE
 CONFIG = StoreConfig()
-#: Stores, and vectors that episodes and questions share.
-STORES, VECTORS = 2, 500
+#: Conversations of a store; the stores and vectors that follow from the tables, as SQL.
+CONVERSATIONS = 50
+STORES = f"(SELECT greatest(2, count(DISTINCT conv_id) // {CONVERSATIONS}) FROM conversations)"
+VECTORS = "(SELECT count(*) FROM embeddings)"
 
 
 # ---- the inputs
+def stores(spark, sf) -> int:
+    return max(2, table(spark, sf, "conversations").select("conv_id").distinct().count() // CONVERSATIONS)
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("vec"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
@@ -34,15 +40,15 @@ def _episodes(spark, sf) -> DataFrame:
 
     w = Window.partitionBy("session")
     age = F.count("*").over(w) - F.row_number().over(w.orderBy("idx")) + 1
-    rows = episodes(spark, sf).withColumn("strength", F.pow(F.lit(CONFIG.decay_rate), age)).withColumn("vec", (F.col("session") * 31 + F.col("idx")) % VECTORS)
-    return rows.join(_vectors(spark, sf), "vec").select((F.col("session") % STORES).alias("store_id"), *KEYS, "text", "v", "strength")
+    rows = episodes(spark, sf).withColumn("strength", F.pow(F.lit(CONFIG.decay_rate), age)).withColumn("vec", (F.col("session") * 31 + F.col("idx")) % table(spark, sf, "embeddings").count())
+    return rows.join(_vectors(spark, sf), "vec").select((F.col("session") % stores(spark, sf)).alias("store_id"), *KEYS, "text", "v", "strength")
 
 
 def _questions(spark, sf) -> DataFrame:
-    n = F.col("item_id")
+    n, of = F.col("item_id"), stores(spark, sf)
     cue = F.when(n % 5 == 0, "What happened right after that? ").when(n % 5 == 1, "just before: ").when(n % 5 == 2, "What do they USUALLY say? ").otherwise("")
-    session = F.when(n % 3 != 0, n % STORES + STORES * (n % 7))
-    rows = table(spark, sf, "benchmark").select((n % STORES).alias("store_id"), n.alias("qid"), F.concat(cue, "text").alias("text"), session.alias("session"), (n % 3).alias("position"), (n * 17 % VECTORS).alias("vec"))
+    session = F.when(n % 3 != 0, n % of + of * (n % 7))
+    rows = table(spark, sf, "benchmark").select((n % of).alias("store_id"), n.alias("qid"), F.concat(cue, "text").alias("text"), session.alias("session"), (n % 3).alias("position"), (n * 17 % table(spark, sf, "embeddings").count()).alias("vec"))
     return rows.join(_vectors(spark, sf), "vec").drop("vec")
 
 
@@ -53,7 +59,7 @@ def _schemas(spark, sf) -> DataFrame:
     mass = v.groupBy("schema").agg(F.count("*").cast("double").alias("mass"))
     said = episodes(spark, sf).where("idx = 0 AND session % 5 <> 4").select(F.col("session").alias("schema"), F.array("text").alias("exemplars"))
     rows = means.groupBy("schema").agg(centroid).join(mass, "schema").join(said, "schema", "left")
-    return rows.select((F.col("schema") % STORES).alias("store_id"), "schema", "centroid", "mass", F.coalesce("exemplars", F.array().cast("array<string>")).alias("exemplars"))
+    return rows.select((F.col("schema") % stores(spark, sf)).alias("store_id"), "schema", "centroid", "mass", F.coalesce("exemplars", F.array().cast("array<string>")).alias("exemplars"))
 
 
 PHASES = " + ".join(f"cos(({V.SESSION_SCALE} * (re.session - rq.session) + re.idx - rq.position) * {f!r})" for f in V.FREQUENCIES)
@@ -172,9 +178,9 @@ mm AS (SELECT ask.qid, min(CASE WHEN session = a_session AND idx = a_idx THEN ra
 SELECT qid, CAST(coalesce(k = 1, false) AS DOUBLE) AS key_at_1, round(coalesce(1.0 / k, 0), 6) AS key_rr, CAST(coalesce(a = 1, false) AS DOUBLE) AS answer_at_1, round(coalesce(1.0 / a, 0), 6) AS answer_rr FROM mm"""
 )
 def recall_query_scores(spark, sf):
-    n = F.col("item_id")
+    n, of = F.col("item_id"), stores(spark, sf)
     needle = F.regexp_extract(F.lower("text"), "[a-z][a-z0-9]+", 0)
-    ask = table(spark, sf, "benchmark").select((n % STORES).alias("store_id"), n.alias("qid"), (n % STORES + STORES * (n % 7)).alias("answer_session"), (n % 3).alias("answer_idx"), needle.alias("answer"))
+    ask = table(spark, sf, "benchmark").select((n % of).alias("store_id"), n.alias("qid"), (n % of + of * (n % 7)).alias("answer_session"), (n % 3).alias("answer_idx"), needle.alias("answer"))
     e = _episodes(spark, sf).select("store_id", *KEYS, "text")
     exemplar = _schemas(spark, sf).select("store_id", "schema", F.get("exemplars", F.lit(0)).alias("gist"))
     shown = _recalled(spark, sf).join(e, ["store_id", *KEYS], "left").join(exemplar, ["store_id", "schema"], "left")

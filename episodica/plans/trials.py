@@ -35,8 +35,8 @@ ABLATIONS = {
 
 
 def _gold(spark, sf) -> DataFrame:
-    n = F.col("item_id")
-    rows = table(spark, sf, "benchmark").select((n % R.STORES).alias("store_id"), n.alias("qid"), (n % R.STORES + R.STORES * (n % 7)).alias("session"), F.explode(F.array(n % 3, (n + 1) % 3)).alias("idx"))
+    n, of = F.col("item_id"), R.stores(spark, sf)
+    rows = table(spark, sf, "benchmark").select((n % of).alias("store_id"), n.alias("qid"), (n % of + of * (n % 7)).alias("session"), F.explode(F.array(n % 3, (n + 1) % 3)).alias("idx"))
     return rows.distinct()
 
 
