@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import StoreConfig
+from . import dense
 from .folds import per_store
 
 #: Vectors whose activations are held at once.
@@ -72,6 +73,24 @@ def codes(rows: DataFrame, config: StoreConfig, inhibition: float = 0.0) -> Data
     return per_store(rows, fold, "store_id long, seq long, code array<int>")
 
 
+def overlaps(rows: DataFrame, questions: DataFrame, keys: list[str], units: int) -> DataFrame:
+    """store_id, qid, keys, n: how many of so many units each question's code (store_id, qid, v) shares with a row's (store_id, keys, v), where
+    any: products of blocks of zeros and ones, so that no unit gathers the codes that hold it."""
+
+    def form(codes: pd.Series) -> np.ndarray:
+        out = np.zeros((len(codes), units), np.float32)
+        out[np.repeat(np.arange(len(codes)), codes.map(len)), np.concatenate(codes.to_numpy()).astype(np.int64)] = 1
+        return out
+
+    def run(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        q, r = np.nonzero(s)
+        return a.iloc[r][["store_id", *keys]].reset_index(drop=True).assign(qid=b["qid_"].to_numpy()[q], n=s[q, r].astype(np.int64))
+
+    kinds = dict(rows.dtypes)
+    schema = "store_id long, qid long, " + ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long"
+    return dense.pairs(rows, questions, keys, run, schema, form, per=(dense.ROWS, dense.HELD))
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Shared units over all units of two codes."""
     return len(np.intersect1d(a, b)) / max(len(np.union1d(a, b)), 1)

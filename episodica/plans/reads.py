@@ -253,10 +253,10 @@ def novelty_dense(spark, sf):
 
 @query(C.DENSE + "SELECT qid, round(-ln(sum(exp(22 * (score - top)))) / 22 - 0.5 * max(self), 6) AS energy FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top, max(CASE WHEN id = qid THEN score END) OVER (PARTITION BY qid) AS self FROM scored) GROUP BY qid")
 def hopfield_energy(spark, sf):
-    s = C._dense(spark, sf, None)
-    known = s.groupBy("qid").agg(F.max("score").alias("top"), F.max(F.when(F.col("id") == F.col("qid"), F.col("score"))).alias("self"))
-    shifted = F.sum(F.exp(CONFIG.beta * (F.col("score") - F.col("top"))))
-    return s.join(known, "qid").groupBy("qid").agg(r6(-F.log(shifted) / CONFIG.beta - 0.5 * F.max("self"), "energy"))
+    v, q = C._asked(spark, sf)
+    known = dense.spreads(v, q, ["id"], CONFIG.beta)
+    self = q.select("qid", V.dot(F.col("v"), F.col("v")).alias("self"))
+    return known.join(self, "qid").select("qid", r6(-F.log("whole") / CONFIG.beta - 0.5 * F.col("self"), "energy"))
 
 
 @query(C.CODES + ", n AS (SELECT u, count(*) AS n FROM (SELECT unnest(code) AS u FROM c) GROUP BY u) SELECT count(*) AS used, round(count(*) / 64.0, 6) AS coverage FROM n")

@@ -1,10 +1,13 @@
 """Steps whose work must not grow faster than their input, held to plain results on small rows."""
 
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from episodica.operators import index
+from episodica.operators import blend, coding, dense, index
 
 
 def test_ranks_of_the_best_wanted_rows(spark):
@@ -30,3 +33,79 @@ def test_scores_of_some_documents_are_those_of_all(spark):
     canon = lambda df: sorted((r["qid"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
     every = canon(index.bm25(p, asked, d, ["doc_id"]))
     assert canon(index.bm25(p, asked, d, ["doc_id"], of=of)) == [x for x in every if x[1] < 4]
+
+
+def dense_rows(spark, n=90):
+    """Rows of a store with copies, and its questions; blocks of a few rows."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(n, 6))
+    v[n // 2 :: 3] = v[1]
+    rows = [(0, k, v[k].tolist(), float(k * 7 % 11)) for k in range(n)] + [(0, 999, None, 99.0)]
+    df = spark.createDataFrame(rows, "store_id long, id long, v array<double>, own double")
+    q = range(0, n, 9)
+    return df, df.where("id % 9 = 0 AND v IS NOT NULL").select("store_id", F.col("id").alias("qid"), "v"), {k: v @ v[k] for k in q}, np.arange(n) * 7 % 11
+
+
+def ranking(total, k):
+    near = np.round(total, 6)
+    return [int(x) for x in np.lexsort((np.arange(len(near)), -near))[:k]]
+
+
+def ids(df):
+    out = {}
+    for r in df.orderBy("qid", "rank").collect():
+        out.setdefault(r["qid"], []).append(r["id"])
+    return out
+
+
+@pytest.fixture
+def small(monkeypatch):
+    for name, n in {"ROWS": 16, "QUESTIONS": 4, "HELD": 3}.items():
+        monkeypatch.setattr(dense, name, n)
+    monkeypatch.setattr(dense.pairs, "__defaults__", (dense.matrix, (16, 4)))
+
+
+def test_fused_in_blocks(spark, small):
+    rows, asked, s, own = dense_rows(spark)
+    z = lambda x: (x - x.mean()) / x.std()
+    unit = lambda x: (x - x.min()) / (x.max() - x.min())
+    assert ids(blend.fused(rows, asked, ["id"], (1.0, 0.9), "minmax", 10)) == {q: ranking(unit(x) + 0.9 * unit(own), 10) for q, x in s.items()}
+    want = {q: z(x) + 0.9 * z(own) for q, x in s.items()}
+    assert ids(blend.fused(rows, asked, ["id"], (1.0, 0.9), "zscore", 10, least=True)) == {q: ranking(t - t.min(), 10) for q, t in want.items()}
+
+
+@pytest.mark.parametrize("k, flat", [(10, False), (2, False), (3, True)])
+def test_reciprocal_ranks_from_the_first_places_and_counts(spark, small, k, flat):
+    rows, asked, s, own = dense_rows(spark, 200)
+    if flat:
+        rows, own = rows.withColumn("own", F.lit(1.0)), np.ones(200)
+    place = lambda x: np.argsort(np.lexsort((np.arange(len(x)), -np.round(x, 9)))) + 1
+    got = ids(blend.fused_rrf(rows, asked, "id", (1.0, 0.9), k))
+    assert got == {q: ranking(1 / (60 + place(x)) + (0 if flat else 0.9 / (60 + place(own))), k) for q, x in s.items()}
+
+
+def test_percentile_in_blocks(spark, small):
+    rows, asked, s, _ = dense_rows(spark)
+    for p in (0.0, 0.5, 0.95, 1.0):
+        for r in dense.percentile(rows, asked, ["id"], dense.spreads(rows, asked, ["id"], others=True), p, others=True).collect():
+            assert math.isclose(r["value"], np.quantile(np.delete(s[r["qid"]], r["qid"]), p), abs_tol=1e-9)
+
+
+def test_spreads_of_equal_scores(spark, small):
+    rows = spark.createDataFrame([(0, k, [0.9, 0.1]) for k in range(80)], "store_id long, id long, v array<double>")
+    (r,) = dense.spreads(rows, rows.limit(1).select("store_id", F.lit(5).cast("long").alias("qid"), "v"), ["id"], 22.0).collect()
+    assert r["n"] == 80 and r["spread"] < 1e-12 and math.isclose(r["whole"], 80, rel_tol=1e-9)
+
+
+def test_overlaps_and_novelty_in_blocks(spark, small):
+    rng = np.random.default_rng(1)
+    codes = [sorted(int(x) for x in rng.choice(16, 3, replace=False)) for _ in range(70)]
+    rows = spark.createDataFrame([(0, k, c) for k, c in enumerate(codes)], "store_id long, id long, v array<int>")
+    got = {(r["qid"], r["id"], r["n"]) for r in coding.overlaps(rows, rows.where("id % 7 = 0").withColumnRenamed("id", "qid"), ["id"], 16).collect()}
+    assert got == {(q, k, n) for q in range(0, 70, 7) for k in range(70) if (n := len(set(codes[q]) & set(codes[k])))}
+    # numbers with gaps: blocks by number would hold a row each
+    v = rng.normal(size=(60, 4)) / 4
+    far = spark.createDataFrame([(0, 1000 * k, v[k].tolist()) for k in range(60)], "store_id long, seq long, v array<double>")
+    for r in dense.novelty(far, 7).collect():
+        k = r["seq"] // 1000
+        assert math.isclose(r["novelty"], min(1, max(0, 1 - max(v[:k] @ v[k]))) if k else 1.0, abs_tol=1e-9)
