@@ -1,6 +1,7 @@
 """Completion: stored codes as attractors of a softmax over overlaps.
 
-A store's patterns are one matrix, made once; cues settle in blocks, as products of a block of states with that matrix.
+A store's patterns are one matrix; cues settle in blocks, as products of a block of states with that matrix.  A store's cues are dealt over
+tasks, and a task keeps no softmax beyond its block.
 """
 
 from __future__ import annotations
@@ -9,13 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..config import StoreConfig
-from .folds import per_store
 
 #: Cues that settle together; rounds at most.
 BLOCK, ROUNDS = 256, 8
+#: Cues of a task; a multiple of BLOCK, so that cues settle with the same others however many there are.
+CUES = 8 * BLOCK
 
 
 @dataclass
@@ -61,23 +64,26 @@ class Patterns:
         """Overlap of each cue with each pattern, without settling."""
         return self._states([np.asarray(c, np.int64) for c in cues]) @ self.matrix.T + prior
 
-    def settle(self, cues: list[np.ndarray], beta: float, k: list[int] | None = None, prior: np.ndarray | float = 0.0) -> list[Completion]:
-        """The completion of each cue to codes of k units (as many as the cue has)."""
+    def settle(self, cues: list[np.ndarray], beta: float, k: list[int] | None = None, prior: np.ndarray | float = 0.0, weights: bool = True) -> list[Completion]:
+        """The completion of each cue to codes of k units (as many as the cue has).  weights: keep the softmax of each, a number for a pattern."""
         sizes = k or [max(len(c), 1) for c in cues]
         if not len(self):
             return [Completion(-1, 0, 0.0, False, np.zeros(0), []) for _ in cues]
         out: list[Completion] = []
         for start in range(0, len(cues), BLOCK):
-            out += self._block([np.asarray(c, np.int64) for c in cues[start : start + BLOCK]], sizes[start : start + BLOCK], beta, prior)
+            out += self._block([np.asarray(c, np.int64) for c in cues[start : start + BLOCK]], sizes[start : start + BLOCK], beta, prior, weights)
         return out
 
-    def _block(self, cues: list[np.ndarray], sizes: list[int], beta: float, prior: np.ndarray | float) -> list[Completion]:
+    def _block(self, cues: list[np.ndarray], sizes: list[int], beta: float, prior: np.ndarray | float, weights: bool) -> list[Completion]:
         results: dict[int, Completion] = {}
         energies: list[list[float]] = [[] for _ in cues]
         moving, states, before = np.arange(len(cues)), self._states(cues), [None] * len(cues)
         for step in range(1, ROUNDS + 1):
-            heat = beta * (states @ self.matrix.T) + prior
-            soft = np.exp(heat - heat.max(axis=1, keepdims=True))
+            soft = states @ self.matrix.T
+            soft *= beta
+            soft = soft + prior if np.any(prior) else soft
+            soft -= soft.max(axis=1, keepdims=True)
+            np.exp(soft, out=soft)
             total = soft.sum(axis=1)
             soft /= total[:, None]
             energy = -np.log(total) / beta - 0.5 * (states * states).sum(axis=1)
@@ -91,7 +97,7 @@ class Patterns:
                 energies[i].append(float(energy[n]))
                 same = before[i] is not None and np.array_equal(before[i], codes[n])
                 if same or step == ROUNDS:
-                    results[i] = Completion(int(soft[n].argmax()), step, float(soft[n].max()), same, soft[n], energies[i])
+                    results[i] = Completion(int(soft[n].argmax()), step, float(soft[n].max()), same, soft[n].copy() if weights else np.zeros(0), energies[i])
                 else:
                     before[i] = codes[n]
                     stay.append(n)
@@ -109,23 +115,29 @@ def part_of(code: np.ndarray, keep: float, seed: list[int]) -> np.ndarray:
 def completion(coded: DataFrame, config: StoreConfig, units: int, keep: float = 0.15) -> DataFrame:
     """(store_id, seq, code of so many units) to the pattern that a seeded part of each code leads to, with its evidence."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("nth", kind="stable").reset_index(drop=True)
         patterns = Patterns(list(frame["code"]), units)
-        cues = [part_of(c, keep, [config.seed, n]) for n, c in enumerate(patterns.codes)]
-        got = patterns.settle(cues, config.beta, [max(len(c), 1) for c in patterns.codes])
-        winner = frame["seq"].to_numpy()[[x.index for x in got]]
+        own = np.nonzero(frame["own"] == frame["block"])[0]
+        cues = [part_of(patterns.codes[n], keep, [config.seed, int(n)]) for n in own]
+        got = patterns.settle(cues, config.beta, [max(len(patterns.codes[n]), 1) for n in own], weights=False)
+        seq = frame["seq"].to_numpy()
+        winner = seq[[x.index for x in got]]
         return pd.DataFrame({
-            "store_id": frame["store_id"], "seq": frame["seq"], "winner": winner, "correct": winner == frame["seq"], "steps": [x.steps for x in got], "confidence": [x.confidence for x in got],
-            "converged": [x.converged for x in got], "energy": [x.energy[-1] for x in got], "units_kept": [len(c) for c in cues], "units_total": [len(c) for c in patterns.codes],
+            "store_id": frame["store_id"].iloc[own].to_numpy(), "seq": seq[own], "winner": winner, "correct": winner == seq[own], "steps": [x.steps for x in got], "confidence": [x.confidence for x in got],
+            "converged": [x.converged for x in got], "energy": [x.energy[-1] for x in got], "units_kept": [len(c) for c in cues], "units_total": [len(patterns.codes[n]) for n in own],
         })
 
     schema = "store_id long, seq long, winner long, correct boolean, steps int, confidence double, converged boolean, energy double, units_kept int, units_total int"
-    return per_store(coded.where("size(code) > 0"), fold, schema)
+    store = Window.partitionBy("store_id")
+    rows = coded.where("size(code) > 0").select("store_id", "seq", "code", (F.row_number().over(store.orderBy("seq")) - 1).alias("nth"), F.count("*").over(store).alias("n"))
+    rows = rows.withColumn("own", F.floor(F.col("nth") / CUES).cast("int"))
+    # each block of cues meets all patterns of its store
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CUES).cast("int")))).drop("n")
+    return every.groupBy("store_id", "block").applyInPandas(settle, schema)
 
 
 def capacity_probe(coded: DataFrame, config: StoreConfig, units: int, corruption: float = 0.5) -> DataFrame:
     """store_id, patterns, recovered: the share of a store's codes that come back after so many of their units are deleted."""
-    from pyspark.sql import functions as F
-
     got = completion(coded, config, units, keep=1 - corruption)
     return got.groupBy("store_id").agg(F.count("*").alias("patterns"), F.avg(F.col("correct").cast("double")).alias("recovered"))

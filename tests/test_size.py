@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.operators import blend, coding, dense, index
+from episodica.config import StoreConfig
+from episodica.operators import attractor, blend, coding, dense, index
 
 
 def test_ranks_of_the_best_wanted_rows(spark):
@@ -109,3 +110,19 @@ def test_overlaps_and_novelty_in_blocks(spark, small):
     for r in dense.novelty(far, 7).collect():
         k = r["seq"] // 1000
         assert math.isclose(r["novelty"], min(1, max(0, 1 - max(v[:k] @ v[k]))) if k else 1.0, abs_tol=1e-9)
+
+
+def test_completion_in_tasks_of_a_store(spark, monkeypatch):
+    """A store's cues lie in several groups, and none keeps a number for each cue and pattern."""
+    rng = np.random.default_rng(4)
+    codes = [sorted(int(x) for x in rng.choice(64, 6, replace=False)) for _ in range(60)]
+    rows = spark.createDataFrame([(0, 5 * k, c) for k, c in enumerate(codes)] + [(1, 3, codes[0]), (1, 4, [])], "store_id long, seq long, code array<int>")
+    monkeypatch.setattr(attractor, "CUES", 8)
+    got = attractor.completion(rows, StoreConfig(), 64, keep=0.5)
+    assert len({(r["store_id"], r["block"]) for r in got.selectExpr("store_id", "floor(seq / 40) AS block").collect()}) == 9
+    patterns = attractor.Patterns(codes, 64)
+    want = patterns.settle([attractor.part_of(np.array(c), 0.5, [0, n]) for n, c in enumerate(codes)], StoreConfig.beta, [6] * 60)
+    rows = sorted((r for r in got.collect() if r["store_id"] == 0), key=lambda r: r["seq"])
+    assert [(r["winner"], r["steps"], r["converged"]) for r in rows] == [(5 * x.index, x.steps, x.converged) for x in want]
+    assert all(math.isclose(r["confidence"], x.confidence, rel_tol=1e-5) for r, x in zip(rows, want, strict=True))
+    assert all(not len(x.weights) for x in patterns.settle([codes[0]], 22.0, weights=False))
