@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodica.config import StoreConfig
-from episodica.operators import attractor, blend, coding, dense, index
+from episodica.operators import attractor, blend, coding, dense, index, units
 
 
 def test_ranks_of_the_best_wanted_rows(spark):
@@ -126,3 +126,12 @@ def test_completion_in_tasks_of_a_store(spark, monkeypatch):
     assert [(r["winner"], r["steps"], r["converged"]) for r in rows] == [(5 * x.index, x.steps, x.converged) for x in want]
     assert all(math.isclose(r["confidence"], x.confidence, rel_tol=1e-5) for r, x in zip(rows, want, strict=True))
     assert all(not len(x.weights) for x in patterns.settle([codes[0]], 22.0, weights=False))
+
+
+def test_units_of_a_text_are_counted_where_they_are_made(spark):
+    rows = spark.createDataFrame([(1, "rain rain snow hail"), (2, "the"), (3, None), (4, "rain")], "k long, text string")
+    got = units.unit_counts(rows, ["k"], sized=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = {(r["k"], r["u"]): (r["tf"], r["length"]) for r in units.unit_counts(rows, ["k"]).collect()}
+    assert {(r["k"], r["u"]): (r["tf"], r["length"]) for r in got.collect()} == plain
+    assert {(r["k"], r["units"]) for r in got.collect()} == {(k, sum(x == k for x, _ in plain)) for k in (1, 4)}
